@@ -8,6 +8,7 @@ from factgraph.llm._spark import Scratch
 from factgraph.llm.neardup import Params, drop_near_duplicates
 from factgraph.llm.packing import pack, token_pieces
 from factgraph.llm.quality import filter_quality
+from factgraph.llm.substring import remove_repeats
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +20,16 @@ def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_near_duplicates(docs, p=Params(shingle=5, percent=80))
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 words or more that occur earlier are cut; the documents stay."""
+    return remove_repeats(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(token_pieces(docs))
 
 
-STAGES = [("quality_rules", quality_rules), ("minhash_neardup", minhash_neardup), ("packing", packing)]
+STAGES = [("quality_rules", quality_rules), ("minhash_neardup", minhash_neardup), ("substring_dedup", substring_dedup), ("packing", packing)]
 
 #: Near-duplicates by five-word shingles follow from SQL, the repetition verdict and the tokens do not.
 ORACLE_SQL = None

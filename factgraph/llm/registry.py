@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, quality
+from . import neardup, packing, quality, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
+    "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_packing": packing.op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_neardup": neardup.SQL,
+    "op5_substring_dedup": substring.SQL,
 }

@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, quality, substring
+from . import chat, neardup, packing, quality, sharding, substring, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_kd_sharding": sharding.op2_kd_sharding,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
+    "op4_url_rules": urls.op4_url_rules,
     "op5_substring_dedup": substring.op5_substring_dedup,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_packing": packing.op8_packing,
+    "op9_exact_topk": topk.op9_exact_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_neardup": neardup.SQL,
     "op5_substring_dedup": substring.SQL,
+    "op7_chat_formatting": chat.SQL,
+    "op9_exact_topk": topk.SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neardup, packing, quality, sharding, substring, topk, urls
+from . import chat, neardup, packing, pieces, quality, sharding, substring, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_kd_sharding": sharding.op2_kd_sharding,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_chat_formatting": chat.op7_chat_formatting,
     "op8_packing": packing.op8_packing,
     "op9_exact_topk": topk.op9_exact_topk,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neardup, packing, pieces, quality, sharding, substring, topk, urls
+from . import chat, html, neardup, packing, pieces, quality, sharding, substring, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": html.op1_html_extraction,
     "op2_kd_sharding": sharding.op2_kd_sharding,
     "op3_minhash_neardup": neardup.op3_minhash_neardup,
     "op4_url_rules": urls.op4_url_rules,

@@ -8,8 +8,8 @@ with the defaults and above 0.99998 at 0.85.
 
 Equal sets are one class before any table is built, so exact copies cost one row.  Members of a
 table bucket are linked through hubs (the smallest and the largest class), which takes a number of
-pairs linear in the bucket; only buckets that hubs leave in several components are compared
-further, and only across components.  Every link is confirmed on the full sets.
+pairs linear in the bucket; what hubs leave in several components is compared further in blocks of
+bounded size.  Every link is confirmed on the full sets.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing;
 fewer words than a shingle make one shingle of the whole sequence; a null id stands for itself
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._spark import Scratch, keep_ids, small
-from ._words import Words, chunks, later, mix, rolling
+from ._words import Words, chunks, later, mix, rolling, tidied
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(np.where(n > 0, halves.shape[1], 0))])
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), _lists(halves.ravel(), at)], ["doc_id", "n", "fa", "fb", "half"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, fa long, fb long, half array<long>")
+    return docs.mapInArrow(tidied(run), "doc_id long, n long, fa long, fb long, half array<long>")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -115,7 +115,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
                 key, offsets = shingles(c.column("text"), n)
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), _lists(key, offsets)], ["id", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles array<long>")
+    return docs.mapInArrow(tidied(run), "id long, shingles array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,9 +161,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = of_id.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
     links = scratch.write(confirmed(pairs, sets, p.percent).unionByName(shared))
     labels = components(links, scratch)
-    more = _across(members, labels, pairs, p, scratch)
+    more = _across(members, labels, pairs, sets, p, scratch)
     if not more.isEmpty():
-        links = scratch.write(links.unionByName(confirmed(more, sets, p.percent)))
+        links = scratch.write(links.unionByName(more))
         labels = components(links, scratch)
     scratch.drop(members, pairs, wanted, sets, links)
     rows = meta.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
@@ -171,16 +171,76 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
-def _across(members: DataFrame, labels: DataFrame, done: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
-    """Pairs of one bucket, of different components and fitting sizes, that no hub has tested."""
+def _across(members: DataFrame, labels: DataFrame, done: DataFrame, sets: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Confirmed links between components that still meet in a bucket.
+
+    What is left is grouped into families, joined by common buckets.  A family is compared in pairs of
+    blocks of bounded size, inside a task, which sends only the links that join components; no pair of
+    documents becomes a row.  A family beyond ``MAX_BLOCKS`` blocks is compared bucket by bucket.
+    """
     named = members.select("key", "rep", "n").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
     named = scratch.write(named)
-    open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("rep").alias("hub")).where("x <> y").select("key", "hub")
     left = scratch.write(named.join(open_keys, "key"))
-    x = left.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = left.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = x.join(y, "key").where("a < b AND la <> lb").where(_near("na", "nb", p.percent)).select("a", "b").distinct()
-    return scratch.write(pairs.join(done, ["a", "b"], "left_anti"))
+    families = components(left.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
+    families = scratch.write(families.withColumnRenamed("label", "family").unionByName(families.select(F.col("label").alias("id"), F.col("label").alias("family")).distinct()))
+    facts = scratch.write(left.select(F.col("rep").alias("id"), "n", "label").distinct().join(families, "id"))
+    sizes = facts.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sized = facts.join(sizes, "family")
+    inside = sized.where(F.col("blocks") <= MAX_BLOCKS).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = inside.select("id", "label", "family", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    links = inside.join(sets, "id").groupBy("family", "lo", "hi").applyInArrow(lambda t: _block_links(t, p.percent), "a long, b long")
+    wide = left.join(sized.where(F.col("blocks") > MAX_BLOCKS).select(F.col("id").alias("rep")).distinct(), "rep", "left_semi")
+    if not wide.isEmpty():
+        x = wide.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+        y = wide.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+        pairs = x.join(y, "key").where("a < b AND la <> lb").where(_near("na", "nb", p.percent)).select("a", "b").distinct()
+        links = links.unionByName(confirmed(pairs.join(done, ["a", "b"], "left_anti"), sets, p.percent))
+    return scratch.write(links)
+
+
+#: Sets and shingles of a block; blocks of a family that are compared two by two.
+BLOCK, BLOCK_SHINGLES, MAX_BLOCKS = 512, 2_000_000, 64
+
+
+def _block_links(t: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks (or inside one) that join components: at most one a member."""
+    own, lo, hi = t["own"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
+    ids, label = t["id"].to_numpy(), t["label"].to_numpy()
+    lists = t["shingles"].combine_chunks()
+    size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    _, word, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(ids)), size)
+    common = seen[word] > 1
+    row, word = row[common], np.unique(word[common], return_inverse=True)[1]
+    order = np.argsort(word, kind="stable")
+    row, word = row[order], word[order]
+    x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    both = np.zeros((len(x), len(y)), np.float32)
+    width = 4096
+    for a in range(0, int(word[-1]) + 1 if len(word) else 0, width):
+        i, j = np.searchsorted(word, [a, a + width])
+        m = np.zeros((len(ids), width), np.float32)
+        m[row[i:j], word[i:j] - a] = 1
+        both += m[x] @ m[y].T
+    union = size[x][:, None] + size[y][None, :] - both
+    i, j = np.nonzero((both * 100 >= union * percent) & (label[x][:, None] != label[y][None, :]))
+    root = {int(k): int(k) for k in np.unique(label)}
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    out = []
+    for a, b in zip(x[i].tolist(), y[j].tolist(), strict=True):
+        u, v = find(int(label[a])), find(int(label[b]))
+        if u != v:
+            root[u] = v
+            out.append((int(ids[a]), int(ids[b])))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

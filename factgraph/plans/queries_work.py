@@ -180,19 +180,19 @@ def _(f):
     return f("b_journal").join(ignored, "path_id", "left_anti").select("seq", "path_id", "kind")
 
 
-@query("ST3_transients", f"{_RUNS} SELECT path_id, first_seq FROM x WHERE fk = 'CREATE' AND lk = 'DELETE' AND path_id NOT IN (SELECT c_custkey FROM customer)")
+@query("ST3_transients", f"{_RUNS} SELECT path_id, first_seq FROM x WHERE fk = 'CREATE' AND lk = 'DELETE' AND path_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
 def _(f):
     r = journal.runs(f("b_journal"), _HOURS)
     first = f("b_journal").select(F.col("seq").alias("first_seq"), F.col("kind").alias("first_kind"))
-    return journal.transient(r.join(first, "first_seq"), f("customer").select(F.col("c_custkey").alias("path_id"))).select("path_id", "first_seq")
+    return journal.transient(r.join(first, "first_seq"), f("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path_id"))).select("path_id", "first_seq")
 
 
-_MOVES = "SELECT p_partkey AS path, p_retailprice AS digest FROM part WHERE p_partkey % 2 = {}"
+_MOVES = "SELECT p_partkey AS path, (p_partkey * 7919) % 3001 AS digest FROM part WHERE p_partkey % 2 = {}"
 
 
 @query("ST4_moves", f"WITH p AS (SELECT a.path AS source, b.path AS destination FROM ({_MOVES.format(0)}) a JOIN ({_MOVES.format(1)}) b ON a.digest = b.digest) SELECT source, destination FROM p WHERE source IN (SELECT source FROM p GROUP BY source HAVING count(*) = 1) AND destination IN (SELECT destination FROM p GROUP BY destination HAVING count(*) = 1)")
 def _(f):
-    p = f("part").select(F.col("p_partkey").alias("path"), F.col("p_retailprice").alias("digest"))
+    p = f("part").select(F.col("p_partkey").alias("path"), ((F.col("p_partkey") * 7919) % 3001).alias("digest"))
     return journal.unambiguous_moves(p.where("path % 2 = 0"), p.where("path % 2 = 1"))
 
 
@@ -270,7 +270,7 @@ def _(f):
     return items(f).select("uid", "tier")
 
 
-@query("B2_delivery_budget", f"SELECT resource_uid, uid FROM (SELECT resource_uid, uid, row_number() OVER w AS at, sum(bytes) OVER (PARTITION BY resource_uid ORDER BY {_TIER}, uid ROWS UNBOUNDED PRECEDING) AS upto FROM ({_ITEMS}) WINDOW w AS (PARTITION BY resource_uid ORDER BY {_TIER}, uid)) WHERE at <= 8 AND upto <= 300")
+@query("B2_delivery_budget", f"SELECT resource_uid, uid FROM (SELECT resource_uid, uid, row_number() OVER w AS k, sum(bytes) OVER (PARTITION BY resource_uid ORDER BY {_TIER}, uid ROWS UNBOUNDED PRECEDING) AS upto FROM ({_ITEMS}) WINDOW w AS (PARTITION BY resource_uid ORDER BY {_TIER}, uid)) WHERE k <= 8 AND upto <= 300")
 def _(f):
     return delivery.page(items(f), ["tier", "uid"], "bytes", 8, 300, ["resource_uid"]).select("resource_uid", "uid")
 

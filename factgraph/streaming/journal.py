@@ -48,7 +48,7 @@ def coalesced(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     return events.withColumn("state", F.when(follows, "COALESCED").otherwise("PENDING")).withColumn("into_seq", F.when(follows, F.lead("seq").over(w)))
 
 
-def stream_runs(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
+def stream_runs(events: DataFrame, window_ms: int = WINDOW_MS, idle_ms: int | None = None) -> DataFrame:
     """Stateful form over a stream of (seq, path_id, kind, ts_ms): a row for every event, with the run it
     is part of and the run's kind so far.  State is one pending run a path; it is dropped when time runs out.
     """
@@ -66,10 +66,11 @@ def stream_runs(events: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
             run, kind, at = (e.seq, e.kind, e.ts_ms) if new is None else (run, new, e.ts_ms)
             rows.append((key[0], e.seq, run, kind))
         state.update((int(run), kind, int(at)))
-        state.setTimeoutDuration(max(1, window_ms * 100))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=["path_id", "seq", "run_seq", "kind"])
 
-    return events.groupBy("path_id").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("path_id").applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def transient(events_runs: DataFrame, active_paths: DataFrame) -> DataFrame:

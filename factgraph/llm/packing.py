@@ -19,26 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, ranked
-from ._words import chunks
+from ._words import chunks, tidied
 
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words a worker remembers before it starts anew; bounds memory, never the result.
 REMEMBERED = 500_000
+_STOPS = (",", ".", "!", "?", ";", ":")
 _encoders: dict[str, Encoder] = {}
-_SPACES = str.maketrans("\n\t\r", "   ")
 
 
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    The tokenizer never joins what stands on two sides of a space, so ids of a text are the ids of
-    its space-separated strings; each distinct one is encoded once as long as it is remembered.
+    The tokenizer lowers all letters itself and never joins what stands on two sides of a space, so ids of a text
+    are the ids of its space-separated strings.  Nor does it join a letter and a stop after it.  Each
+    distinct string is encoded once as long as it is remembered.
     """
 
     def __init__(self, name: str):
@@ -50,19 +52,45 @@ class Encoder:
 
             name = public_tokenizers.path(name)
         self.model, self.known = Tokenizer.from_file(str(name)), {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").translate(_SPACES).split(" ") for t in texts]
-        known = self.known
+        special = [(t.content, k) for k, t in self.model.get_added_tokens_decoder().items() if t.special and not t.normalized and t.content.startswith("<|")]
+        self.between = special[0] if special else None
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of each word: many are encoded at once, with a special token between them."""
+        if self.between is None or any("<|" in x for x in words):
+            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        out: list[bytes] = []
+        mark, k = self.between
+        for i in range(0, len(words), 5_000):
+            some = words[i : i + 5_000]
+            ids = np.array(self.model.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(ids == k)
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True)]
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a column of texts, one after the other, and the offsets of the texts among them."""
+        column = pc.replace_substring(pc.ascii_lower(pc.fill_null(column, "")), "\n", " ")
+        words = pc.split_pattern(column, " ")
+        coded = words.flatten().dictionary_encode()
+        own, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
         if len(known) > REMEMBERED:
             known.clear()
-        for words in parts:
-            new = [x for x in set(words) if x not in known]
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                for x, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[x] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[x] for x in words]) for words in parts]
+        new = {x for x in own if x not in known}
+        ends = {x for x in new if x[-1:] in _STOPS and x[-2:-1].isalpha() and x[-2].isascii()}
+        plain = [x for x in (new - ends) | {x[:-1] for x in ends} | set(_STOPS) if x not in known]
+        known.update(zip(plain, self._each(plain), strict=True))
+        for x in ends:
+            known[x] = known[x[:-1]] + known[x[-1]]
+        raw = [known[x] for x in own]
+        size = np.array([len(x) // 4 for x in raw], np.int64)
+        start = np.cumsum(size) - size
+        at = coded.indices.to_numpy().astype(np.int64)
+        n = size[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(raw), "<u4")[np.repeat(start[at] - before[:-1], n) + np.arange(before[-1])]
+        return ids, before[words.offsets.to_numpy().astype(np.int64)]
 
 
 def encoder(name: str) -> Encoder:
@@ -74,31 +102,31 @@ def encoder(name: str) -> Encoder:
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of every text: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids."""
     two = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for c in chunks(batch, "text", 1 << 20):
-                row, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, x in enumerate(enc.encode(c.column("text").to_pylist())):
-                    x += end
-                    n = len(x) // 4
-                    for a in range(0, n, capacity):
-                        piece = x[4 * a : 4 * (a + capacity)]
-                        row.append(i)
-                        start.append(a)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                        if with_ids:
-                            ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
-                cols = {"doc_id": c.column("doc_id").take(pa.array(row, pa.int64())), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total, pa.int64())}
+            for c in chunks(batch, "text"):
+                ids, at = enc.encode(c.column("text"))
+                rows = np.arange(c.num_rows)
+                own = np.full(len(ids) + c.num_rows, end_id, "<u4")  # each text, then the end id
+                own[np.arange(len(ids)) + np.repeat(rows, np.diff(at))] = ids
+                total = np.diff(at) + 1
+                first = at[:-1] + rows
+                pieces = -(-total // capacity)
+                row = np.repeat(rows, pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+                length = np.minimum(total[row] - start, capacity)
+                begin = first[row] + start
+                raw = memoryview(own.tobytes())
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                cols = {"doc_id": c.column("doc_id").take(pa.array(row)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": pa.array(total[row])}
                 if with_ids:
-                    cols["ids"] = pa.array(ids, pa.list_(pa.int32()))
+                    cols["ids"] = pa.ListArray.from_arrays(pa.array(np.append(begin, len(own)), pa.int32()), pa.array(own.view("<i4")))
                 yield pa.RecordBatch.from_pydict(cols)
+        enc.known.clear()
 
-    return two.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return two.mapInArrow(tidied(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

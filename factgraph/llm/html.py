@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._words import chunks
+from ._words import chunks, tidied
 
 
 @dataclass(frozen=True)
@@ -517,7 +517,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 text = extract(c.column("html").to_pylist(), model)
                 yield pa.RecordBatch.from_arrays([c.column("page_id"), c.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return three.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return three.mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._words import Words, chunks, covered, later, mix, span_hashes, twice
+from ._words import Words, chunks, covered, later, mix, span_hashes, tidied, twice
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for c in chunks(batch, "text"):
                 yield _batch(measure(c.column("text"), rules), [c.column("doc_id")], ["doc_id"])
 
-    return two.mapInArrow(run, "doc_id long, " + FIELDS)
+    return two.mapInArrow(tidied(run), "doc_id long, " + FIELDS)
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -112,7 +112,7 @@ def filter_quality(docs: DataFrame, text_col: str = "text", rules: Rules = Rules
             for c in chunks(batch, text_col):
                 yield c.filter(pa.array(measure(c.column(text_col), rules)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

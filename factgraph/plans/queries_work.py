@@ -187,12 +187,12 @@ def _(f):
     return journal.transient(r.join(first, "first_seq"), f("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("path_id"))).select("path_id", "first_seq")
 
 
-_MOVES = "SELECT p_partkey AS path, (p_partkey * 7919) % 3001 AS digest FROM part WHERE p_partkey % 2 = {}"
+_MOVES = "SELECT p_partkey AS path, (p_partkey * 7919) % 1009 AS digest FROM part WHERE p_partkey % 2 = {}"
 
 
 @query("ST4_moves", f"WITH p AS (SELECT a.path AS source, b.path AS destination FROM ({_MOVES.format(0)}) a JOIN ({_MOVES.format(1)}) b ON a.digest = b.digest) SELECT source, destination FROM p WHERE source IN (SELECT source FROM p GROUP BY source HAVING count(*) = 1) AND destination IN (SELECT destination FROM p GROUP BY destination HAVING count(*) = 1)")
 def _(f):
-    p = f("part").select(F.col("p_partkey").alias("path"), ((F.col("p_partkey") * 7919) % 3001).alias("digest"))
+    p = f("part").select(F.col("p_partkey").alias("path"), ((F.col("p_partkey") * 7919) % 1009).alias("digest"))
     return journal.unambiguous_moves(p.where("path % 2 = 0"), p.where("path % 2 = 1"))
 
 
@@ -270,14 +270,14 @@ def _(f):
     return items(f).select("uid", "tier")
 
 
-@query("B2_delivery_budget", f"SELECT resource_uid, uid FROM (SELECT resource_uid, uid, row_number() OVER w AS k, sum(bytes) OVER (PARTITION BY resource_uid ORDER BY {_TIER}, uid ROWS UNBOUNDED PRECEDING) AS upto FROM ({_ITEMS}) WINDOW w AS (PARTITION BY resource_uid ORDER BY {_TIER}, uid)) WHERE k <= 8 AND upto <= 300")
+@query("B2_delivery_budget", f"SELECT resource_uid, uid FROM (SELECT resource_uid, uid, row_number() OVER w AS k, sum(bytes) OVER (PARTITION BY resource_uid ORDER BY {_TIER}, uid, bytes ROWS UNBOUNDED PRECEDING) AS upto FROM ({_ITEMS}) WINDOW w AS (PARTITION BY resource_uid ORDER BY {_TIER}, uid, bytes)) WHERE k <= 8 AND upto <= 300")
 def _(f):
-    return delivery.page(items(f), ["tier", "uid"], "bytes", 8, 300, ["resource_uid"]).select("resource_uid", "uid")
+    return delivery.page(items(f), ["tier", "uid", "bytes"], "bytes", 8, 300, ["resource_uid"]).select("resource_uid", "uid")
 
 
-@query("B3_required_first", f"SELECT resource_uid, uid FROM (SELECT *, sum(bytes) OVER (PARTITION BY resource_uid ORDER BY {_TIER}, uid ROWS UNBOUNDED PRECEDING) AS upto FROM ({_ITEMS}) WHERE category = 'TARGET') WHERE upto <= 150")
+@query("B3_required_first", f"SELECT resource_uid, uid FROM (SELECT *, sum(bytes) OVER (PARTITION BY resource_uid ORDER BY {_TIER}, uid, bytes ROWS UNBOUNDED PRECEDING) AS upto FROM ({_ITEMS}) WHERE category = 'TARGET') WHERE upto <= 150")
 def _(f):
-    return delivery.page(items(f).where("category = 'TARGET'"), ["tier", "uid"], "bytes", 10**6, 150, ["resource_uid"]).select("resource_uid", "uid")
+    return delivery.page(items(f).where("category = 'TARGET'"), ["tier", "uid", "bytes"], "bytes", 10**6, 150, ["resource_uid"]).select("resource_uid", "uid")
 
 
 @query("B6_reuse_ledger", f"SELECT i.uid, coalesce(l.version = i.bytes AND 40 < i.bytes, false) AS reuse FROM ({_ITEMS}) i LEFT JOIN (SELECT uid AS identity, resource_uid AS scope, CASE WHEN start_byte % 3 = 0 THEN 0 ELSE bytes END AS version FROM ({_ITEMS}) WHERE start_byte % 2 = 0) l ON l.identity = i.uid AND l.scope = i.resource_uid")

@@ -132,3 +132,16 @@ def test_tree_reading(spark, tmp_path):
     got = tree.read_tree(spark, str(tmp_path)).withColumn("role", tree.role_of(F.col("path_key"))).collect()
     assert [(r["path_key"], r["size"], r["role"]) for r in got] == [("src/a.py", 6, "SOURCE")]
     assert [x[:2] for x in tree.walk(str(tmp_path))] == [("src/a.py", 6)]
+
+
+def test_snapshots_publish_by_compare_and_swap(spark, tmp_path):
+    from factgraph.sources.snapshot import Snapshots, Stale, reconcile
+
+    s = Snapshots(spark, str(tmp_path / "ws"))
+    one = spark.createDataFrame([("a", 1)], "uid string, size long")
+    assert s.current() == {"generation": 0, "revision": 0}
+    assert reconcile(s, one) == {"generation": 1, "revision": 1} == reconcile(s, one)
+    with pytest.raises(Stale):
+        s.publish({"resource": one}, basis=0, revision=2)
+    two = one.union(spark.createDataFrame([("b", 2)], "uid string, size long"))
+    assert reconcile(s, two)["revision"] == 2 and s.table("resource").count() == 2

@@ -195,7 +195,7 @@ def test_mined_rules_block_what_labels_condemn(spark):
 def test_top_k_matches_brute_force_with_ties_and_odd_vectors(spark):
     r = random.Random(6)
     rows = [(i, [r.choice([-1.5, -0.25, 0.0, 0.5, 2.0]) for _ in range(4)]) for i in range(120)]
-    rows += [(1000, None), (1001, [1.0, None, 0.0, 0.0]), (1002, [float("nan"), 0, 0, 0]), (1003, [1.0]), (1004, []), (None, [1.0] * 4)]
+    rows += [(1000, None), (1001, [1.0, None, 0.0, 0.0]), (1002, [float("nan"), 0.0, 0.0, 0.0]), (1003, [1.0]), (1004, []), (None, [1.0] * 4)]
     rows += [(2000, [1e6] * 4), (2001, [1e6] * 4)]
     d = spark.createDataFrame([(a, b, "z") for a, b in rows], "vec_id long, embedding array<double>, score string")
     got = topk.nearest(d, d.where(F.col("vec_id") % 50 == 0)).collect()

@@ -79,3 +79,27 @@ def merge_evidence(sites: DataFrame, claims: DataFrame) -> DataFrame:
     j = claims.join(sites.withColumnRenamed("revision", "_r"), "site", "left")
     outcome = F.when(F.col("_r").isNull(), "REJECT_NO_SITE").when(F.col("revision") != F.col("_r"), "REJECT_STALE").when(F.col("bound").isNull(), "BINDING").when(F.col("bound") == F.col("target"), "CORROBORATING").otherwise("CONFLICT")
     return j.select("site", "target", outcome.alias("outcome"))
+
+
+#: The accesses that make a literal a key, by the domain they read.
+KEY_APIS = {
+    "os.getenv": "USES_ENV",
+    "os.environ": "USES_ENV",
+    "process.env.": "USES_ENV",
+    "process.env[]": "USES_ENV",
+    "std::env::var": "USES_ENV",
+    "Environment.GetEnvironmentVariable": "USES_ENV",
+    "ConfigurationManager.AppSettings": "USES_CONFIG",
+    "ConfigurationManager.ConnectionStrings": "USES_CONFIG",
+}
+
+
+def domain_relation(api: Column, key: Column) -> Column:
+    """(kind, identity, reason): the relation of a key access; a key that is no literal is a gap."""
+    kind = F.lit(None).cast("string")
+    for name, value in KEY_APIS.items():
+        kind = F.when(api == name, value).otherwise(kind)
+    domain = F.when(kind == "USES_ENV", "ENV").when(kind == "USES_CONFIG", "CONFIG")
+    known = kind.isNotNull() & key.isNotNull()
+    reason = F.when(kind.isNull(), "NOT_A_KEY").when(key.isNull(), "DYNAMIC_KEY")
+    return F.struct(F.when(known, kind).alias("kind"), F.when(known, F.concat(domain, F.lit(":"), key)).alias("identity"), reason.alias("reason"))

@@ -12,7 +12,7 @@ from factgraph.operators import delivery, relations, resolve_code, structure
 from factgraph.plans.bridge import Facts
 from factgraph.plans.queries_code import _LINES, _MEMBERS
 from factgraph.plans.queries_facts import _EDGES, _GROUPED, group_edges, grouped
-from factgraph.sources import records
+from factgraph.sources import python_code, records
 
 ALL: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {}
 
@@ -144,3 +144,20 @@ def _(f):
 def _(f):
     k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return f("conversations").where("turn > 2").withColumn("k", k).where("k <= 3").select("conv_id", "turn", "role")
+
+
+_CODE = "concat('import os', chr(10), 'class C', c_custkey, ':', chr(10), '    def f(self):', chr(10), '        return g(', c_custkey, ')', chr(10), 'def h():', chr(10), '    return os.getenv(\"K', c_custkey % 7, '\")', chr(10))"
+
+
+@query("S16_python_structure", """SELECT concat('c', c_custkey, '.py') AS path_key, t.record, CASE t.record WHEN 'KEY' THEN concat('K', c_custkey % 7) WHEN 'STATUS' THEN '' ELSE CASE WHEN t.name = 'C' THEN concat('C', c_custkey) ELSE t.name END END AS name,
+CASE t.q WHEN 'C' THEN concat('C', c_custkey) WHEN 'C.f' THEN concat('C', c_custkey, '.f') ELSE t.q END AS qualified_name FROM customer, (SELECT unnest([{'record': 'STATUS', 'name': '', 'q': ''}, {'record': 'IMPORT', 'name': 'os', 'q': 'os'}, {'record': 'SYMBOL', 'name': 'C', 'q': 'C'}, {'record': 'SYMBOL', 'name': 'f', 'q': 'C.f'}, {'record': 'CALL', 'name': 'g', 'q': 'g'}, {'record': 'SYMBOL', 'name': 'h', 'q': 'h'}, {'record': 'KEY', 'name': '', 'q': 'os.getenv'}]) AS t)""")
+def _(f):
+    files = f("customer").select(F.expr("concat('c', c_custkey, '.py')").alias("path_key"), F.encode(F.expr(_CODE), "UTF-8").alias("content"))
+    return python_code.parse_python(files).select("path_key", "record", "name", "qualified_name")
+
+
+@query("G16_domain_keys", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL WHEN event_type = 'view' THEN 'USES_ENV' WHEN event_type = 'click' THEN 'USES_CONFIG' END AS kind, CASE WHEN user_id % 3 <> 0 THEN CASE event_type WHEN 'view' THEN concat('ENV:K', user_id) WHEN 'click' THEN concat('CONFIG:K', user_id) END END AS identity, CASE WHEN event_type NOT IN ('view', 'click') THEN 'NOT_A_KEY' WHEN user_id % 3 = 0 THEN 'DYNAMIC_KEY' END AS reason FROM events")
+def _(f):
+    api = F.when(F.col("event_type") == "view", "os.getenv").when(F.col("event_type") == "click", "ConfigurationManager.AppSettings").otherwise("map.get")
+    key = F.when(F.col("user_id") % 3 != 0, F.concat(F.lit("K"), "user_id"))
+    return f("events").select("event_id", resolve_code.domain_relation(api, key).alias("r")).select("event_id", "r.*")

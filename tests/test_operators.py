@@ -145,3 +145,17 @@ def test_snapshots_publish_by_compare_and_swap(spark, tmp_path):
         s.publish({"resource": one}, basis=0, revision=2)
     two = one.union(spark.createDataFrame([("b", 2)], "uid string, size long"))
     assert reconcile(s, two)["revision"] == 2 and s.table("resource").count() == 2
+
+
+def test_python_structure_spans_and_coverage(spark):
+    from factgraph.sources.python_code import parse_python
+
+    good = "import os\nclass Ä:\n    async def m(self):\n        return os.environ['K'] + os.getenv(x)\nfrom .a import b as c\n".encode()
+    files = [("a.py", good), ("b.py", b"def ("), ("c.py", None), ("d.py", b"")]
+    got = [tuple(r) for r in parse_python(spark.createDataFrame(files, "path_key string, content binary")).collect()]
+    status = {r[0]: r[4] for r in got if r[1] == "STATUS"}
+    assert status == {"a.py": "COMPLETE", "b.py": "PARTIAL", "c.py": "PARTIAL", "d.py": "COMPLETE"}
+    method = next(r for r in got if r[2] == "m")
+    assert method[3:5] == ("Ä.m", "METHOD") and good[method[5] : method[6]].startswith(b"async def m")
+    assert [(r[2], r[3], r[4]) for r in got if r[1] == "KEY"] == [("K", "os.environ", "LITERAL"), ("", "os.getenv", "DYNAMIC")]
+    assert [(r[2], r[3]) for r in got if r[1] == "IMPORT"] == [("os", "os"), ("c", ".a:b")]

@@ -38,7 +38,6 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self.spark.catalog  # keeps the session alive as long as its tables
         return out
 
     def _delete(self, path: str) -> None:
@@ -69,7 +68,7 @@ def small(df: DataFrame, limit: int = BROADCAST_IDS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+def keep_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
     """Semi or anti join with a set of keys: broadcast if the set is proven small, else a shuffle."""
     return df.join(F.broadcast(ids) if small(ids) else ids, key, how)
 

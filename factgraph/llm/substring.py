@@ -6,8 +6,9 @@ repeated anchor.  Anchors are joined across documents; around each repeated one
 extended both ways, to all windows that chose it, for all its occurrences at once: windows with
 equal words meet in one group, whose first member (by document, then position) stays and whose
 later members are cut.  Adjacent cut windows merge into maximal repeats.  Nothing is paired, so a
-passage with thousands of copies costs a row a copy and window, and counts and minima of hot groups
-are formed before the shuffle.
+passage with thousands of copies costs a row a copy and window.  Windows of anchors with more than
+``Params.hot`` occurrences form their minima before a shuffle and join them, so that no task needs a
+hot group; the others meet in one shuffle, in groups of at most that size.
 
 Exact copies of a whole text are found first, by a 128-bit fingerprint of the word sequence; only
 the first copy is searched for anchors.
@@ -27,11 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, keep_ids
-from ._words import Words, chunks, mix, rolling
+from ._words import Words, chunks, mix, rolling, tidied
 
 _NO_ID = -(2**63)
 
@@ -40,6 +41,7 @@ _NO_ID = -(2**63)
 class Params:
     window: int = 20
     seed: int = 6
+    hot: int = 100_000
 
 
 def chosen(g: np.ndarray, m: int) -> np.ndarray:
@@ -117,11 +119,13 @@ def anchors(docs: DataFrame, p: Params, digests: bool) -> DataFrame:
                     ["id", "n_words", "fa", "fb", "sha", "seeds", "places"],
                 )
 
-    return docs.mapInArrow(run, "id long, n_words long, fa long, fb long, sha string, seeds array<long>, places array<int>")
+    return docs.mapInArrow(tidied(run), "id long, n_words long, fa long, fb long, sha string, seeds array<long>, places array<int>")
 
 
 def extended(seeded: DataFrame, p: Params) -> DataFrame:
-    """Windows around repeated anchors of (id, text, places): anchor, window, id and packed place.
+    """Windows around repeated anchors of (id, text, places): anchor, window, id, packed place, hot.
+
+    places: twice the anchor's first word, plus one if it is hot.
 
     A packed place is the window's first word, then 31 bits that tell texts of one id apart.
     """
@@ -135,17 +139,20 @@ def extended(seeded: DataFrame, p: Params) -> DataFrame:
                     continue
                 places = c.column("places")
                 row = np.repeat(np.arange(c.num_rows), np.diff(places.offsets.to_numpy()))
-                at = w.first[row] + places.flatten().to_numpy().astype(np.int64)
-                on = np.zeros(len(w) + 1, bool)
-                on[at[at < w.first[row + 1]]] = True
+                flags = places.flatten().to_numpy().astype(np.int64)
+                at = w.first[row] + (flags >> 1)
+                inside = at < w.first[row + 1]
+                on, hot = np.zeros(len(w) + 1, bool), np.zeros(len(w) + 1, bool)
+                on[at[inside]] = True
+                hot[at[inside & (flags & 1 > 0)]] = True
                 hit = np.flatnonzero(on[x.anchor])
                 first = x.at[hit]
                 doc = w.doc[first]
                 packed = ((first - w.first[doc]) << 31) | x.tags()[doc]
                 window = rolling(w.hash, p.window, 2)[first].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x.seeds[x.anchor[hit]].view(np.int64)), pa.array(window), c.column("id").take(pa.array(doc)), pa.array(packed)], ["a", "w", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.seeds[x.anchor[hit]].view(np.int64)), pa.array(window), c.column("id").take(pa.array(doc)), pa.array(packed), pa.array(hot[x.anchor[hit]])], ["a", "w", "id", "at", "hot"])
 
-    return seeded.mapInArrow(run, "a long, w long, id long, at long")
+    return seeded.mapInArrow(tidied(run), "a long, w long, id long, at long, hot boolean")
 
 
 def repeats(docs: DataFrame, p: Params, scratch: Scratch, digests: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -153,23 +160,25 @@ def repeats(docs: DataFrame, p: Params, scratch: Scratch, digests: bool) -> tupl
 
     ``docs`` has id and text.  copies: (fa, fb, n_words, first); cuts: (id, ats).
     """
-    rows = scratch.write(anchors(docs, p, digests))
+    found = scratch.write(anchors(docs, p, digests))
+    rows = scratch.write(found.drop("seeds", "places"))
     same = ["fa", "fb", "n_words"]
     copies = scratch.write(rows.where(F.col("n_words") >= p.window).groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    firsts = rows.where(F.col("n_words") >= p.window).select("id", *same, "seeds", "places")
-    firsts = firsts.join(copies, same, "left").where("first IS NULL OR first = id")
-    found = firsts.select("id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("a"), "id", F.col("s.places").alias("place"))
-    twice = scratch.write(found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a"))
+    later = rows.join(copies, same).where("id > first").select("id", "fa").distinct()
+    firsts = keep_ids(found.where(F.col("n_words") >= p.window), scratch.write(later), ["id", "fa"], "left_anti")
+    each = firsts.select("id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("a"), "id", F.col("s.places").alias("place"))
+    twice = scratch.write(each.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a", (F.col("c") > p.hot).cast("int").alias("hot")))
     scratch.release()
-    seeds = scratch.write(found.join(twice, "a").groupBy("id").agg(F.collect_list("place").alias("places")))
-    scratch.drop(twice)
+    seeds = scratch.write(each.join(twice, "a").groupBy("id").agg(F.collect_list(F.col("place") * 2 + F.col("hot")).alias("places")))
+    scratch.drop(twice, found)
     text = keep_ids(docs, seeds.select("id"), "id")
     windows = scratch.write(extended(text.join(seeds, "id").select("id", "text", "places"), p))
     scratch.drop(seeds)
     least = F.min(F.struct("id", "at"))
-    first = scratch.write(windows.groupBy("a", "w").agg(least.alias("f"), F.count("*").alias("c")).where("c > 1").select("a", "w", F.col("f.id").alias("fid"), F.col("f.at").alias("fat")))
-    scratch.release()
-    again = windows.join(first, ["a", "w"]).where("id > fid OR (id = fid AND at > fat)")
+    cold = windows.where("NOT hot").withColumn("f", least.over(Window.partitionBy("a", "w"))).select("id", "at", "f")
+    hot = windows.where("hot").select("a", "w", "id", "at")
+    first = scratch.write(hot.groupBy("a", "w").agg(least.alias("f"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    again = cold.unionByName(hot.join(first, ["a", "w"]).select("id", "at", "f")).where("id > f.id OR (id = f.id AND at > f.at)")
     cuts = scratch.write(again.groupBy("id").agg(F.collect_list("at").alias("ats")))
     scratch.drop(windows, first)
     return rows, copies, cuts
@@ -208,9 +217,9 @@ def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 ids = c.column("id").take(pa.array(at, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(fa[at]), pa.array(fb[at]), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["id", "fa", "fb", "cut_words", "cut_sha"])
 
-    cut = keep_ids(docs, cuts.select("id"), "id").join(cuts, "id").select("id", "text", "ats").mapInArrow(run, "id long, fa long, fb long, cut_words long, cut_sha string").distinct()
+    cut = keep_ids(docs, cuts.select("id"), "id").join(cuts, "id").select("id", "text", "ats").mapInArrow(tidied(run), "id long, fa long, fb long, cut_words long, cut_sha string").distinct()
     same = ["fa", "fb", "n_words"]
-    out = rows.drop("seeds", "places").join(copies, same, "left").join(cut, ["id", "fa", "fb"], "left")
+    out = rows.join(copies, same, "left").join(cut, ["id", "fa", "fb"], "left")
     copy = F.col("first") < F.col("id")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
@@ -265,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out = out.set_column(k, out.schema.field(k), pa.array(values, out.schema.field(k).type))
                 yield out
 
-    return touched.mapInArrow(run, docs.schema).unionByName(spared)
+    return touched.mapInArrow(tidied(run), docs.schema).unionByName(spared)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

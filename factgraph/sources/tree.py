@@ -38,15 +38,14 @@ def excluded(paths: DataFrame) -> DataFrame:
     parts = F.split("path_key", "/")
     always = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(x) for x in EXCLUDED]))
     kept = paths.where(~always)
-    out = kept
-    for name, marker in CONTEXTUAL.items():
-        homes = kept.where(F.endswith("path_key", F.lit(marker))).select(F.regexp_replace("path_key", r"[^/]*$", "").alias("_home")).distinct()
-        inside = F.regexp_extract("path_key", rf"^(.*?/?)(?:^|(?<=/)){name}/", 1)
-        has = F.regexp_like("path_key", F.lit(rf"(?:^|/){name}/"))
-        out = out.withColumn("_has", has).withColumn("_home", inside)
-        gone = out.where("_has").join(homes, "_home", "left_semi").select("path_key")
-        out = out.drop("_has", "_home").join(gone, "path_key", "left_anti")
-    return out
+    marker = F.lit(None).cast("string")
+    for m in sorted(set(CONTEXTUAL.values())):
+        marker = F.when(F.endswith("path_key", F.lit(m)), m).otherwise(marker)
+    beside = kept.select(F.regexp_replace("path_key", r"[^/]*$", "").alias("home"), marker.alias("marker")).where("marker IS NOT NULL").distinct()
+    wanted = F.create_map(*[F.lit(x) for pair in CONTEXTUAL.items() for x in pair])
+    places = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d, i: F.struct(F.array_join(F.transform(F.slice(parts, F.lit(1), i), lambda x: F.concat(x, F.lit("/"))), "").alias("home"), wanted[d].alias("marker")))
+    inside = kept.select("path_key", F.explode(F.filter(places, lambda p: p["marker"].isNotNull())).alias("p")).select("path_key", "p.home", "p.marker")
+    return kept.join(inside.join(beside, ["home", "marker"], "left_semi").select("path_key").distinct(), "path_key", "left_anti")
 
 
 def language_of(path: Column) -> Column:

@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._words import chunks
+from ._words import chunks, tidied
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Distinct words a worker remembers before it starts anew; bounds memory, never the result.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 _RUN = re.compile(f"{MARK} (?={MARK})")
 _models: dict[str, Pieces] = {}
 
@@ -61,7 +61,7 @@ class Pieces:
         if spec.model_type not in (1, 2) or any(p.type == 4 for p in model.pieces):
             raise ValueError("only unigram and BPE models without user-defined pieces are supported")
         self.merges, self.prefix = spec.model_type == 2, norm.add_dummy_prefix
-        self.follows = functools.lru_cache(1_000_000)(self._fits)
+        self.follows = functools.lru_cache(400_000)(self._fits)
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
         self.score = [p.score for p in model.pieces]
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
@@ -230,12 +230,16 @@ class Pieces:
         """Ids of whole texts as little-endian uint32 bytes."""
         parts = [self.units(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+            self.forget()
         known = self.known
         if new := {x for words in parts for x in words if x not in known}:
             self._remember(new)
         return [b"".join([known[x] for x in words]) for words in parts]
 
+    def forget(self) -> None:
+        """Drops remembered words; what is known about pairs of pieces stays."""
+        self.known = {"": b""}
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
         raw = self.raw
@@ -264,8 +268,9 @@ def encode_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])])
                 ids = pa.array(np.frombuffer(b"".join(raw), "<i4"))
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids)], ["doc_id", "ids"])
+        m.forget()
 
-    return _two(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return _two(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_name: str = MODEL) -> DataFrame:
@@ -280,7 +285,7 @@ def decode_pieces(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "id
                 texts = [m.decode(x.values.to_pylist()) if x.is_valid else None for x in ids.slice(a, 256)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, 256), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return two.mapInArrow(run, "doc_id long, text string")
+    return two.mapInArrow(tidied(run), "doc_id long, text string")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_name: str = MODEL) -> DataFrame:
@@ -300,5 +305,6 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str, model_name: str = MODEL
                     [c.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.int64())],
                     ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "decoded_chars"],
                 )
+        m.forget()
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, decoded_chars long")
+    return docs.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, decoded_chars long")

@@ -10,8 +10,9 @@ No table labels DOM nodes, so the trees are fitted on ``Params.pages`` pages tha
 writes with known labels, in many layouts, from a fixed seed; that number bounds the fit.
 
 Defined cases: a null or empty page has an empty text; a page without markup is one leaf; markup that
-is not closed ends with its parent; comments, scripts, styles, titles and other raw text never are
-text; a page of any length is read whole; equal rows get equal results; an empty table gives an empty
+is not closed ends with its parent, a head with its page's first body element, and a script, style,
+title, textarea or iframe with the page, as in browsers; comments, these five and other raw markup
+never are text; a page of any length is read whole; equal rows get equal results; an empty table gives an empty
 result.  Only the three named columns are read, so other columns cannot clash.
 """
 
@@ -44,12 +45,20 @@ class Params:
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
-_RAW = {"script", "style", "title", "textarea", "template", "noscript", "iframe", "object", "svg", "math", "select", "head"}
+#: Their content is no markup: it ends at the first end tag of the same name and nowhere else.
+_RAW = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in ("script", "style", "title", "textarea", "iframe")}
+#: Their content is markup that is never main text; left open, they end with their parent.
+_SKIP = {"template", "noscript", "object", "svg", "math", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var"}
 #: An opening tag ends these open ones: what HTML lets authors leave out.
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _ENDS_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_NOSCRIPT = re.compile(r"<(/?)noscript(?=[\s/>])", re.I)
+#: An opening tag ends these skipped ones, unless it stands in one of _WITHIN.
+_FOREIGN = {"b", "big", "blockquote", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "i", "img", "li", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span", "strike", "strong", "sub", "sup", "table", "tt", "u", "ul", "var"}
+_ENDS_SKIP = {"svg": _FOREIGN, "math": _FOREIGN, "select": {"input", "keygen", "select", "textarea", "caption", "table", "tbody", "td", "tfoot", "th", "thead", "tr"}}
+_WITHIN = {"foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml"}
 _SCOPE = {"ul", "ol", "dl", "table", "div", "article", "section", "body"}
 
 
@@ -101,7 +110,9 @@ def parse(page: str, out: Nodes) -> None:
     leaf = -1
     in_link = 0
     at = 0
+    body = False
     skip = ""
+    inner: list[str] = []  # what is open in a skipped element
 
     def close(i: int) -> None:
         """Pops the stack down to i entries."""
@@ -116,6 +127,15 @@ def parse(page: str, out: Nodes) -> None:
             if block:
                 leaf, brk = -1, True
 
+    def opened(name: str) -> int:
+        """The place in the stack that an end tag closes, or 0."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][0] == name:
+                return i
+            if name in _INLINE and stack[i][2]:
+                break
+        return 0
+
     def say(s: str) -> None:
         nonlocal leaf, brk
         if leaf < 0:
@@ -136,36 +156,61 @@ def parse(page: str, out: Nodes) -> None:
         stops[leaf] += s.count(".") + s.count(",")
         words[leaf] += s.count(" ") + 1
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         a = m.start()
-        if skip:
-            if m[1] and m[2].lower() == skip:
-                skip = ""
-                at = m.end()
-            continue
-        if a > at:
+        if a > at and not skip:
             say(page[at:a])
         at = m.end()
         name = m[2]
         if name is None:
             continue
         name = name.lower()
+        raw = m[3]
+        if skip:
+            if m[1]:
+                if name in inner:
+                    while inner.pop() != name:
+                        pass
+                    continue
+                if name == skip:
+                    skip = ""
+                    continue
+                if not opened(name) and name not in ("head", "body", "html"):
+                    continue
+            elif name != "body" and (name not in _ENDS_SKIP.get(skip, ()) or not _WITHIN.isdisjoint(inner)):
+                if raw.endswith("/") or name in _VOID:
+                    continue
+                if name not in _RAW:
+                    inner.append(name)
+                    continue
+                if end_tag := _RAW[name].search(page, at):
+                    at = end_tag.end()
+                    continue
+                at = len(page)
+                break
+            skip = ""  # it was left open
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if name in _INLINE and stack[i][2]:
-                    break
+            if i := opened(name):
+                close(i)
             continue
-        raw = m[3]
-        if name == "body" or name == "html":
+        if name == "body" or name == "html" or name == "head":
+            body |= name == "body"
             if name == "body" and raw:
                 attrs[root] = raw
             continue
         if name in _RAW:
+            leaf = -1
+            if not raw.endswith("/"):
+                end_tag = _RAW[name].search(page, at)
+                at = end_tag.end() if end_tag else len(page)
+            continue
+        if name in _SKIP:
+            in_head = not body and len(stack) == 1 and len(tag) == root + 1
+            if name == "noscript" and in_head and not ((n := _NOSCRIPT.search(page, at)) and n[1]):
+                continue  # left open in the head, which the first body element ends
             if not raw.endswith("/"):
                 skip = name
+                inner.clear()
             leaf = -1
             continue
         if name in _VOID:

@@ -268,6 +268,32 @@ def test_extraction_cases():
     assert got == ["", "", "A & B c One two three. Four five."]
 
 
+@pytest.mark.parametrize(
+    "head,more",
+    [
+        ("<head><title>t</title></head>", "<script>for(i=0;i<n;i++)a[i]=0;</script>"),
+        ("<head><title>t</title></head>", "<script><!-- if (a<b) c = '</p>'; </SCRIPT >"),
+        ("<head><title>a <b</title><style>a<b{}</style>", "<textarea>x<y</textarea>"),
+        ("<head><title>t</title><meta charset=utf-8><link rel=x href=y>", ""),
+        ("<head><title>t</title><noscript><link rel=x>", ""),
+        ("<head></head>", "<div><select><option>No<option>No</div>"),
+        ("<head></head>", "<div><object data=x><p>No</p><object>No</object></div>"),
+        ("<head></head>", "<div><noscript>No<b>No</b></div>"),
+        ("<head></head>", "<svg><title>No</title><g><path d='x'/>"),
+        ("<head></head>", "<svg><foreignObject><p>No</p></foreignObject><text>No</text></svg>"),
+        ("<head></head>", "<math><mi>No</mi>"),
+        ("<head></head>", "<select><option>No<select><option>No</select>"),
+    ],
+)
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_extraction_goes_on_after_raw_and_unclosed_elements(head, more, body):
+    page = f"<html>{head}{body}<div class=x>{more}<div class=content><h1>Title</h1><p>One two three, four.</p>{more}<p>Five six seven, eight.</p></div></div>"
+    nodes = html.Nodes()
+    html.parse(page, nodes)
+    assert [s for t in nodes.text if t for s in t if s.strip()] == ["Title", "One two three, four.", "Five six seven, eight."]
+    assert html.extract([page], html.fitted()) == ["Title One two three, four. Five six seven, eight."]
+
+
 def test_empty_tables(spark):
     d = docs(spark, []).limit(0)
     assert quality.quality_measures(d).count() == 0 and substring.substring_report(d).count() == 0

@@ -45,6 +45,17 @@ def resolve_preferences(preferences: DataFrame, decisions: DataFrame, keys: list
     return best.groupBy("policy_key").agg(F.count_distinct("rule_text").alias("values"), F.min("rule_text").alias("v")).select("policy_key", F.when(F.col("values") == 1, F.col("v")).alias("value"), (F.col("values") > 1).alias("conflict"))
 
 
+def overlap_members(work_resources: DataFrame, role: str) -> DataFrame:
+    """(resource_uid, work_uid, others) of every resource that several work items hold in a role.
+
+    Two work items overlap if they have rows of the same resource.  The pairs, whose number grows with the
+    square of a resource's holders, are not formed: ``others`` counts those of a row.
+    """
+    held = work_resources.where(F.col("role") == role).select("resource_uid", "work_uid").distinct()
+    shared = held.groupBy("resource_uid").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    return held.join(shared, "resource_uid").select("resource_uid", "work_uid", "others")
+
+
 STATUSES = ("OPEN", "ACTIVE", "BLOCKED", "PAUSED", "COMPLETED", "ABANDONED")
 
 

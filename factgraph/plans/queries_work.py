@@ -102,6 +102,12 @@ def _(f):
     return a.join(t.select(F.col("work_uid").alias("other"), "resource_uid"), "resource_uid").where("one < other").select("one", "other", "resource_uid").orderBy("one", "other", "resource_uid").limit(256)
 
 
+@query("J9_work_overlap_all", "SELECT resource_uid, work_uid, others FROM (SELECT resource_uid, work_uid, count(*) OVER (PARTITION BY resource_uid) - 1 AS others FROM (SELECT DISTINCT resource_uid, work_uid FROM b_work_resource WHERE role = 'TARGET')) WHERE others > 0")
+def _(f):
+    """Overlaps of all work items, without the subset and the limit of J9_work_overlap_pairs."""
+    return knowledge.overlap_members(f("b_work_resource"), "TARGET")
+
+
 @query("A16_role_sets", "SELECT resource_uid, array_to_string(list_sort(list_distinct(list(role))), ',') AS roles FROM b_work_resource GROUP BY resource_uid")
 def _(f):
     return f("b_work_resource").groupBy("resource_uid").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))

@@ -159,3 +159,14 @@ def test_python_structure_spans_and_coverage(spark):
     assert method[3:5] == ("Ä.m", "METHOD") and good[method[5] : method[6]].startswith(b"async def m")
     assert [(r[2], r[3], r[4]) for r in got if r[1] == "KEY"] == [("K", "os.environ", "LITERAL"), ("", "os.getenv", "DYNAMIC")]
     assert [(r[2], r[3]) for r in got if r[1] == "IMPORT"] == [("os", "os"), ("c", ".a:b")]
+
+
+def test_overlap_members_hold_every_pair(spark):
+    r = random.Random(8)
+    rows = [(r.randrange(1, 120), f"p{r.randrange(12)}", r.choice(["TARGET", "TARGET", "READ"])) for _ in range(400)]
+    held = {(p, w) for w, p, role in rows if role == "TARGET"}
+    want = {(p, a, b) for p, a in held for q, b in held if p == q and a < b}
+    assert len(want) > 256 and any(a % 50 for _, a, _ in want)
+    got = knowledge.overlap_members(spark.createDataFrame(rows, "work_uid long, resource_uid string, role string"), "TARGET").collect()
+    assert {(x.resource_uid, x.work_uid, y.work_uid) for x in got for y in got if x.resource_uid == y.resource_uid and x.work_uid < y.work_uid} == want
+    assert sum(x.others for x in got) == 2 * len(want) and len(got) == len({(x.resource_uid, x.work_uid) for x in got})

@@ -47,6 +47,21 @@ def search_budget(files: DataFrame, max_results: int, max_files: int, max_bytes:
     return out.where((F.col("r0") < max_results) & (F.col("n0") < max_files) & (F.col("b0") < max_bytes))
 
 
+def published(attempts: DataFrame, span: int = 1 << 16) -> DataFrame:
+    """(generation, state) of attempts (generation, basis, ok) on one workspace, one row a generation.
+
+    An attempt is STABLE if its basis is the last earlier generation that was ok, or 0, else ABORTED.  The
+    running maximum is formed over ranges of ``span`` generations, so no task sees all attempts.
+    """
+    done = F.when(F.col("ok"), F.col("generation"))
+    a = attempts.select("generation", "basis", done.alias("done"), F.expr(f"generation div {span}").alias("range"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    base = a.groupBy("range").agg(F.max("done").alias("last")).select("range", F.max("last").over(before).alias("base"))
+    inside = Window.partitionBy("range").orderBy("generation").rowsBetween(Window.unboundedPreceding, -1)
+    now = F.coalesce(F.max("done").over(inside), "base", F.lit(0))
+    return a.join(base, "range").select("generation", F.when(F.col("basis") == now, "STABLE").otherwise("ABORTED").alias("state"))
+
+
 def merge_ranges(ranges: DataFrame, key: str) -> DataFrame:
     """Ranges [start, end) of a key that overlap or are equal become one; touching ones stay apart."""
     w = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

@@ -140,6 +140,12 @@ def _(f):
     return e.select(F.col("event_id").alias("generation"), F.when(F.col("basis") == now, "STABLE").otherwise("ABORTED").alias("state"))
 
 
+@query("ST9_generation_publish_all", "SELECT event_id AS generation, CASE WHEN basis = coalesce(max(CASE WHEN ok THEN event_id END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 'STABLE' ELSE 'ABORTED' END AS state FROM (SELECT event_id, event_id % 5 <> 0 AS ok, event_id - 1 AS basis FROM events)")
+def _(f):
+    """All events, without the fixed prefix and the single task of ST9_generation_publish."""
+    return delivery.published(f("events").select(F.col("event_id").alias("generation"), (F.col("event_id") - 1).alias("basis"), (F.col("event_id") % 5 != 0).alias("ok")))
+
+
 @query("ST13_job_poll", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn > 2) WHERE k <= 3")
 def _(f):
     k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))

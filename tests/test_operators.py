@@ -170,3 +170,17 @@ def test_overlap_members_hold_every_pair(spark):
     got = knowledge.overlap_members(spark.createDataFrame(rows, "work_uid long, resource_uid string, role string"), "TARGET").collect()
     assert {(x.resource_uid, x.work_uid, y.work_uid) for x in got for y in got if x.resource_uid == y.resource_uid and x.work_uid < y.work_uid} == want
     assert sum(x.others for x in got) == 2 * len(want) and len(got) == len({(x.resource_uid, x.work_uid) for x in got})
+
+
+@pytest.mark.parametrize("span", [3, 64, 1 << 16])
+def test_published_over_ranges_equals_one_pass(spark, span):
+    r = random.Random(span)
+    rows, want, last = [], {}, 0
+    for g in sorted(r.sample(range(1, 3000), 900)):
+        basis, ok = r.choice([last, last, g - 1]), r.random() < 0.4
+        rows.append((g, basis, ok))
+        want[g] = "STABLE" if basis == last else "ABORTED"
+        last = g if ok else last
+    r.shuffle(rows)
+    got = delivery.published(spark.createDataFrame(rows, "generation long, basis long, ok boolean"), span).collect()
+    assert len(got) == 900 and {x.generation: x.state for x in got} == want

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,17 @@ def limited(rows: DataFrame, order: list, limit: int) -> tuple[DataFrame, DataFr
     """The first rows in an order, and whether there are more: one row beyond the limit is fetched."""
     more = rows.orderBy(*order).limit(limit + 1)
     return rows.orderBy(*order).limit(limit), more.agg((F.count("*") > limit).alias("truncated"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "place", range_rows: int = 200_000) -> DataFrame:
+    """Adds places from 1 in the order of columns that no two rows share, with no task that sees all rows.
+
+    Rows are dealt to ranges of the order and kept, so that both uses see the same ranges.  A place is the
+    number of rows in earlier ranges plus the place inside the range.  The number of ranges follows the rows.
+    """
+    n = max(1, -(-rows.count() // range_rows))
+    dealt = rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()).persist()
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_in", inside).join(starts, "_range").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_range", "_in", "_before")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factgraph.functions import text as T
 from factgraph.operators import impact, locate, relations, structure
-from factgraph.operators.answer import Answer, limited
+from factgraph.operators.answer import Answer, limited, numbered
 from factgraph.plans.bridge import Facts
 
 ALL: dict[str, tuple[Callable[[Facts], DataFrame], str | None]] = {}
@@ -326,6 +326,20 @@ def _(f):
     return f("b_relation").orderBy("kind", "source", "target").limit(500)
 
 
+@query("O2_endpoint_order_all", "SELECT source, row_number() OVER (ORDER BY CASE split_part(source, ':', 1) WHEN 'customer' THEN 0 WHEN 'order' THEN 1 ELSE 2 END, source) AS place FROM (SELECT DISTINCT source FROM b_relation)")
+def _(f):
+    """Every endpoint, without the limit of O2_endpoint_order."""
+    kind = F.split_part(F.col("source"), F.lit(":"), F.lit(1))
+    rank = F.when(kind == "customer", 0).when(kind == "order", 1).otherwise(2)
+    return numbered(f("b_relation").select("source").distinct().withColumn("rank", rank), ["rank", "source"]).drop("rank")
+
+
+@query("O3_relation_order_all", "SELECT kind, source, target, row_number() OVER (ORDER BY kind, source, target) AS place FROM b_relation")
+def _(f):
+    """Every relation with its place, without the limit of O3_relation_order."""
+    return numbered(f("b_relation"), ["kind", "source", "target"])
+
+
 @query("O4_candidate_cap", "SELECT gap_uid, target, place, n > 16 AS truncated FROM (SELECT gap_uid, target, row_number() OVER (PARTITION BY gap_uid ORDER BY target) AS place, count(*) OVER (PARTITION BY gap_uid) AS n FROM (SELECT DISTINCT gap_uid, target FROM b_candidate)) WHERE place <= 16")
 def _(f):
     return relations.capped_candidates(f("b_candidate")).select("gap_uid", "target", F.col("place").cast("long").alias("place"), "truncated")

@@ -8,8 +8,9 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
+from factgraph import registry
 from factgraph.operators import delivery, impact, knowledge, relations, structure
-from factgraph.operators.answer import Answer, limited
+from factgraph.operators.answer import Answer, limited, numbered
 from factgraph.sources import records, text_scan, tree
 from factgraph.streaming import journal
 
@@ -184,3 +185,20 @@ def test_published_over_ranges_equals_one_pass(spark, span):
     r.shuffle(rows)
     got = delivery.published(spark.createDataFrame(rows, "generation long, basis long, ok boolean"), span).collect()
     assert len(got) == 900 and {x.generation: x.state for x in got} == want
+
+
+@pytest.mark.parametrize("range_rows", [40, 200_000])
+def test_numbered_over_ranges_equals_a_sort(spark, range_rows):
+    r = random.Random(9)
+    rows = sorted({(r.choice("abb"), f"n{r.randrange(900)}") for _ in range(700)})
+    mixed = r.sample(rows, len(rows))
+    got = numbered(spark.createDataFrame(mixed, "kind string, name string"), ["kind", "name"], range_rows=range_rows).collect()
+    assert [(x.kind, x.name) for x in sorted(got, key=lambda x: x.place)] == rows
+    assert sorted(x.place for x in got) == list(range(1, len(rows) + 1))
+
+
+def test_orders_have_no_row_cap(spark):
+    sf = "/root/testdata/sf0.001"
+    endpoints, relations_ = registry.QUERIES["O2_endpoint_order_all"](spark, sf).collect(), registry.QUERIES["O3_relation_order_all"](spark, sf).count()
+    assert {x.source.split(":")[0] for x in endpoints} == {"customer", "order", "supplier", "nation"}
+    assert len(endpoints) > 300 and relations_ > 500

@@ -95,6 +95,13 @@ def _(f):
     return records.status_entries(f.spark.sql(_STATUS))
 
 
+@query("S20_status_entries_all", "SELECT o_orderkey AS id, k AS kind, CASE k WHEN 'CHANGED' THEN concat('src/f', o_orderkey, '.py') WHEN 'RENAMED' THEN concat('new', o_orderkey) ELSE 'x y' END AS path, CASE k WHEN 'RENAMED' THEN concat('old', o_orderkey) END AS original FROM orders, (SELECT unnest(['CHANGED', 'RENAMED', 'UNTRACKED']) AS k)")
+def _(f):
+    """All orders, without the subset of S20_status_entries."""
+    f("b_work").limit(0)
+    return records.status_entries(f.spark.sql(_STATUS.removesuffix(" WHERE o_orderkey % 10 = 0")))
+
+
 _LINES = "SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 3 THEN 'Compiling' ELSE concat('src/f', l_orderkey % 7, '.rs:', l_linenumber, ':', l_suppkey % 5, ': ', CASE WHEN l_linenumber = 1 THEN 'error' ELSE 'warning' END, ': x', l_orderkey % 3) END AS line FROM lineitem"
 
 
@@ -177,6 +184,14 @@ def _(f):
     return resolve_code.merge_evidence(sites, claims)
 
 
+@query("G21_semantic_merge_all", "SELECT c.site, c.target, CASE WHEN s.uid IS NULL THEN 'REJECT_NO_SITE' WHEN c.revision <> s.revision THEN 'REJECT_STALE' WHEN s.bound IS NULL THEN 'BINDING' WHEN s.bound = c.target THEN 'CORROBORATING' ELSE 'CONFLICT' END AS outcome FROM (SELECT concat('occ:', l_orderkey, ':', l_linenumber) AS site, concat('part:', l_partkey - l_partkey % 3 % 2) AS target, CAST(l_suppkey % 3 + 1 AS BIGINT) AS revision FROM lineitem) c LEFT JOIN (SELECT uid, CASE WHEN start_byte % 20 <> 0 THEN target END AS bound, revision FROM b_occurrence) s ON s.uid = c.site")
+def _(f):
+    """All claims, without the subset of G21_semantic_merge."""
+    sites = f("b_occurrence").select(F.col("uid").alias("site"), F.when(F.col("start_byte") % 20 != 0, F.col("target")).alias("bound"), "revision")
+    claims = f("lineitem").select(F.concat(F.lit("occ:"), "l_orderkey", F.lit(":"), "l_linenumber").alias("site"), F.concat(F.lit("part:"), F.col("l_partkey") - F.col("l_partkey") % 3 % 2).alias("target"), (F.col("l_suppkey") % 3 + 1).cast("long").alias("revision"))
+    return resolve_code.merge_evidence(sites, claims)
+
+
 @query("N18_command_routes", "SELECT event_id, CASE event_type WHEN 'view' THEN 'SOURCE_READ' WHEN 'click' THEN 'TEXT_SEARCH' WHEN 'purchase' THEN 'DISCOVERY' ELSE 'OPAQUE' END AS route FROM events")
 def _(f):
     command = F.when(F.col("event_type") == "view", "cat src/a.py").when(F.col("event_type") == "click", "grep -n x src").when(F.col("event_type") == "purchase", "ls -la src").otherwise("cat a | sh")

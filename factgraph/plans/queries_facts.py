@@ -454,6 +454,15 @@ def _(f):
     return structure.cycles(pairs)
 
 
+@query("G12_group_cycles_all", """WITH RECURSIVE p AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS src, CAST((l_partkey * 7 + l_suppkey) % 40 AS BIGINT) AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+c AS (SELECT src, dst FROM p WHERE src <> dst UNION SELECT c.src, p.dst FROM c JOIN p ON p.src = c.dst AND p.src <> p.dst)
+SELECT a.src AS member, least(a.src, min(a.dst)) AS component FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src""")
+def _(f):
+    """Cycles over all edges, without the subsets of G12_group_cycles; the group graph has 40 groups."""
+    s = f("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("src"))
+    return structure.cycles(f("lineitem").join(s, "l_suppkey").select("src", ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 40).cast("long").alias("dst")))
+
+
 # sets --------------------------------------------------------------------------------------------
 
 @query("U1_tagged_union", "SELECT 'gap' AS tag, count(*) AS n FROM b_gap UNION ALL SELECT 'relation', count(*) FROM b_relation")

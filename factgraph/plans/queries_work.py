@@ -209,6 +209,14 @@ def _(f):
     return journal.refresh_decision(f("b_journal").where("seq % 5 = 0"), r)
 
 
+@query("ST7_refresh_decision_all", """WITH n AS (SELECT path_id, count(*) AS n, max_by(kind, seq) AS kind FROM b_journal GROUP BY path_id), r AS (SELECT c_custkey AS path_id, CASE WHEN c_acctbal < 0 THEN 'DELETED' ELSE 'ACTIVE' END AS state FROM customer WHERE c_custkey % 4 <> 0)
+SELECT n.path_id, CASE WHEN n > 1 THEN 'DEFERRED_MANY' WHEN kind <> 'MODIFY' THEN 'DEFERRED_KIND' WHEN state IS NULL THEN 'DEFERRED_UNKNOWN' WHEN state <> 'ACTIVE' THEN 'DEFERRED_DELETED' ELSE 'REFRESH' END AS decision FROM n LEFT JOIN r ON r.path_id = n.path_id""")
+def _(f):
+    """All events, without the subset of ST7_refresh_decision."""
+    r = f("customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("path_id"), F.when(F.col("c_acctbal") < 0, "DELETED").otherwise("ACTIVE").alias("state"))
+    return journal.refresh_decision(f("b_journal"), r)
+
+
 @query("ST10_applied_marking", "SELECT seq, CASE WHEN seq <= 500 THEN 'APPLIED' ELSE 'PENDING' END AS state, CASE WHEN seq <= 500 THEN 7 END AS generation FROM b_journal")
 def _(f):
     done = F.col("seq") <= 500

@@ -202,3 +202,32 @@ def test_orders_have_no_row_cap(spark):
     endpoints, relations_ = registry.QUERIES["O2_endpoint_order_all"](spark, sf).collect(), registry.QUERIES["O3_relation_order_all"](spark, sf).count()
     assert {x.source.split(":")[0] for x in endpoints} == {"customer", "order", "supplier", "nation"}
     assert len(endpoints) > 300 and relations_ > 500
+
+
+def test_whole_tables_are_fed(spark):
+    sf = "/root/testdata/sf0.001"
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    run = lambda name: registry.QUERIES[name](spark, sf)
+    assert run("S20_status_entries_all").count() == 3 * table("orders").count()
+    assert run("G21_semantic_merge_all").select("site").distinct().count() == table("lineitem").select("l_orderkey", "l_linenumber").distinct().count()
+    assert run("ST7_refresh_decision_all").count() == table("events").select("user_id").distinct().count()
+    nation = {x.s_suppkey: x.s_nationkey for x in table("supplier").collect()}
+    out = {}
+    for x in table("lineitem").select("l_partkey", "l_suppkey").distinct().collect():
+        if x.l_suppkey in nation:
+            out.setdefault(nation[x.l_suppkey], set()).add((x.l_partkey * 7 + x.l_suppkey) % 40)
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in out.get(todo.pop(), set()) - seen:
+                seen.add(b)
+                todo.append(b)
+        return seen
+
+    far = {a: reach(a) for a in out}
+    want = {}
+    for a in out:
+        if mates := {b for b in far[a] if b != a and a in far.get(b, ())}:
+            want[a] = min(mates | {a})
+    assert want and {x.member: x.component for x in run("G12_group_cycles_all").collect()} == want

@@ -75,6 +75,23 @@ def _(f):
     return text_scan.verified_range(files, spans).select("path_key", "verified", F.sha2("bytes", 256).alias("digest"))
 
 
+@query("W6_line_index_all", "SELECT doc_id, strlen(substr(text, 1, position('the ' IN text) - 1)) AS at, len(string_split(substr(text, 1, position('the ' IN text) - 1), chr(10))) - 1 AS line FROM b_source WHERE contains(text, 'the ')")
+def _(f):
+    """All documents, those with multi-byte characters too, which W6_line_index leaves out."""
+    s = f("b_source").select(F.col("doc_id").cast("string").alias("path_key"), F.encode("text", "UTF-8").alias("content"))
+    m = text_scan.scan(s, "the ").groupBy("path_key").agg(F.min(F.struct("start_byte", "line")).alias("m"))
+    return m.select(F.col("path_key").cast("long").alias("doc_id"), F.col("m.start_byte").alias("at"), F.col("m.line").alias("line"))
+
+
+@query("S14_verified_ranges_all")
+def _(f):
+    """All documents, those with multi-byte characters and short ones too, which S14_verified_ranges leaves out."""
+    s = f("b_source")
+    files = s.select("path_key", F.encode("text", "UTF-8").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise("stale").alias("expected"))
+    spans = s.select("path_key", F.lit(2).alias("start"), F.lit(22).alias("end"))
+    return text_scan.verified_range(files, spans).select("path_key", "verified", F.sha2("bytes", 256).alias("digest"))
+
+
 @query("S17_stable_ids", """WITH o AS (SELECT uid, qualified_name, kind, signature FROM b_symbol WHERE revision < 3), n AS (SELECT uid AS n, qualified_name, kind, signature FROM b_symbol WHERE revision > 1),
 a AS (SELECT n.n, o.uid FROM n JOIN o ON o.qualified_name = n.qualified_name AND o.kind = n.kind WHERE (n.qualified_name, n.kind) IN (SELECT qualified_name, kind FROM n GROUP BY 1, 2 HAVING count(*) = 1) AND (o.qualified_name, o.kind) IN (SELECT qualified_name, kind FROM o GROUP BY 1, 2 HAVING count(*) = 1)),
 n2 AS (SELECT * FROM n WHERE n NOT IN (SELECT n FROM a)), o2 AS (SELECT * FROM o WHERE uid NOT IN (SELECT uid FROM a)),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import deque
 
@@ -231,3 +232,17 @@ def test_whole_tables_are_fed(spark):
         if mates := {b for b in far[a] if b != a and a in far.get(b, ())}:
             want[a] = min(mates | {a})
     assert want and {x.member: x.component for x in run("G12_group_cycles_all").collect()} == want
+
+
+def test_bytes_of_every_document(spark, tmp_path):
+    texts = ["the a", "\u00e9\u00df\n\u4e2d the \U0001f600 the b", "x\ny\u00e9\n\nthe \u00e9", "\u00e9", "", "no match \u00e9\u00e9\u00e9\u00e9\u00e9\u00e9\u00e9\u00e9\u00e9"]
+    texts += ["\u4e2d" * k + "\n" * (k % 3) + "the end" for k in range(12)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines, ranges = {}, {}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        if (at := raw.find(b"the ")) >= 0:
+            lines[i] = (at, raw.count(b"\n", 0, at))
+        ranges[f"s/en/{i}"] = (i % 2 == 0, hashlib.sha256(raw[2:22]).hexdigest() if i % 2 == 0 else None)
+    assert {x.doc_id: (x.at, x.line) for x in registry.QUERIES["W6_line_index_all"](spark, str(tmp_path)).collect()} == lines
+    assert {x.path_key: (x.verified, x.digest) for x in registry.QUERIES["S14_verified_ranges_all"](spark, str(tmp_path)).collect()} == ranges

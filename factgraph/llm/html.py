@@ -11,8 +11,9 @@ writes with known labels, in many layouts, from a fixed seed; that number bounds
 
 Defined cases: a null or empty page has an empty text; a page without markup is one leaf; markup that
 is not closed ends with its parent, a head with its page's first body element, and a script, style,
-title, textarea or iframe with the page, as in browsers; comments, these five and other raw markup
-never are text; a page of any length is read whole; equal rows get equal results; an empty table gives an empty
+title, textarea or iframe with the page, as in browsers; quotes inside a value without quotes, and a
+quote that the page never closes, are part of the value; a comment left open ends with the page; comments, these five and other raw markup never
+are text; a page of any length is read whole; equal rows get equal results; an empty table gives an empty
 result.  Only the three named columns are read, so other columns cannot clash.
 """
 
@@ -42,7 +43,11 @@ class Params:
     seed: int = 1
 
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+#: Quotes only delimit a value right after an equals sign, as in HTML; a value whose quote is never closed
+#: ends with its tag.
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))*+)>|<[!?][^>]*>""", re.S)
+#: What can still be markup after a page's last ``>``.
+_TAIL = re.compile(r"<!--.*", re.S)
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 #: Their content is no markup: it ends at the first end tag of the same name and nowhere else.
@@ -156,13 +161,13 @@ def parse(page: str, out: Nodes) -> None:
         stops[leaf] += s.count(".") + s.count(",")
         words[leaf] += s.count(" ") + 1
 
-    while m := _TOKEN.search(page, at):
+    last = page.rfind(">")
+    while m := _TOKEN.search(page, at) if at <= last else _TAIL.search(page, at):
         a = m.start()
         if a > at and not skip:
             say(page[at:a])
         at = m.end()
-        name = m[2]
-        if name is None:
+        if a > last or (name := m[2]) is None:
             continue
         name = name.lower()
         raw = m[3]

@@ -1,9 +1,10 @@
 """Operator 7, chat formatting: grammar round trip, with DataFrame functions only.
 
-A conversation is rendered, parsed again by the grammar below, and compared with its source; where
-they differ, conflicting texts are escaped and the round starts anew: first no text is escaped, then
-those that hold a control string, then all.  An escaped text holds neither ``[`` nor ``<``, so the
-last round always gives the source back.
+A conversation is rendered, parsed again by the grammar below, and compared with its source.  Texts that
+hold a control string are escaped from the first round on, whether or not they would parse, so that
+no control string stands in the output but the grammar's own.  Where the turns read back still differ
+from the source, all texts are escaped and the round starts anew.  An escaped text holds neither
+``[`` nor ``<``, so the last round always gives the source back.
 
     conversation = "<s>" turn*
     turn         = "[SYS" flag "] " text " [/SYS]" | "[INST" flag "] " text " [/INST]"
@@ -90,8 +91,7 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
         F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     source = rows.select(F.col(conv_col).cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("source"))
-    plain = F.lit(False)
-    rounds = [lambda t: plain, lambda t: F.regexp_like(t["text"], F.lit(_CONTROL)), lambda t: F.lit(True)]
+    rounds = [lambda t: F.regexp_like(t["text"], F.lit(_CONTROL)), lambda t: F.lit(True)]
 
     def rendered(k: int) -> Column:
         return F.concat(F.lit(BOS), F.array_join(F.transform("source", lambda t: render_turn(t["role"], t["text"], rounds[k](t))), ""))
@@ -101,8 +101,7 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
         return F.transform(parse(text), pair) == F.transform("source", pair)
 
     out = source.withColumn("formatted", rendered(0))
-    for k in (1, 2):
-        out = out.withColumn("formatted", F.when(same(F.col("formatted")), F.col("formatted")).otherwise(rendered(k)))
+    out = out.withColumn("formatted", F.when(same(F.col("formatted")), F.col("formatted")).otherwise(rendered(1)))
     out = out.withColumn("parsed", parse(F.col("formatted")))
     turns = F.transform("parsed", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return out.select("conv_id", "formatted", turns.alias("turns"), _spans(F.col("parsed")).alias("loss_spans"))
@@ -136,7 +135,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Escaping in SQL: a conversation whose plain rendering is ambiguous has its conflicting texts escaped.
+#: Escaping in SQL: a text that holds a control string is escaped.
 SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),

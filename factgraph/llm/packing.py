@@ -6,14 +6,17 @@ whole groups of equal packs at a time.  The histogram, the patterns and their sl
 the sequence length, whatever the number of documents.  Patterns meet documents again by rank.
 
 Defined cases: a null or empty text is the end id alone; a text of any length is encoded whole and
-cut into full sequences and a rest; equal rows each get a place of their own; an empty table gives
-no pieces.  Only the id and text columns are read, so other columns cannot clash.
+cut into full sequences and a rest; special tokens count only as the file writes them, before letters
+are lowered; equal rows each get a place of their own; an empty table gives no pieces.  Only the id and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,12 +38,19 @@ _STOPS = (",", ".", "!", "?", ";", ":")
 _encoders: dict[str, Encoder] = {}
 
 
+#: The normaliser and the pre-tokeniser of the file in TOKENIZER.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes.
+    """Ids of whole texts as little-endian uint32 bytes, equal to those of the tokenizer for each text.
 
-    The tokenizer lowers all letters itself and never joins what stands on two sides of a space, so ids of a text
-    are the ids of its space-separated strings.  Nor does it join a letter and a stop after it.  Each
-    distinct string is encoded once as long as it is remembered.
+    A tokenizer that lowers all letters itself and never joins what stands on two sides of a space gives
+    a text the ids of its space-separated strings; nor does it join a letter and a stop after it.  Each
+    distinct string is encoded once as long as it is remembered.  Strings that hold a special token in
+    any case are encoded as they stand, since special tokens are found before letters are lowered.
+    Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, name: str):
@@ -52,13 +62,27 @@ class Encoder:
 
             name = public_tokenizers.path(name)
         self.model, self.known = Tokenizer.from_file(str(name)), {}
-        special = [(t.content, k) for k, t in self.model.get_added_tokens_decoder().items() if t.special and not t.normalized and t.content.startswith("<|")]
+        self.model.no_truncation()
+        self.model.no_padding()
+        added = self.model.get_added_tokens_decoder()
+        self.added = [t.content.lower() for t in added.values()]
+        spec = json.loads(self.model.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        steps = pre.get("pretokenizers", [])
+        split = bool(steps) and steps[0].get("pattern") == {"Regex": _WORDS} and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
+        tail = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in steps[1:]]
+        plain = all(not (t.normalized or t.single_word or t.lstrip or t.rstrip) and t.content.isascii() and not re.search(r"\s", t.content) for t in added.values())
+        self.by_words = spec["normalizer"] == _NORMALIZER and split and tail == [("ByteLevel", False, False)] and plain
+        special = [(t.content, k) for k, t in added.items() if t.special]
         self.between = special[0] if special else None
 
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _each(self, words: list[str]) -> list[bytes]:
-        """Ids of each word: many are encoded at once, with a special token between them."""
-        if self.between is None or any("<|" in x for x in words):
-            return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        """Ids of each word without special tokens: many are encoded at once, with a special token between them."""
+        if self.between is None:
+            return self._alone(words)
         out: list[bytes] = []
         mark, k = self.between
         for i in range(0, len(words), 5_000):
@@ -71,13 +95,27 @@ class Encoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a column of texts, one after the other, and the offsets of the texts among them."""
-        column = pc.replace_substring(pc.ascii_lower(pc.fill_null(column, "")), "\n", " ")
-        words = pc.split_pattern(column, " ")
-        coded = words.flatten().dictionary_encode()
+        column = pc.fill_null(column, "")
+        if not self.by_words:
+            each = self._alone(column.to_pylist())
+            return np.frombuffer(b"".join(each), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in each], dtype=np.int64)])
+        lower = pc.ascii_lower(column)
+        odd = any(pc.any(pc.match_substring(lower, t)).as_py() for t in self.added)
+        words = pc.split_pattern(pc.replace_substring(column if odd else lower, "\n", " "), " ")
+        flat = words.flatten()
+        if odd:
+            small = pc.ascii_lower(flat)
+            held = functools.reduce(pc.or_, [pc.match_substring(small, t) for t in self.added])
+            flat = pc.if_else(held, flat, small)
+        coded = flat.dictionary_encode()
         own, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
         if len(known) > REMEMBERED:
             known.clear()
         new = {x for x in own if x not in known}
+        if odd:
+            whole = [x for x in new if any(t in x.lower() for t in self.added)]
+            known.update(zip(whole, self._alone(whole), strict=True))
+            new.difference_update(whole)
         ends = {x for x in new if x[-1:] in _STOPS and x[-2:-1].isalpha() and x[-2].isascii()}
         plain = [x for x in (new - ends) | {x[:-1] for x in ends} | set(_STOPS) if x not in known]
         known.update(zip(plain, self._each(plain), strict=True))

@@ -9,7 +9,8 @@ Queries travel in blocks of bounded bytes; a block is broadcast, and all rows ar
 
 Defined cases: a vector that is null, empty, or holds a null or non-finite component takes no part,
 nor does a row without an id; vectors of different lengths have no score; equal rows are candidates of
-their own (a query's own rows are those with its id, and repeated ids are one query); fewer than k
+their own (a query's own rows are those with its id); an id that several usable vectors share is one
+query, asked by the least of them (compared component by component, a prefix first); fewer than k
 candidates are all returned; an empty table gives no rows.  Scores must fit a 64-bit integer.  Only
 the id and vector columns are read, so other columns cannot clash.
 """
@@ -90,7 +91,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     scratch = Scratch(spark)
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     table = pick(rows)
-    asked = scratch.write(pick(queries).dropDuplicates(["id"]))
+    usable = (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+    asked = scratch.write(pick(queries).where(usable).groupBy("id").agg(F.min("v").alias("v")))
     parts = [_block(table, some, k, scale, scratch) for some in _blocks(asked)]
     schema = "query_id long, rank int, vec_id long, score long"
     if not parts:

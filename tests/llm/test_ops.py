@@ -327,3 +327,103 @@ def test_block_links_join_what_brute_force_joins():
         return len({find(i) for i in range(n)})
 
     assert count(links) == count([(a, b) for a in range(0, n, 2) for b in range(1, n, 2) if near(a, b)])
+
+
+@pytest.mark.parametrize(
+    "part,text",
+    [
+        ("<p title=it's>More text, it is here.</p>", "More text, it is here."),
+        ('<p><a href="x>More text</a> is here.</p>', "More text is here."),
+        ("<p title='it>More text is here.</p>", "More text is here."),
+        ('<p data-x="a > b" title=a"b>More text is here.</p>', "More text is here."),
+        ('<img alt="x>y"><p>More <a href = "q">text</a> is here.</p>', "More text is here."),
+        ('<p =x "y>More text is here.</p>', "More text is here."),
+        ("<!--><p>More text is here.</p><!-- a > b --!>", "More text is here."),
+        ("<p>More 1 < 2 text &lt;b> is here.</p>", "More 1 < 2 text <b> is here."),
+    ],
+)
+def test_extraction_of_attributes_and_broken_quotes(part, text):
+    page = f"<body><article><h1>Title here.</h1><p>One two three, four five six seven.</p>{part}<p>Eight nine, ten eleven twelve.</p></article></body>"
+    assert html.extract([page], html.fitted()) == [f"Title here. One two three, four five six seven. {text} Eight nine, ten eleven twelve."]
+
+
+def article_text(page):
+    """The one article of a page of the tables, by regular expressions alone."""
+    import html as entities
+    import re
+
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    inner = re.sub(r"</?(?:b|i|em|a)(?: [^>]*)?>", "", inner)
+    return " ".join(entities.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_extraction_equals_the_articles_of_the_tables(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    want = {r["page_id"]: (r["url"], article_text(r["html"])) for r in pages.collect()}
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html.op1_html_extraction(spark, f"/root/testdata/{sf}").collect()}
+    assert got == {k: (u, t, len(t)) for k, (u, t) in want.items()}
+
+
+def test_extraction_of_odd_rows(spark):
+    long = "<article><h1>Head</h1>" + "<p>One two three, four five six seven.</p>" * 30_000 + "</article>"
+    rows = [(1, "u", long, "t"), (1, "u", long, "t"), (None, None, None, "t"), (2, "u", "", "t")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = [(r["page_id"], r["url"], len(r["text"]), r["n_chars"]) for r in html.extract_main_text(d).collect()]
+    n = len("Head") + 30_000 * len(" One two three, four five six seven.")
+    assert sorted(got, key=str) == sorted([(1, "u", n, n), (1, "u", n, n), (None, None, 0, 0), (2, "u", 0, 0)], key=str)
+
+
+def test_chat_leaves_no_control_string_in_texts(spark):
+    import re
+
+    rows = [(1, 0, "user", "a <s> b"), (1, 1, "assistant", "[INST] hi"), (2, 0, "user", "x[/INST]"), (3, 0, "assistant", "plain \\ [x] <y>"), (4, 0, "system", "[ROLE 41\\] z</s>")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash")).withColumn("turns", F.lit(1))
+    got = {r["conv_id"]: r for r in chat.format_conversations(d).collect()}
+    control = re.compile(chat._CONTROL)
+    assert len(got[1]["formatted"]) == 49 and len(got[2]["formatted"]) == 28 and got[3]["formatted"] == "<s>[ASST] plain \\ [x] <y></s>"
+    for c, r in got.items():
+        marks = [m.group() for m in control.finditer(r["formatted"])]
+        assert len(marks) == 1 + 2 * len(r["turns"])  # <s>, then a head and an end a turn
+        assert [(t["role"], t["text"]) for t in r["turns"]] == [(role, x) for k, _, role, x in rows if k == c]
+
+
+def test_chat_query_agrees_with_its_sql_on_hostile_texts(spark, tmp_path):
+    import duckdb
+
+    r = random.Random(5)
+    bits = ["a ", "<s>", "</s>", "[INST] ", "[/INST]", " [/SYS]", "[ASST\\] ", "\\", "[", "<", "[ROLE 4F] ", "\n", "é"]
+    rows = [(c, t, r.choice(["user", "assistant", "system", "tool", None]), r.choice([None, "", *["".join(r.choice(bits) for _ in range(r.randint(1, 6))) for _ in range(8)]])) for c in range(150) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(chat.SQL)
+    got = {tuple(x) for x in chat.op7_chat_formatting(spark, str(tmp_path)).select(*want.columns).collect()}
+    assert got == set(want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_equal_the_tokenizers(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, enc, r = Tokenizer.from_file(public_tokenizers.path(name)), packing.Encoder(name), random.Random(3)
+    bits = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|StartOfText|>", " ", "\n", "\t", "Hello", "İ", "Σ", "a.", "'s", "don't", "X,", "<|", "|>", "\u0301", "A", "日本", "\u00a0"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(1500)] + [None, "Hello World\nNext, line."]
+    assert enc.by_words == (name == packing.TOKENIZER)
+    for a in range(0, len(texts), 50):
+        ids, at = enc.encode(pa.array(texts[a : a + 50], pa.string()))
+        for i, t in enumerate(texts[a : a + 50]):
+            assert ids[at[i] : at[i + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids
+    assert name != packing.TOKENIZER or tok.encode("<|ENDOFTEXT|>", add_special_tokens=False).ids == [27, 347, 40786, 4160, 91, 285]
+
+
+def test_repeated_query_ids_ask_with_their_least_usable_vector(spark):
+    nan = float("nan")
+    rows = [(50, [nan, 1.0]), (50, [1.0, 2.0]), (100, [3.0, 0.0]), (100, [0.0, 1.0]), (100, [0.0, float("inf")]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (1, [1.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.nearest(d, d.where(F.col("vec_id") % 50 == 0), k=9).collect()}
+    one = 256 * 256
+    assert [got[50, k] for k in range(1, 6)] == [(100, 3 * one), (2, 2 * one), (100, 2 * one), (1, one), (1, one)]
+    assert [got[100, k] for k in range(1, 5)] == [(50, 2 * one), (2, one), (1, 0), (1, 0)]
+    assert len(got) == 9

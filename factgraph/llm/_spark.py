@@ -1,4 +1,4 @@
-"""Scratch tables in the cluster's shared folder, size-checked broadcasts, distributed ranks."""
+"""Scratch tables in the cluster's shared folder, size-checked broadcasts, joins on hot keys, distributed ranks."""
 
 from __future__ import annotations
 
@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 
 #: Rows of one long column that may be broadcast: 16 MB of keys, under 100 MB as a hash relation.
 BROADCAST_IDS = 2_000_000
+#: Rows of a key that one task may get in a join, and the most keys that are broadcast as hot ones.
+HOT_ROWS, HOT_KEYS = 1_000, 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only if none is set on a local master, as in tests."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         at = spark.sparkContext.getCheckpointDir()
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="factgraph-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -30,14 +34,16 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
+        self.written = 0
         atexit.register(self.clear)
 
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:6]}"
+        self.written += 1
+        path = f"{self.base}/{self.written}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables.append((out, path))
         return out
 
     def _delete(self, path: str) -> None:
@@ -47,12 +53,13 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that nothing will read again, and lets Spark remove finished shuffles."""
-        for df in tables:
-            if path := self.paths.pop(id(df), None):
-                self._delete(path)
+        for _, path in [x for x in self.tables if any(x[0] is t for t in tables)]:
+            self._delete(path)
+        self.tables = [x for x in self.tables if not any(x[0] is t for t in tables)]
         self.release()
 
     def release(self) -> None:
+        """The files of a shuffle go when the driver's JVM has collected its handle, not before."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
@@ -73,6 +80,38 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str | list[str], how: str = "le
     return df.join(F.broadcast(ids) if small(ids) else ids, key, how)
 
 
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join of tables with ``_parts``, the same for all rows of a key: its rows of ``left`` are dealt to so
+    many tasks, and its rows of ``right`` are repeated for each.  The deal follows the rows' values, so it
+    is the same if a task runs again."""
+    flat = [c for c, t in left.dtypes if c != "_parts" and not t.startswith(("array", "map", "struct"))]
+    one = left.withColumn("_salt", F.pmod(F.xxhash64(*flat, F.lit("salt")), F.col("_parts")).cast("int")).drop("_parts")
+    other = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts").cast("int") - 1))).drop("_parts")
+    return one.join(other, [*keys, "_salt"], how).drop("_salt")
+
+
+def parts_of(rows: Column) -> Column:
+    """Parts for a key with so many rows."""
+    return F.ceil(rows / F.lit(HOT_ROWS)).cast("int")
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], scratch: Scratch, counts: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """Join of ``left`` with ``right``, which has few rows a key, where a key may hold any share of left's rows.
+
+    counts: keys and ``_c``, left's rows with the key (counted here if not given).  Keys with more than ``HOT_ROWS``
+    rows, and more than a ``HOT_KEYS``-th of all, are at most ``HOT_KEYS``; they are broadcast, and their rows
+    are dealt to several tasks.
+    """
+    counts = left.groupBy(*keys).agg(F.count("*").alias("_c")) if counts is None else counts
+    most, total = counts.agg(F.max("_c"), F.sum("_c")).first()
+    limit = max(HOT_ROWS, -(-(total or 0) // HOT_KEYS))
+    if (most or 0) <= limit:
+        return left.join(right, keys, how)
+    hot = scratch.write(counts.where(F.col("_c") > limit).select(*keys, F.ceil(F.col("_c") / limit).cast("int").alias("_parts")))
+    dealt = lambda df: df.join(F.broadcast(hot), keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    return salted_join(dealt(left), dealt(right), keys, how)
+
+
 def ranked(df: DataFrame, scratch: Scratch, group: list[str], order: list[str], name: str, rows_a_bucket: int = 200_000) -> DataFrame:
     """Adds ranks from 0, gapless in each group, without bringing a group into one task.
 

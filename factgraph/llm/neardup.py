@@ -8,8 +8,8 @@ with the defaults and above 0.99998 at 0.85.
 
 Equal sets are one class before any table is built, so exact copies cost one row.  Members of a
 table bucket are linked through hubs (the smallest and the largest class), which takes a number of
-pairs linear in the bucket; what hubs leave in several components is compared further in blocks of
-bounded size.  Every link is confirmed on the full sets.
+pairs linear in the bucket; where hubs leave a bucket in several components, all its members are
+compared in blocks of bounded size.  Every link is confirmed on the full sets.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing;
 fewer words than a shingle make one shingle of the whole sequence; a null id stands for itself
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import Scratch, keep_ids, small
+from ._spark import Scratch, keep_ids, parts_of, salted_join, small, spread_join
 from ._words import Words, chunks, later, mix, rolling, tidied
 
 
@@ -118,12 +118,13 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(tidied(run), "id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; an id may stand in any number of pairs."""
+    one = spread_join(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), ["a"], scratch)
+    counts = pairs.groupBy("b").agg(F.count("*").alias("_c"))
+    two = spread_join(one, sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), ["b"], scratch, counts)
     common = F.size(F.array_intersect("sa", "sb"))
-    return two.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b")
+    return two.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb") - common).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
 
 
 def _near(x: str, y: str, percent: int):
@@ -133,99 +134,120 @@ def _near(x: str, y: str, percent: int):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params = Params()) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept (and class_id, the class's smallest id)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = _two(docs, id_col, text_col)
     meta = scratch.write(signatures(docs, p))
     same = ["fa", "fb", "n"]
-    classes = scratch.write(meta.where("n > 0 AND doc_id IS NOT NULL").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("half").alias("half")))
-    h = p.half_keys
-    keys = (
-        classes.select("rep", "n", F.slice("half", 1, h).alias("us"), F.slice("half", h + 1, h).alias("vs"))
+    named = meta.where("n > 0 AND doc_id IS NOT NULL")
+    classes = scratch.write(named.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("half").alias("half")))
+    rows, h = classes.count(), p.half_keys
+    keys = (  # each class becomes half_keys**2 rows: dealt anew, so that no task makes too many
+        classes.select("rep", "n", "half").repartition(max(1, -(-rows * h * h // EXPLODED)), "rep")
+        .select("rep", "n", F.slice("half", 1, h).alias("us"), F.slice("half", h + 1, h).alias("vs"))
         .select("rep", "n", F.posexplode("us").alias("i", "u"), "vs")
         .select("rep", "n", "i", "u", F.posexplode("vs").alias("j", "v"))
         .select(F.xxhash64("i", "j", "u", "v").alias("key"), "rep", "n")
     )
     hubs = scratch.write(
-        keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi")).where("c > 1").drop("c")
+        keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi")).where("c > 1")
     )
     scratch.release()
-    members = scratch.write(keys.join(hubs, "key"))
+    members = scratch.write(spread_join(keys, hubs, ["key"], scratch, hubs.select("key", F.col("c").alias("_c"))))
     scratch.drop(hubs)
     stars = members.select("rep", "n", F.explode(F.array("lo", "hi")).alias("hub")).where(F.col("rep") != F.col("hub.rep")).where(_near("n", "hub.n", p.percent))
     pairs = scratch.write(stars.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct())
     wanted = scratch.write(members.select(F.col("rep").alias("doc_id")).distinct())
     sets = scratch.write(shingle_sets(keep_ids(docs, wanted, "doc_id"), p.shingle).withColumn("h", F.xxhash64("shingles")).dropDuplicates(["id", "h"]).drop("h"))
     scratch.release()
-    of_id = meta.where("n > 0").join(classes.select(*same, "rep"), same).groupBy("doc_id").agg(F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-    shared = of_id.select(F.array_min("reps").alias("a"), F.explode("reps").alias("b")).where("a <> b")
-    links = scratch.write(confirmed(pairs, sets, p.percent).unionByName(shared))
+    links = scratch.write(confirmed(pairs, sets, p.percent, scratch).unionByName(_of_one_id(named, classes, same, scratch)))
     labels = components(links, scratch)
-    more = _across(members, labels, pairs, sets, p, scratch)
+    more = _across(members, labels, sets, p, scratch)
     if not more.isEmpty():
-        links = scratch.write(links.unionByName(more))
-        labels = components(links, scratch)
+        labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more), scratch)
     scratch.drop(members, pairs, wanted, sets, links)
-    rows = meta.select("doc_id", *same).join(classes.select(*same, "rep"), same, "left").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    known = classes.select(*same, "rep").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left")
+    rows = spread_join(meta.select("doc_id", *same), known, same, scratch, how="left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
-def _across(members: DataFrame, labels: DataFrame, done: DataFrame, sets: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
-    """Confirmed links between components that still meet in a bucket.
+def _of_one_id(named: DataFrame, classes: DataFrame, same: list[str], scratch: Scratch) -> DataFrame:
+    """Links between the classes of rows that share an id: each to the id's smallest class."""
+    ends = named.groupBy("doc_id").agg(F.min(F.struct(*same)).alias("x"), F.max(F.struct(*same)).alias("y")).where("x <> y").select("doc_id")
+    odd = scratch.write(named.select("doc_id", *same).join(scratch.write(ends), "doc_id", "left_semi").distinct().join(classes.select(*same, "rep"), same).select("doc_id", "rep"))
+    least = odd.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return spread_join(odd, least, ["doc_id"], scratch).select("a", F.col("rep").alias("b")).where("a <> b")
 
-    What is left is grouped into families, joined by common buckets.  A family is compared in pairs of
-    blocks of bounded size, inside a task, which sends only the links that join components; no pair of
-    documents becomes a row.  A family beyond ``MAX_BLOCKS`` blocks is compared bucket by bucket.
+
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """Confirmed links between members of one bucket whose components differ.
+
+    The rule is the same for every bucket: each two of its members are compared, unless a component
+    holds them both or hubs have compared them (all pairs of three).  Pairs are formed inside tasks, which send
+    only links that join components.  Buckets with the same members count once.  Buckets that overlap
+    form families; a family that fits one block is one group, so that each set travels once, and a pair
+    in it is compared if the two share a bucket.  Of larger families each bucket is a group, a large
+    bucket in pairs of blocks.
     """
-    named = members.select("key", "rep", "n").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    named = scratch.write(named)
-    open_keys = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("rep").alias("hub")).where("x <> y").select("key", "hub")
-    left = scratch.write(named.join(open_keys, "key"))
+    named = scratch.write(members.select("key", "rep", "n", "c").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", "c", F.coalesce("label", "rep").alias("label")))
+    same = F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same")
+    ends = [F.min("label").alias("x"), F.max("label").alias("y"), F.min("rep").alias("hub"), F.count("*").alias("m"), F.sum("n").alias("ns"), same]
+    open_keys = named.where("c > 3").groupBy("key").agg(*ends).where("x <> y").groupBy("x", "y", "hub", "m", "ns", "same").agg(F.min("key").alias("key"))
+    open_keys = scratch.write(open_keys.select("key", "hub", "m", _blocks("m", "ns")))
+    left = salted_join(named.where("c > 3").withColumn("_parts", parts_of(F.col("c"))), open_keys.withColumn("_parts", parts_of(F.col("m"))), ["key"])
+    left = scratch.write(left.select("key", "rep", "n", "label", "hub", F.col("blocks").alias("key_blocks")))
     families = components(left.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
     families = scratch.write(families.withColumnRenamed("label", "family").unionByName(families.select(F.col("label").alias("id"), F.col("label").alias("family")).distinct()))
-    facts = scratch.write(left.select(F.col("rep").alias("id"), "n", "label").distinct().join(families, "id"))
-    sizes = facts.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    sized = facts.join(sizes, "family")
-    inside = sized.where(F.col("blocks") <= MAX_BLOCKS).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = inside.select("id", "label", "family", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    links = inside.join(sets, "id").groupBy("family", "lo", "hi").applyInArrow(lambda t: _block_links(t, p.percent), "a long, b long")
-    wide = left.join(sized.where(F.col("blocks") > MAX_BLOCKS).select(F.col("id").alias("rep")).distinct(), "rep", "left_semi")
-    if not wide.isEmpty():
-        x = wide.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        y = wide.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = x.join(y, "key").where("a < b AND la <> lb").where(_near("na", "nb", p.percent)).select("a", "b").distinct()
-        links = links.unionByName(confirmed(pairs.join(done, ["a", "b"], "left_anti"), sets, p.percent))
-    return scratch.write(links)
-
-
-#: Sets and shingles of a block; blocks of a family that are compared two by two.
-BLOCK, BLOCK_SHINGLES, MAX_BLOCKS = 512, 2_000_000, 64
+    facts = scratch.write(left.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.max("label").alias("label"), F.collect_set("key").alias("keys")).join(families, "id"))
+    sizes = scratch.write(facts.groupBy("family").agg(F.count("*").alias("_c"), F.sum("n").alias("ns")).select("family", "_c", _blocks("_c", "ns")))
+    sized = spread_join(facts, sizes.drop("_c"), ["family"], scratch, sizes.select("family", "_c"))
+    zero = F.lit(0)
+    whole = sized.where("blocks = 1").select("id", "label", "keys", F.lit("family").alias("kind"), F.col("family").alias("g"), zero.alias("own"), zero.alias("lo"), zero.alias("hi"))
+    wide = sized.where("blocks > 1").select("id")
+    each = keep_ids(left.withColumnRenamed("rep", "id"), scratch.write(wide), "id").withColumn("own", F.pmod(F.xxhash64("id"), "key_blocks").cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(zero, F.col("key_blocks") - 1)))
+    each = each.select("id", "label", F.array("key").alias("keys"), F.lit("bucket").alias("kind"), F.col("key").alias("g"), "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return scratch.write(whole.unionByName(each).join(sets, "id").groupBy("kind", "g", "lo", "hi").applyInArrow(lambda t: _block_links(t, p.percent), "a long, b long").distinct())
 
 
-def _block_links(t: pa.Table, percent: int) -> pa.Table:
-    """Links between two blocks (or inside one) that join components: at most one a member."""
-    own, lo, hi = t["own"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
-    ids, label = t["id"].to_numpy(), t["label"].to_numpy()
-    lists = t["shingles"].combine_chunks()
+#: Rows that a task makes of classes; sets and shingles of a block.
+EXPLODED, BLOCK, BLOCK_SHINGLES = 1_000_000, 512, 2_000_000
+
+
+def _blocks(rows: str, shingles: str):
+    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int").alias("blocks")
+
+
+def _common(lists: pa.ListArray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many elements the lists of rows x and y share, as a matrix, and the size of each list."""
     size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
     _, word, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(ids)), size)
-    common = seen[word] > 1
-    row, word = row[common], np.unique(word[common], return_inverse=True)[1]
+    row = np.repeat(np.arange(len(size)), size)
+    several = seen[word] > 1
+    row, word = row[several], np.unique(word[several], return_inverse=True)[1]
     order = np.argsort(word, kind="stable")
     row, word = row[order], word[order]
-    x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
     both = np.zeros((len(x), len(y)), np.float32)
     width = 4096
     for a in range(0, int(word[-1]) + 1 if len(word) else 0, width):
         i, j = np.searchsorted(word, [a, a + width])
-        m = np.zeros((len(ids), width), np.float32)
+        m = np.zeros((len(size), width), np.float32)
         m[row[i:j], word[i:j] - a] = 1
         both += m[x] @ m[y].T
+    return both, size
+
+
+def _block_links(t: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks (or inside one) that join components: at most one a member."""
+    own, lo, hi = t["own"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
+    ids, label = t["id"].to_numpy(), t["label"].to_numpy()
+    x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    both, size = _common(t["shingles"].combine_chunks(), x, y)
     union = size[x][:, None] + size[y][None, :] - both
-    i, j = np.nonzero((both * 100 >= union * percent) & (label[x][:, None] != label[y][None, :]))
+    near = (both * 100 >= union * percent) & (label[x][:, None] != label[y][None, :])
+    if near.any():
+        near &= _common(t["keys"].combine_chunks(), x, y)[0] > 0
+    i, j = np.nonzero(near)
     root = {int(k): int(k) for k in np.unique(label)}
 
     def find(k: int) -> int:

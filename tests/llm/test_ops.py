@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factgraph.llm import chat, html, neardup, packing, pieces, quality, sharding, substring, topk, urls
+from factgraph.llm import _spark, chat, html, neardup, packing, pieces, quality, sharding, substring, topk, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, label string"
 
@@ -59,8 +59,11 @@ def shingles(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_duplicates_match_brute_force(spark, corpus, n):
+@pytest.mark.parametrize("n,hot,block", [(2, 1000, 512), (5, 1000, 512), (2, 2, 2)])
+def test_near_duplicates_match_brute_force(spark, corpus, monkeypatch, n, hot, block):
+    """With hot keys split and families compared bucket by bucket, as on large tables, too."""
+    monkeypatch.setattr(_spark, "HOT_ROWS", hot)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     got = neardup.near_duplicates(docs(spark, corpus), p=neardup.Params(shingle=n)).collect()
     sets = [shingles(t, n) for t in corpus]
     label = components(sets, 80)
@@ -308,9 +311,9 @@ def test_block_links_join_what_brute_force_joins():
     base = [r.getrandbits(62) for _ in range(60)]
     sets = [sorted(r.sample(base, r.randint(48, 60)) + [r.getrandbits(62) for _ in range(r.randint(0, 6))]) for _ in range(60)]
     n = len(sets)
-    t = pa.table({"id": list(range(n)), "label": list(range(n)), "family": [0] * n, "own": pa.array([i % 2 for i in range(n)], pa.int32()), "lo": pa.array([0] * n, pa.int32()), "hi": pa.array([1] * n, pa.int32()), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    t = pa.table({"id": list(range(n)), "label": list(range(n)), "family": [0] * n, "own": pa.array([i % 2 for i in range(n)], pa.int32()), "lo": pa.array([0] * n, pa.int32()), "hi": pa.array([1] * n, pa.int32()), "keys": pa.array([[i % 3, 7 + i % 2] if i % 10 else [] for i in range(n)], pa.list_(pa.int64())), "shingles": pa.array(sets, pa.list_(pa.int64()))})
     got = neardup._block_links(t, 80)
-    near = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))
+    near = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b])) and a % 10 and b % 10 and (a - b) % 6 in (0, 2, 3, 4)
     links = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
     assert all(near(a, b) for a, b in links)
 
@@ -427,3 +430,50 @@ def test_repeated_query_ids_ask_with_their_least_usable_vector(spark):
     assert [got[50, k] for k in range(1, 6)] == [(100, 3 * one), (2, 2 * one), (100, 2 * one), (1, one), (1, one)]
     assert [got[100, k] for k in range(1, 5)] == [(50, 2 * one), (2, one), (1, 0), (1, 0)]
     assert len(got) == 9
+
+
+def look_alikes(n, seed):
+    """Sets of words of which many pairs are a little over or under the limit."""
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(60)]
+    out = []
+    for _ in range(n):
+        words = list(base)
+        for _ in range(r.randint(1, 5)):
+            words[r.randrange(60)] = f"x{r.randrange(400)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("p", [neardup.Params(shingle=2), neardup.Params(shingle=2, half_keys=2, rows=4)])
+def test_near_duplicates_do_not_depend_on_block_sizes(spark, monkeypatch, p):
+    """One family of 60 look-alikes: whole, in blocks, and set by set; also with tables that miss many pairs."""
+    texts = look_alikes(60, 8)
+    label = components([shingles(t, 2) for t in texts], 80)
+    found = []
+    for block, hot in ((512, 1000), (25, 20), (6, 7)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(_spark, "HOT_ROWS", hot)
+        found.append({r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts), p=p).collect()})
+    assert found[0] == found[1] == found[2]
+    if p.half_keys == 12:
+        assert found[0] == dict(enumerate(label))
+
+
+def test_components_of_stars_and_chains(spark, monkeypatch):
+    from factgraph.llm._graph import components as connected
+
+    monkeypatch.setattr(_spark, "HOT_ROWS", 5)
+    edges = [(1000, i) for i in range(200)] + [(i, i + 1) for i in range(2000, 2040)] + [(3000, 3001), (3001, 3000), (3000, 3000), (199, 1500)]
+    got = {r["id"]: r["label"] for r in connected(spark.createDataFrame(edges, "a long, b long"), _spark.Scratch(spark)).collect()}
+    assert {k: v for k, v in got.items() if k != v} == {**{i: 0 for i in range(1, 200)}, 1000: 0, 1500: 0, **{i: 2000 for i in range(2001, 2041)}, 3001: 3000}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_a_join(spark, monkeypatch, how):
+    monkeypatch.setattr(_spark, "HOT_ROWS", 3)
+    r = random.Random(1)
+    left = spark.createDataFrame([(r.choice([1, 1, 1, 2, 3, None]), i % 50) for i in range(200)], "k long, x long")
+    right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k long, y string")
+    want = sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
+    assert sorted(map(tuple, _spark.spread_join(left, right, ["k"], _spark.Scratch(spark), how=how).collect()), key=str) == want

@@ -7,8 +7,8 @@ extended both ways, to all windows that chose it, for all its occurrences at onc
 equal words meet in one group, whose first member (by document, then position) stays and whose
 later members are cut.  Adjacent cut windows merge into maximal repeats.  Nothing is paired, so a
 passage with thousands of copies costs a row a copy and window.  Windows of anchors with more than
-``Params.hot`` occurrences form their minima before a shuffle and join them, so that no task needs a
-hot group; the others meet in one shuffle, in groups of at most that size.
+``Params.hot`` occurrences form their minima before a shuffle and meet them in a join that deals a hot
+group to several tasks; the others meet in one shuffle, in groups of at most that size.
 
 Exact copies of a whole text are found first, by a 128-bit fingerprint of the word sequence; only
 the first copy is searched for anchors.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import Scratch, keep_ids
+from ._spark import Scratch, keep_ids, spread_join
 from ._words import Words, chunks, mix, rolling, tidied
 
 _NO_ID = -(2**63)
@@ -41,7 +41,7 @@ _NO_ID = -(2**63)
 class Params:
     window: int = 20
     seed: int = 6
-    hot: int = 100_000
+    hot: int = 10_000
 
 
 def chosen(g: np.ndarray, m: int) -> np.ndarray:
@@ -158,18 +158,18 @@ def extended(seeded: DataFrame, p: Params) -> DataFrame:
 def repeats(docs: DataFrame, p: Params, scratch: Scratch, digests: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, copies, cuts): facts of each row, ids and texts that are later copies, cut windows by id.
 
-    ``docs`` has id and text.  copies: (fa, fb, n_words, first); cuts: (id, ats).
+    ``docs`` has id and text.  copies: (fa, fb, n_words, first, _c rows); cuts: (id, ats).
     """
     found = scratch.write(anchors(docs, p, digests))
     rows = scratch.write(found.drop("seeds", "places"))
     same = ["fa", "fb", "n_words"]
-    copies = scratch.write(rows.where(F.col("n_words") >= p.window).groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    later = rows.join(copies, same).where("id > first").select("id", "fa").distinct()
+    copies = scratch.write(rows.where(F.col("n_words") >= p.window).groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("_c")).where("_c > 1"))
+    later = _later(rows, copies, scratch).select("id", "fa").distinct()
     firsts = keep_ids(found.where(F.col("n_words") >= p.window), scratch.write(later), ["id", "fa"], "left_anti")
     each = firsts.select("id", F.explode(F.arrays_zip("seeds", "places")).alias("s")).select(F.col("s.seeds").alias("a"), "id", F.col("s.places").alias("place"))
-    twice = scratch.write(each.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a", (F.col("c") > p.hot).cast("int").alias("hot")))
+    twice = scratch.write(each.groupBy("a").agg(F.count("*").alias("_c")).where("_c > 1").select("a", "_c", (F.col("_c") > p.hot).cast("int").alias("hot")))
     scratch.release()
-    seeds = scratch.write(each.join(twice, "a").groupBy("id").agg(F.collect_list(F.col("place") * 2 + F.col("hot")).alias("places")))
+    seeds = scratch.write(spread_join(each, twice.select("a", "hot"), ["a"], scratch, twice.select("a", "_c")).groupBy("id").agg(F.collect_list(F.col("place") * 2 + F.col("hot")).alias("places")))
     scratch.drop(twice, found)
     text = keep_ids(docs, seeds.select("id"), "id")
     windows = scratch.write(extended(text.join(seeds, "id").select("id", "text", "places"), p))
@@ -177,13 +177,20 @@ def repeats(docs: DataFrame, p: Params, scratch: Scratch, digests: bool) -> tupl
     least = F.min(F.struct("id", "at"))
     cold = windows.where("NOT hot").withColumn("f", least.over(Window.partitionBy("a", "w"))).select("id", "at", "f")
     hot = windows.where("hot").select("a", "w", "id", "at")
-    first = scratch.write(hot.groupBy("a", "w").agg(least.alias("f"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    again = cold.unionByName(hot.join(first, ["a", "w"]).select("id", "at", "f")).where("id > f.id OR (id = f.id AND at > f.at)")
+    first = scratch.write(hot.groupBy("a", "w").agg(least.alias("f"), F.count("*").alias("_c")).where("_c > 1"))
+    met = spread_join(hot, first.drop("_c"), ["a", "w"], scratch, first.select("a", "w", "_c"))
+    again = cold.unionByName(met.select("id", "at", "f")).where("id > f.id OR (id = f.id AND at > f.at)")
     cuts = scratch.write(again.groupBy("id").agg(F.collect_list("at").alias("ats")))
     scratch.drop(windows, first)
     return rows, copies, cuts
 
 
+def _later(rows: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows whose whole text is a later copy."""
+    same = ["fa", "fb", "n_words"]
+    return spread_join(rows.select("id", *same), copies.drop("_c"), same, scratch, copies.select(*same, "_c")).where("id > first")
+
+
 def _keep(x: Windows, row: int, ats: np.ndarray, tag: int, p: Params) -> np.ndarray | None:
     """Which words of a row stay; None if all do."""
     mine = ats[(ats & 0x7FFFFFFF) == tag] >> 31
@@ -219,7 +226,7 @@ def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     cut = keep_ids(docs, cuts.select("id"), "id").join(cuts, "id").select("id", "text", "ats").mapInArrow(tidied(run), "id long, fa long, fb long, cut_words long, cut_sha string").distinct()
     same = ["fa", "fb", "n_words"]
-    out = rows.join(copies, same, "left").join(cut, ["id", "fa", "fb"], "left")
+    out = spread_join(rows, copies.drop("_c"), same, scratch, how="left").join(cut, ["id", "fa", "fb"], "left")
     copy = F.col("first") < F.col("id")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
@@ -239,9 +246,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession)
     two = _two(docs, id_col, text_col)
     rows, copies, cuts = repeats(two, p, scratch, False)
-    same = ["fa", "fb", "n_words"]
-    later = rows.select("id", *same).join(copies, same).where("id > first")
-    marks = later.select("id", F.col("fa").bitwiseAND(F.lit(0x7FFFFFFF)).alias("t")).groupBy("id").agg(F.collect_set("t").alias("_copies"))
+    marks = _later(rows, copies, scratch).select("id", F.col("fa").bitwiseAND(F.lit(0x7FFFFFFF)).alias("t")).groupBy("id").agg(F.collect_set("t").alias("_copies"))
     marks = scratch.write(cuts.select("id", F.col("ats").alias("_ats")).join(marks, "id", "full"))
     names = docs.columns
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))

@@ -93,7 +93,8 @@ def removal(texts, n=20):
 
 
 @pytest.mark.parametrize("hot", [1000, 2])
-def test_substring_removal_matches_brute_force(spark, corpus, hot):
+def test_substring_removal_matches_brute_force(spark, corpus, monkeypatch, hot):
+    monkeypatch.setattr(_spark, "HOT_ROWS", hot)
     got = {r["doc_id"]: r for r in substring.substring_report(docs(spark, corpus), p=substring.Params(hot=hot)).collect()}
     words, kept = removal(corpus)
     for i, (w, k) in enumerate(zip(words, kept, strict=True)):
@@ -477,3 +478,16 @@ def test_spread_join_equals_a_join(spark, monkeypatch, how):
     right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d")], "k long, y string")
     want = sorted(map(tuple, left.join(right, ["k"], how).collect()), key=str)
     assert sorted(map(tuple, _spark.spread_join(left, right, ["k"], _spark.Scratch(spark), how=how).collect()), key=str) == want
+
+
+def test_substring_rows_of_one_id_and_without(spark):
+    """Equal rows of an id keep their words; other texts of one id stand one after the other; null ids come first."""
+    r = random.Random(2)
+    passage = " ".join(f"p{i}" for i in range(30))
+    other = " ".join(f"q{i}" for i in range(25))
+    rows = [(None, passage), (3, passage), (4, other), (4, other), (5, f"{other} {r.random()}")]
+    got = [(x["doc_id"], x["n_words"], x["n_removed"]) for x in substring.substring_report(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()]
+    assert sorted(got, key=str) == sorted([(None, 30, 0), (3, 30, 30), (4, 25, 0), (4, 25, 0), (5, 26, 25)], key=str)
+    two = [f"{passage} a", f"b {passage}"]
+    cut = [x["n_removed"] for x in substring.substring_report(docs(spark, two, [7, 7])).collect()]
+    assert sorted(cut) == [0, 30]

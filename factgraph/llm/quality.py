@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._words import Words, chunks, covered, later, mix, span_hashes, tidied, twice
 
@@ -116,16 +117,27 @@ def filter_quality(docs: DataFrame, text_col: str = "text", rules: Rules = Rules
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_measures(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out, rules = quality_measures(spark.read.parquet(f"{sf_dir}/documents.parquet")), Rules()
+    return out.select("*", *[F.col("cover_chars")[i].alias(f"cover_{n}") for i, n in enumerate(rules.lengths)]).drop("cover_chars")
 
 
-#: The base columns in SQL; the verdict of the method and its coverage have none.
-BASE_SQL = r"""
+def _covered(n: int) -> str:
+    """SQL for the characters of a document's words inside runs of n words that it holds twice or more."""
+    return f"""g{n} AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + {n - 1}], ' ')) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d)),
+h{n} AS (SELECT DISTINCT doc_id, i + o AS i FROM g{n}, (SELECT unnest(range({n})) AS o) WHERE c > 1),
+c{n} AS (SELECT doc_id, count(*) AS words, sum(size)::BIGINT AS chars FROM h{n} JOIN u USING (doc_id, i) GROUP BY doc_id)"""
+
+
+#: All columns, by the words themselves.  The limits are those of ``Rules``.
+SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-g AS (SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
-r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
-n AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, (SELECT unnest([0, 1, 2]) AS o) GROUP BY doc_id),
-l AS (SELECT doc_id, sum(c - 1)::BIGINT AS n FROM (SELECT doc_id, l, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n.n, 0) > 50 * len(w) AS base_failed
-FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+u AS (SELECT doc_id, i, length(w[i]) AS size FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+{", ".join(_covered(n) for n in (3, 5, 7, 10))},
+l AS (SELECT doc_id, sum(c - 1)::BIGINT AS n, sum((c - 1) * length(l))::BIGINT AS chars FROM (SELECT doc_id, l, count(*) AS c FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(text) AS chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c3.words, 0)::BIGINT AS n_repeat_words, coalesce(l.chars, 0)::BIGINT AS dup_line_chars,
+  coalesce(c5.chars, 0)::BIGINT AS cover_5, coalesce(c7.chars, 0)::BIGINT AS cover_7, coalesce(c10.chars, 0)::BIGINT AS cover_10
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c3 USING (doc_id) LEFT JOIN c5 USING (doc_id) LEFT JOIN c7 USING (doc_id) LEFT JOIN c10 USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT * EXCLUDE (chars), NOT base_failed AND dup_line_chars <= 0.30::DOUBLE * greatest(chars, 1) AND n_symbols <= 0.50::DOUBLE * n_words
+  AND cover_5 <= 0.30::DOUBLE * greatest(word_chars, 1) AND cover_7 <= 0.25::DOUBLE * greatest(word_chars, 1) AND cover_10 <= 0.20::DOUBLE * greatest(word_chars, 1) AS kept FROM b"""

@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_neardup": neardup.SQL,
     "op5_substring_dedup": substring.SQL,
+    "op6_quality_rules": quality.SQL,
     "op7_chat_formatting": chat.SQL,
     "op9_exact_topk": topk.SQL,
 }

@@ -491,3 +491,121 @@ def test_substring_rows_of_one_id_and_without(spark):
     two = [f"{passage} a", f"b {passage}"]
     cut = [x["n_removed"] for x in substring.substring_report(docs(spark, two, [7, 7])).collect()]
     assert sorted(cut) == [0, 30]
+
+
+def mined_by_brute_force(rows, p):
+    """Every set of tokens of a bad URL, counted over all labelled URLs."""
+    import itertools
+    import re
+
+    def toks(url):
+        return frozenset(f"0*{len(x)}" if x.isdigit() else x for x in re.split(r"[^a-z0-9]+", (url or "").lower()) if x)
+
+    own = [(toks(u), bad) for u, bad in rows]
+    n, b = len(rows), sum(bad for _, bad in rows)
+    least = max(p.min_count, -int(-p.min_support * n // 1))
+    sets = {frozenset(c) for t, bad in own if bad for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k)}
+    good = {}
+    for s in sets:
+        met = [bad for t, bad in own if s <= t]
+        hit = sum(met)
+        if hit >= least and hit >= p.min_confidence * len(met) and (len(met) - hit) * n * p.min_conviction <= len(met) * (n - b):
+            good[s] = (hit / len(met), hit / n)
+    return {"+".join(sorted(s)): v for s, v in good.items() if not any(o < s for o in good)}, toks
+
+
+@pytest.mark.parametrize("share", [0.25, 0.8])
+def test_mined_rules_and_verdicts_match_brute_force(spark, share):
+    """Also where most labelled pages are bad; with rules of up to four tokens, nulls and repeated rows."""
+    r = random.Random(7)
+    rows, marks = [], []
+    for i in range(900):
+        t = [r.choice("abcd"), r.choice("efg"), r.choice("hij"), r.choice("kl")]
+        bad = r.random() < (0.95 if t[0] == "a" and t[1] == "e" or t == ["b", "f", "h", "k"] else share)
+        rows.append((i, f"https://{t[0]}.{t[1]}.net/{t[2]}/{t[3]}/{r.randrange(1000)}"))
+        marks.append((i, 0 if bad and i % 2 else 1, 1 if bad and not i % 2 else None if i % 3 else 0))
+    rows += [(5, rows[5][1]), (None, rows[6][1]), (2000, None), (2001, "https://example.org/es/a/e")]
+    marks += [(7, None, None), (7, 0, 0), (2000, 0, 1), (None, 0, 0), (3000, 0, 0)]
+    p = urls.Params(min_support=0.0, min_count=12)
+    pages = spark.createDataFrame([(*x, "v") for x in rows], "page_id long, url string, verdict string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("rule", F.lit("x"))
+    bad = {}
+    for d, q, t in marks:
+        bad[d] = bad.get(d, False) or q == 0 or t == 1
+    known = [(u, bad[i]) for i, u in rows if i is not None and i in bad]
+    want, toks = mined_by_brute_force(known, p)
+    assert len(want) > 1
+    labelled = spark.createDataFrame(known, "url string, bad boolean")
+    got = {x["rule"]: (x["confidence"], x["support"]) for x in urls.mine(labelled, "bad", p, _spark.Scratch(spark)).collect()}
+    assert got == want
+    verdicts = sorted((str(x["page_id"]), x["mined_rule"], x["verdict"]) for x in urls.filter_urls(pages, labels, p=p).collect() if x["rule"] is None)
+    first = lambda u: min((k for k in want if u and set(k.split("+")) <= toks(u)), default=None)
+    assert verdicts == sorted((str(i), first(u), "block" if first(u) else "allow") for i, u in rows if i != 2001)
+
+
+def test_url_rules_on_empty_tables(spark):
+    pages, labels = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert urls.filter_urls(pages, labels).count() == 0
+    some = spark.createDataFrame([(1, "https://a.com/de/x"), (1, "https://a.com/de/x")], "page_id long, url string")
+    assert [r["verdict"] for r in urls.filter_urls(some, labels).collect()] == ["block", "block"]
+    assert urls.filter_urls(pages, spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_wide_urls_are_mined_by_their_rarest_tokens(spark):
+    """Forty tokens in each of many bad URLs: item sets stay bounded, and the rule is found."""
+    wide = "/".join(f"t{i}" for i in range(40))
+    rows = [(f"https://bad{i}.com/{wide}/casino", True) for i in range(60)] + [(f"https://good{i}.com/{wide}", False) for i in range(200)]
+    got = urls.mine(spark.createDataFrame(rows, "url string, bad boolean"), "bad", urls.Params(), _spark.Scratch(spark)).collect()
+    assert [(r["rule"], r["confidence"]) for r in got] == [("casino", 1.0)]
+
+
+def kd_by_hand(rows, dims, shards):
+    """Splits (dims..., size, tie) at weighted medians of the widest dimension, one node after the other."""
+    whole = [max(1, max(x[i] for x in rows) - min(x[i] for x in rows)) for i in range(dims)]
+    out = [0] * len(rows)
+    todo = [(list(range(len(rows))), 0, shards)]
+    while todo:
+        node, first, n = todo.pop()
+        if n == 1 or not node:
+            for i in node:
+                out[i] = first
+            continue
+        width = [(max(rows[i][d] for i in node) - min(rows[i][d] for i in node)) / whole[d] for d in range(dims)]
+        d = width.index(max(width))
+        want, below, left = sum(rows[i][dims] for i in node) * (n // 2) // n, 0, []
+        order = sorted({(rows[i][d], rows[i][dims + 1]) for i in node})
+        for key in order:
+            group = [i for i in node if (rows[i][d], rows[i][dims + 1]) == key]
+            size = sum(rows[i][dims] for i in group)
+            if below + size > want:
+                if below + size - want < want - below:
+                    left += group
+                break
+            left += group
+            below += size
+        gone = set(left)
+        todo += [(left, first, n // 2), ([i for i in node if i not in gone], first + n // 2, n - n // 2)]
+    return out
+
+
+@pytest.mark.parametrize("shards,bins", [(7, 4096), (40, 4096), (12, 5)])
+def test_kd_shards_match_a_tree_by_hand(spark, monkeypatch, shards, bins):
+    """With a hot value of a dimension, ties, repeated rows and histograms that need several rounds."""
+    monkeypatch.setattr(sharding, "BINS", bins)
+    r = random.Random(shards)
+    rows = [(r.choice([7, 7, 7, r.randrange(1000)]), r.randrange(40), r.randint(16, 400), r.randrange(2**33)) for _ in range(500)]
+    rows += rows[:20]
+    d = spark.createDataFrame([(*x, k) for k, x in enumerate(rows)], "a long, b long, size long, tie long, k long")
+    got = {x["k"]: x["shard"] for x in sharding.kd_shards(d, ["a", "b"], "size", "tie", shards, _spark.Scratch(spark)).collect()}
+    assert [got[k] for k in range(len(rows))] == kd_by_hand(rows, 2, shards)
+
+
+def test_kd_shards_of_odd_rows(spark):
+    d = docs(spark, ["x", "x", None, "", "é"] * 3, [1, 1, 2, None, 3] * 3).withColumn("shard", F.lit(5)).withColumn("slot", F.lit(5))
+    rows = sharding.shard_documents(d, 40).collect()
+    assert sorted((str(x["doc_id"]), x["size"], x["text_crc32"]) for x in rows) == sorted([("1", 17, zlib.crc32(b"x")), ("1", 17, zlib.crc32(b"x")), ("2", 16, 0), ("None", 16, 0), ("3", 18, zlib.crc32("é".encode()))] * 3)
+    slots = {}
+    for x in rows:
+        assert 0 <= x["shard"] < 40
+        slots.setdefault(x["shard"], []).append(x["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())

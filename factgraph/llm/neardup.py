@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,70 +184,105 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, p: Params, s
     """Confirmed links between members of one bucket whose components differ.
 
     The rule is the same for every bucket: each two of its members are compared, unless a component
-    holds them both or hubs have compared them (all pairs of three).  Pairs are formed inside tasks, which send
-    only links that join components.  Buckets with the same members count once.  Buckets that overlap
-    form families; a family that fits one block is one group, so that each set travels once, and a pair
-    in it is compared if the two share a bucket.  Of larger families each bucket is a group, a large
-    bucket in pairs of blocks.
+    holds them both or hubs have compared them (all pairs of three).  Buckets with the same members
+    count once.  Buckets that overlap form families, and families are dealt to blocks; blocks meet two
+    by two inside tasks, which compare the pairs that share a bucket and send only links that join components.
     """
-    named = scratch.write(members.select("key", "rep", "n", "c").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", "c", F.coalesce("label", "rep").alias("label")))
+    named = scratch.write(members.where("c > 3").select("key", "rep", "n", "c").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("key", "rep", "n", "c", F.coalesce("label", "rep").alias("label")))
     same = F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("same")
-    ends = [F.min("label").alias("x"), F.max("label").alias("y"), F.min("rep").alias("hub"), F.count("*").alias("m"), F.sum("n").alias("ns"), same]
-    open_keys = named.where("c > 3").groupBy("key").agg(*ends).where("x <> y").groupBy("x", "y", "hub", "m", "ns", "same").agg(F.min("key").alias("key"))
-    open_keys = scratch.write(open_keys.select("key", "hub", "m", _blocks("m", "ns")))
-    left = salted_join(named.where("c > 3").withColumn("_parts", parts_of(F.col("c"))), open_keys.withColumn("_parts", parts_of(F.col("m"))), ["key"])
-    left = scratch.write(left.select("key", "rep", "n", "label", "hub", F.col("blocks").alias("key_blocks")))
+    ends = [F.min("label").alias("x"), F.max("label").alias("y"), F.min("rep").alias("hub"), F.count("*").alias("m"), same]
+    open_keys = named.groupBy("key").agg(*ends).where("x <> y").groupBy("x", "y", "hub", "m", "same").agg(F.min("key").alias("key"))
+    open_keys = scratch.write(open_keys.select("key", "hub", "m"))
+    left = salted_join(named.withColumn("_parts", parts_of(F.col("c"))), open_keys.withColumn("_parts", parts_of(F.col("m"))), ["key"])
+    left = scratch.write(left.select("key", "rep", "n", "label", "hub"))
     families = components(left.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
     families = scratch.write(families.withColumnRenamed("label", "family").unionByName(families.select(F.col("label").alias("id"), F.col("label").alias("family")).distinct()))
     facts = scratch.write(left.groupBy(F.col("rep").alias("id")).agg(F.max("n").alias("n"), F.max("label").alias("label"), F.collect_set("key").alias("keys")).join(families, "id"))
-    sizes = scratch.write(facts.groupBy("family").agg(F.count("*").alias("_c"), F.sum("n").alias("ns")).select("family", "_c", _blocks("_c", "ns")))
-    sized = spread_join(facts, sizes.drop("_c"), ["family"], scratch, sizes.select("family", "_c"))
-    zero = F.lit(0)
-    whole = sized.where("blocks = 1").select("id", "label", "keys", F.lit("family").alias("kind"), F.col("family").alias("g"), zero.alias("own"), zero.alias("lo"), zero.alias("hi"))
-    wide = sized.where("blocks > 1").select("id")
-    each = keep_ids(left.withColumnRenamed("rep", "id"), scratch.write(wide), "id").withColumn("own", F.pmod(F.xxhash64("id"), "key_blocks").cast("int"))
-    each = each.withColumn("other", F.explode(F.sequence(zero, F.col("key_blocks") - 1)))
-    each = each.select("id", "label", F.array("key").alias("keys"), F.lit("bucket").alias("kind"), F.col("key").alias("g"), "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    return scratch.write(whole.unionByName(each).join(sets, "id").groupBy("kind", "g", "lo", "hi").applyInArrow(lambda t: _block_links(t, p.percent), "a long, b long").distinct())
+    dealt, pairs = _meetings(facts, scratch)
+    ends = [(pairs.select("family", F.col("x").alias("block"), "x", "y"), "x"), (pairs.where("x <> y").select("family", F.col("y").alias("block"), "x", "y"), "y")]
+    met = [spread_join(some, dealt, ["family", "block"], scratch).select("id", "label", "keys", "family", "x", "y", F.lit(side).alias("own")) for some, side in ends]
+    return scratch.write(met[0].unionByName(met[1]).join(sets, "id").groupBy("family", "x", "y").applyInArrow(lambda t: _block_links(t, p.percent), "a long, b long").distinct())
 
 
-#: Rows that a task makes of classes; sets and shingles of a block.
-EXPLODED, BLOCK, BLOCK_SHINGLES = 1_000_000, 512, 2_000_000
+def _meetings(facts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(members with their block, pairs of blocks that must meet) of families.
+
+    A component that fills several blocks has blocks of its own, which do not meet one another; what
+    else is in a family shares blocks by a hash of the id.  So a family that fits one block is one
+    block, and a large component with few members beside it costs a number of rows linear in its size.
+    """
+    zero, several = F.lit(0), F.col("own_blocks") > 1
+    per = scratch.write(facts.groupBy("family", "label").agg(F.count("*").alias("_c"), F.sum("n").alias("ns")).withColumn("own_blocks", _blocks("_c", "ns")))
+    shared = per.where(~several).groupBy("family").agg(F.sum("_c").alias("rows"), F.sum("ns").alias("ns")).select("family", _blocks("rows", "ns").alias("blocks"))
+    per = scratch.write(spread_join(per, shared, ["family"], scratch, how="left"))
+    mixed = scratch.write(per.where(~several).select("family", "blocks").distinct().select("family", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("i")).select("family", F.concat(F.lit("m:"), "i").alias("b")))
+    large = scratch.write(per.where(several).select("family", "label", "own_blocks"))
+    each = lambda df: df.withColumn("i", F.explode(F.sequence(zero, F.col("own_blocks") - 1))).select("family", F.concat(F.lit("l:"), "label", F.lit(":"), "i").alias("b"))
+    two = large.alias("p").join(large.alias("q"), (F.col("p.family") == F.col("q.family")) & (F.col("p.label") < F.col("q.label")))
+    code = lambda k: F.concat(F.lit("l:"), f"{k}label", F.lit(":"), f"{k}i")
+    two = two.select("p.family", F.col("p.label").alias("plabel"), F.col("q.label").alias("qlabel"), "q.own_blocks", F.explode(F.sequence(zero, F.col("p.own_blocks") - 1)).alias("pi")).withColumn("qi", F.explode(F.sequence(zero, F.col("own_blocks") - 1)))
+    pairs = mixed.withColumnRenamed("b", "x").join(mixed.withColumnRenamed("b", "y"), "family").where("x <= y")
+    pairs = pairs.unionByName(mixed.withColumnRenamed("b", "x").join(each(large).withColumnRenamed("b", "y"), "family")).unionByName(two.select("family", code("p").alias("x"), code("q").alias("y")))
+    own = F.when(several, F.concat(F.lit("l:"), "label", F.lit(":"), F.pmod(F.xxhash64("id"), "own_blocks"))).otherwise(F.concat(F.lit("m:"), F.pmod(F.xxhash64("id"), "blocks")))
+    dealt = spread_join(facts, per.drop("_c", "ns"), ["family", "label"], scratch, per.select("family", "label", "_c"))
+    return scratch.write(dealt.select("id", "label", "keys", "family", own.alias("block"))), scratch.write(pairs)
+
+
+#: Rows that a task makes of classes; sets and shingles of a block; sets with a shingle up to which pairs are listed.
+EXPLODED, BLOCK, BLOCK_SHINGLES, RARE = 1_000_000, 1024, 2_000_000, 16
 
 
 def _blocks(rows: str, shingles: str):
-    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
-def _common(lists: pa.ListArray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many elements the lists of rows x and y share, as a matrix, and the size of each list."""
+def _common(lists: pa.ListArray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements the lists of rows x and y share, as a matrix.
+
+    Elements of many rows are multiplied as dense columns; of the others each pair of rows is counted.
+    """
     size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
     _, word, seen = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(size)), size)
-    several = seen[word] > 1
-    row, word = row[several], np.unique(word[several], return_inverse=True)[1]
-    order = np.argsort(word, kind="stable")
-    row, word = row[order], word[order]
     both = np.zeros((len(x), len(y)), np.float32)
+    dense = seen[word] > RARE
+    often, at = row[dense], np.unique(word[dense], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    often, at = often[order], at[order]
     width = 4096
-    for a in range(0, int(word[-1]) + 1 if len(word) else 0, width):
-        i, j = np.searchsorted(word, [a, a + width])
-        m = np.zeros((len(size), width), np.float32)
-        m[row[i:j], word[i:j] - a] = 1
+    for a in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        i, j = np.searchsorted(at, [a, a + width])
+        m = np.zeros((len(size), min(width, int(at[-1]) + 1 - a)), np.float32)
+        m[often[i:j], at[i:j] - a] = 1
         both += m[x] @ m[y].T
-    return both, size
+    rare = (seen[word] > 1) & ~dense
+    order = np.argsort(word[rare], kind="stable")
+    row, word = row[rare][order], word[rare][order]
+    place = np.full((2, len(size)), -1)
+    place[0, x], place[1, y] = np.arange(len(x)), np.arange(len(y))
+    for step in range(1, RARE):
+        k = np.flatnonzero(word[step:] == word[:-step]) if len(word) > step else np.zeros(0, np.int64)
+        if not len(k):
+            break
+        for a, b in ((row[k], row[k + step]), (row[k + step], row[k])):
+            i, j = place[0, a], place[1, b]
+            ok = (i >= 0) & (j >= 0)
+            np.add.at(both, (i[ok], j[ok]), 1)
+    return both
 
 
 def _block_links(t: pa.Table, percent: int) -> pa.Table:
     """Links between two blocks (or inside one) that join components: at most one a member."""
-    own, lo, hi = t["own"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
+    own = t["own"].to_numpy(zero_copy_only=False) == "x"
     ids, label = t["id"].to_numpy(), t["label"].to_numpy()
-    x, y = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-    both, size = _common(t["shingles"].combine_chunks(), x, y)
+    x, y = np.flatnonzero(own), np.flatnonzero(~own if t["x"][0].as_py() != t["y"][0].as_py() else own)
+    lists = t["shingles"].combine_chunks()
+    size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    both = _common(lists, x, y)
     union = size[x][:, None] + size[y][None, :] - both
     near = (both * 100 >= union * percent) & (label[x][:, None] != label[y][None, :])
     if near.any():
-        near &= _common(t["keys"].combine_chunks(), x, y)[0] > 0
+        near &= _common(t["keys"].combine_chunks(), x, y) > 0
     i, j = np.nonzero(near)
     root = {int(k): int(k) for k in np.unique(label)}
 

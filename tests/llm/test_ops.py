@@ -307,12 +307,20 @@ def test_empty_tables(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_block_links_join_what_brute_force_joins():
+@pytest.mark.parametrize("rare", [1, 4, 16, 1000])
+def test_block_links_join_what_brute_force_joins(monkeypatch, rare):
+    monkeypatch.setattr(neardup, "RARE", rare)
     r = random.Random(3)
     base = [r.getrandbits(62) for _ in range(60)]
     sets = [sorted(r.sample(base, r.randint(48, 60)) + [r.getrandbits(62) for _ in range(r.randint(0, 6))]) for _ in range(60)]
     n = len(sets)
-    t = pa.table({"id": list(range(n)), "label": list(range(n)), "family": [0] * n, "own": pa.array([i % 2 for i in range(n)], pa.int32()), "lo": pa.array([0] * n, pa.int32()), "hi": pa.array([1] * n, pa.int32()), "keys": pa.array([[i % 3, 7 + i % 2] if i % 10 else [] for i in range(n)], pa.list_(pa.int64())), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+    lists = pa.list_(pa.int64())
+    keys = pa.array([[i % 3, 7 + i % 2] if i % 10 else [] for i in range(n)], lists)
+    t = pa.table({"id": list(range(n)), "label": list(range(n)), "x": ["p"] * n, "y": ["q"] * n, "own": ["yx"[i % 2 == 0] for i in range(n)], "keys": keys, "shingles": pa.array(sets, lists)})
+    common = neardup._common(pa.array(sets, lists), np.arange(n), np.arange(0, n, 2))
+    for i in range(n):
+        for j in range(0, n, 2):
+            assert i == j or common[i, j // 2] == len(set(sets[i]) & set(sets[j]))
     got = neardup._block_links(t, 80)
     near = lambda a, b: 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b])) and a % 10 and b % 10 and (a - b) % 6 in (0, 2, 3, 4)
     links = list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True))
@@ -452,7 +460,7 @@ def test_near_duplicates_do_not_depend_on_block_sizes(spark, monkeypatch, p):
     texts = look_alikes(60, 8)
     label = components([shingles(t, 2) for t in texts], 80)
     found = []
-    for block, hot in ((512, 1000), (25, 20), (6, 7)):
+    for block, hot in ((1024, 1000), (25, 20), (6, 7)):
         monkeypatch.setattr(neardup, "BLOCK", block)
         monkeypatch.setattr(_spark, "HOT_ROWS", hot)
         found.append({r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, texts), p=p).collect()})

@@ -100,13 +100,14 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], scratch: Scr
 
     counts: keys and ``_c``, left's rows with the key (counted here if not given).  Keys with more than ``HOT_ROWS``
     rows, and more than a ``HOT_KEYS``-th of all, are at most ``HOT_KEYS``; they are broadcast, and their rows
-    are dealt to several tasks.
+    are dealt to several tasks.  The plan has the same shape with and without hot keys.
     """
     counts = left.groupBy(*keys).agg(F.count("*").alias("_c")) if counts is None else counts
     most, total = counts.agg(F.max("_c"), F.sum("_c")).first()
     limit = max(HOT_ROWS, -(-(total or 0) // HOT_KEYS))
     if (most or 0) <= limit:
-        return left.join(right, keys, how)
+        one = F.lit(1)
+        return salted_join(left.withColumn("_parts", one), right.withColumn("_parts", one), keys, how)
     hot = scratch.write(counts.where(F.col("_c") > limit).select(*keys, F.ceil(F.col("_c") / limit).cast("int").alias("_parts")))
     dealt = lambda df: df.join(F.broadcast(hot), keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
     return salted_join(dealt(left), dealt(right), keys, how)

@@ -21,14 +21,15 @@ def first_wins(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), arrival).alias("r")).select(*keys, "r.*")
 
 
-def page(rows: DataFrame, order: list, size: str, items: int, size_limit: int, scope: list[str]) -> DataFrame:
-    """Rows of the first page of each scope: the longest prefix whose number and sizes fit.
+def page(rows: DataFrame, order: list, size: str, items: int | None, size_limit: int | None, scope: list[str]) -> DataFrame:
+    """Rows of the first page of each scope: the longest prefix whose number and sizes fit; None is no limit.
 
     A unit that does not fit ends the page, even if a later one would fit.
     """
     run = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumn("at", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).withColumn("upto", F.sum(size).over(run))
-    return out.where((F.col("at") <= items) & (F.col("upto") <= size_limit))
+    fits = (F.lit(True) if items is None else F.col("at") <= items) & (F.lit(True) if size_limit is None else F.col("upto") <= size_limit)
+    return out.where(fits)
 
 
 def search_budget(files: DataFrame, max_results: int, max_files: int, max_bytes: int) -> DataFrame:

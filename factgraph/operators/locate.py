@@ -59,11 +59,16 @@ def search_symbols(symbols: DataFrame, resources: DataFrame, name: str | None =
     return symbols.join(files, "resource_uid").withColumn("current", F.col("revision") == F.col("_revision")).drop("_revision")
 
 
-def symbol_at(symbols: DataFrame, points: DataFrame) -> DataFrame:
+def symbol_at(symbols: DataFrame, points: DataFrame, width: int = 4096) -> DataFrame:
     """For points (point_uid, resource_uid, offset) the innermost symbol around each: the shortest span,
-    then the latest start, then the least id.  Points without one are left out."""
-    s = symbols.select("resource_uid", F.col("uid").alias("symbol_uid"), "start_byte", "end_byte")
-    hit = points.join(s, "resource_uid").where((F.col("start_byte") <= F.col("offset")) & (F.col("offset") < F.col("end_byte")))
+    then the latest start, then the least id.  Points without one are left out.
+
+    Spans are listed under each stretch of ``width`` bytes that they meet, so a point meets the spans near it
+    and not all of a large file.
+    """
+    at = lambda x: F.floor(x / width)
+    s = symbols.where("start_byte < end_byte").select("resource_uid", F.col("uid").alias("symbol_uid"), "start_byte", "end_byte", F.explode(F.sequence(at(F.col("start_byte")), at(F.col("end_byte") - 1))).alias("_at"))
+    hit = points.withColumn("_at", at(F.col("offset"))).join(s, ["resource_uid", "_at"]).where((F.col("start_byte") <= F.col("offset")) & (F.col("offset") < F.col("end_byte")))
     best = F.min_by("symbol_uid", F.struct((F.col("end_byte") - F.col("start_byte")).alias("n"), (-F.col("start_byte")).alias("s"), F.col("symbol_uid").alias("u")))
     return hit.groupBy("point_uid").agg(best.alias("symbol_uid"))
 

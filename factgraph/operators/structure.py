@@ -87,3 +87,27 @@ def cycles(pairs: DataFrame) -> DataFrame:
     back = reach.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
     mutual = reach.where("src <> dst").join(back, ["src", "dst"])
     return mutual.groupBy(F.col("src").alias("member")).agg(F.min("dst").alias("_low")).select("member", F.least("member", "_low").alias("component"))
+
+
+def inventory_fingerprint(path: Column) -> Column:
+    """Aggregate: a digest of a set of paths that does not depend on their order.
+
+    The digest of each path is added in four pieces, so a group of any size is one fixed-size sum.
+    """
+    pieces = [F.sum(F.conv(F.substr(F.sha2(path, 256), F.lit(i), F.lit(15)), 16, 10).cast("decimal(38,0)")).cast("string") for i in (1, 16, 31, 46)]
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *pieces), 256)
+
+
+def first_paths(edges: DataFrame, n: int) -> DataFrame:
+    """(node, path, place): of the paths of two edges (source, target) from each node the first n by name.
+
+    Only the first n ends of a middle and the first n middles of a node can be in them, so each is cut
+    before the two meet: a hub's paths are never listed.
+    """
+    e = edges.select("source", "target").distinct()
+    best = lambda df, by, order: df.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_k") <= n).drop("_k")
+    ends = best(e.select(F.col("source").alias("mid"), F.col("target").alias("end")), "mid", F.col("end"))
+    into = e.select(F.col("source").alias("node"), F.col("target").alias("mid")).join(ends.select("mid").distinct(), "mid", "left_semi")
+    paths = best(into, "node", F.concat("mid", F.lit(">"))).join(ends, "mid").select("node", F.concat_ws(">", "node", "mid", "end").alias("path"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("path"))
+    return paths.withColumn("place", place.cast("long")).where(F.col("place") <= n)

@@ -96,8 +96,11 @@ def oracle(sql: str) -> str:
     return f"WITH {head}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {head} {sql}"
 
 
+_BASE = re.compile(r"\b(FROM|JOIN)\s+(" + "|".join(TABLES) + r")\b")
+
+
 class Facts:
-    """DataFrames of base tables and views of one data directory."""
+    """DataFrames of base tables and views of one data directory; the session's own views stay untouched."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -105,8 +108,12 @@ class Facts:
     def __call__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
-        views = needed({name})
-        for t in TABLES:
-            if any(re.search(rf"\b{t}\b", VIEWS[v]) for v in views):
-                self.spark.read.parquet(f"{self.dir}/{t}.parquet").createOrReplaceTempView(t)
-        return self.spark.sql("WITH " + ", ".join(f"{x} AS ({VIEWS[x]})" for x in views) + f" SELECT * FROM {name}")
+        return self.sql(f"SELECT * FROM {name}")
+
+    def sql(self, text: str) -> DataFrame:
+        """A query over base tables and fact views."""
+        views = needed({x for x in _NAME.findall(text) if x in VIEWS})
+        if views:
+            text = "WITH " + ", ".join(f"{x} AS ({VIEWS[x]})" for x in views) + " " + text
+        used = {m[2] for m in _BASE.finditer(text)}
+        return self.spark.sql(_BASE.sub(r"\1 {\2}", text), **{t: self(t) for t in used})

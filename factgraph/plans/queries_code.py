@@ -23,26 +23,42 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-_EXT = "CASE o_orderkey % 8 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' WHEN 2 THEN '.ts' WHEN 3 THEN '.json' WHEN 4 THEN '.md' WHEN 5 THEN '.png' WHEN 6 THEN '_test.py' ELSE '' END"
-_PATHS = f"SELECT o_orderkey AS uid, concat(CASE o_orderkey % 6 WHEN 0 THEN 'src/' WHEN 1 THEN 'tests/' WHEN 2 THEN 'a/node_modules/' WHEN 3 THEN 'p/target/' WHEN 4 THEN 'q/target/' ELSE 'docs/' END, 'f', o_orderkey, {_EXT}) AS path_key FROM orders UNION ALL SELECT -1, 'p/Cargo.toml'"
+def _listed(names: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in names) + ")"
+
+
+#: Paths of every name that a list of the discovery rules holds, in every kind of directory, and markers beside some.
+_NAMES = ("a.PY", "b.pyi", "c.mjs", "d.cjs", "e.jsx", "f.mts", "g.cts", "h.tsx", "i.svelte", "j.cs", "k.rs", "test_l.py", "m_test.rs", "n.spec.ts", "o_spec.rb", "Cargo.lock", ".gitignore", "p.json", "q.Toml", "r.conf", "README", "License.txt", "s.mdx", "t.txt", "u.css", "v.html", "w.wasm", "x.woff2", "y", "z.", ".env", "a.b.ini", "contest.py", "latest_.ts")
+_DIRS = ("src", "Tests", "__tests__", "specs", "a/.git", "a/.hg", "b/node_modules/x", "c/venv", "c/virtualenv", "c/__pycache__", "d/target", "e/target/x", "f/bin", "f/obj", "g/build", "h/dist/y", "i/dist", "")
+_MARKERS = ("d/Cargo.toml", "f/App.CSPROJ", "g/setup.py", "h/setup.cfg", "i/cargo.toml", "e/x.sln")
+_PATHS = f"SELECT o_orderkey AS uid, concat(CASE o_orderkey % {len(_DIRS)} " + " ".join(f"WHEN {i} THEN '{d}{'/' if d else ''}'" for i, d in enumerate(_DIRS)) + f" END, 'o', o_custkey, '/', CASE CAST(floor(o_orderkey / {len(_DIRS)}) AS BIGINT) % {len(_NAMES)} " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END) AS path_key FROM orders" + "".join(f" UNION ALL SELECT {-1 - i}, '{m}'" for i, m in enumerate(_MARKERS))
 
 
 def paths(f: Facts) -> DataFrame:
-    f("b_work").limit(0)  # makes the base table known by name
-    return f.spark.sql(_PATHS)
+    return f.sql(_PATHS)
+
 
+#: The rules as SQL over a path's lower-cased name, extension and stem, from the same lists of fixed values.
+_PARTS = f"SELECT uid, path_key, low, name, ext, CASE WHEN ext IS NULL THEN name ELSE substr(name, 1, length(name) - length(ext) - 1) END AS stem FROM (SELECT *, CASE WHEN instr(substr(name, 2), '.') > 0 THEN split_part(name, '.', -1) END AS ext FROM (SELECT uid, path_key, lower(path_key) AS low, lower(split_part(path_key, '/', -1)) AS name FROM ({_PATHS})))"
+_LANGUAGE = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in tree.LANGUAGES.items()) + " END"
+_TEST = f"len(list_intersect(string_split(low, '/'), [{_listed(tree.TEST_DIRS)[1:-1]}])) > 0" + "".join(f" OR starts_with(stem, '{x}')" for x in tree.TEST_STARTS) + "".join(f" OR ends_with(stem, '{x}')" for x in tree.TEST_ENDS)
+_ROLE = f"CASE WHEN {_TEST} THEN 'TEST' WHEN name IN {_listed(tree.CONFIG_NAMES)} OR ext IN {_listed(tree.CONFIG_EXTENSIONS)} THEN 'CONFIG' WHEN stem IN {_listed(tree.DOCS_STEMS)} OR ext IN {_listed(tree.DOCS_EXTENSIONS)} THEN 'DOCS' WHEN {_LANGUAGE} IS NOT NULL THEN 'SOURCE' WHEN ext IN {_listed(tree.ASSET_EXTENSIONS)} THEN 'ASSET' ELSE 'UNKNOWN' END"
+_GONE = "".join(f" AND NOT contains('/' || path_key, '/{d}/')" for d in tree.EXCLUDED)
 
-@query("S2_exclusion", f"SELECT uid, path_key FROM ({_PATHS}) WHERE path_key NOT LIKE '%node_modules/%' AND path_key NOT LIKE 'p/target/%'")
+
+@query("S2_exclusion", f"""WITH p AS ({_PATHS}), k AS (SELECT * FROM p WHERE true{_GONE}),
+m AS (SELECT DISTINCT regexp_replace(path_key, '[^/]*$', '') AS home, split_part(path_key, '/', -1) AS name FROM k)
+SELECT uid, path_key FROM k WHERE NOT (false""" + "".join(f" OR EXISTS (SELECT 1 FROM m WHERE starts_with(path_key, m.home || '{d}/') AND (" + " OR ".join(f"ends_with(lower(m.name), '{x}')" if x.startswith(".") else f"m.name = '{x}'" for x in ms) + "))" for d, ms in tree.CONTEXTUAL.items()) + ")")
 def _(f):
     return tree.excluded(paths(f)).select("uid", "path_key")
 
 
-@query("S3_language", f"SELECT uid, CASE WHEN path_key LIKE '%.py' THEN 'PYTHON' WHEN path_key LIKE '%.rs' THEN 'RUST' WHEN path_key LIKE '%.ts' THEN 'TYPESCRIPT' END AS language FROM ({_PATHS})")
+@query("S3_language", f"SELECT uid, CASE WHEN {_ROLE} IN ('TEST', 'SOURCE') THEN {_LANGUAGE} END AS language FROM ({_PARTS})")
 def _(f):
-    return paths(f).select("uid", tree.language_of(F.col("path_key")).alias("language"))
+    return paths(f).select("uid", tree.resource_language(F.col("path_key")).alias("language"))
 
 
-@query("S3_role", f"SELECT uid, CASE WHEN path_key LIKE 'tests/%' OR path_key LIKE '%\\_test.py' ESCAPE '\\' THEN 'TEST' WHEN path_key LIKE '%.json' OR path_key LIKE '%.toml' THEN 'CONFIG' WHEN path_key LIKE '%.md' THEN 'DOCS' WHEN path_key LIKE '%.py' OR path_key LIKE '%.rs' OR path_key LIKE '%.ts' THEN 'SOURCE' WHEN path_key LIKE '%.png' THEN 'ASSET' ELSE 'UNKNOWN' END AS role FROM ({_PATHS})")
+@query("S3_role", f"SELECT uid, {_ROLE} AS role FROM ({_PARTS})")
 def _(f):
     return paths(f).select("uid", tree.role_of(F.col("path_key")).alias("role"))
 
@@ -60,32 +76,15 @@ def _(f):
     return text_scan.scan(s, "the ").groupBy("path_key").agg((F.count("*") + 1).alias("matches"))
 
 
-@query("W6_line_index", "SELECT doc_id, position('the ' IN text) - 1 AS at, len(string_split(substr(text, 1, position('the ' IN text) - 1), chr(10))) - 1 AS line FROM b_source WHERE contains(text, 'the ') AND strlen(text) = length(text)")
-def _(f):
-    s = f("b_source").where("octet_length(text) = length(text)").select(F.col("doc_id").cast("string").alias("path_key"), F.encode("text", "UTF-8").alias("content"))
-    m = text_scan.scan(s, "the ").groupBy("path_key").agg(F.min(F.struct("start_byte", "line")).alias("m"))
-    return m.select(F.col("path_key").cast("long").alias("doc_id"), F.col("m.start_byte").alias("at"), F.col("m.line").alias("line"))
-
-
-@query("S14_verified_ranges", "SELECT path_key, doc_id % 2 = 0 AS verified, CASE WHEN doc_id % 2 = 0 THEN sha256(substr(text, 3, 20)) END AS digest FROM b_source WHERE strlen(text) = length(text) AND length(text) >= 22")
+@query("W6_line_index", "SELECT doc_id, strlen(substr(text, 1, position('the ' IN text) - 1)) AS at, len(string_split(substr(text, 1, position('the ' IN text) - 1), chr(10))) - 1 AS line FROM b_source WHERE contains(text, 'the ')")
 def _(f):
-    s = f("b_source").where("octet_length(text) = length(text) AND length(text) >= 22")
-    files = s.select("path_key", F.encode("text", "UTF-8").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise("stale").alias("expected"))
-    spans = s.select("path_key", F.lit(2).alias("start"), F.lit(22).alias("end"))
-    return text_scan.verified_range(files, spans).select("path_key", "verified", F.sha2("bytes", 256).alias("digest"))
-
-
-@query("W6_line_index_all", "SELECT doc_id, strlen(substr(text, 1, position('the ' IN text) - 1)) AS at, len(string_split(substr(text, 1, position('the ' IN text) - 1), chr(10))) - 1 AS line FROM b_source WHERE contains(text, 'the ')")
-def _(f):
-    """All documents, those with multi-byte characters too, which W6_line_index leaves out."""
     s = f("b_source").select(F.col("doc_id").cast("string").alias("path_key"), F.encode("text", "UTF-8").alias("content"))
     m = text_scan.scan(s, "the ").groupBy("path_key").agg(F.min(F.struct("start_byte", "line")).alias("m"))
     return m.select(F.col("path_key").cast("long").alias("doc_id"), F.col("m.start_byte").alias("at"), F.col("m.line").alias("line"))
 
 
-@query("S14_verified_ranges_all")
+@query("S14_verified_ranges", "SELECT path_key, doc_id % 2 = 0 AS verified, CASE WHEN doc_id % 2 = 0 THEN sha256(unhex(substr(hex(encode(text)), 5, 40))) END AS digest FROM b_source")
 def _(f):
-    """All documents, those with multi-byte characters and short ones too, which S14_verified_ranges leaves out."""
     s = f("b_source")
     files = s.select("path_key", F.encode("text", "UTF-8").alias("content"), F.when(F.col("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise("stale").alias("expected"))
     spans = s.select("path_key", F.lit(2).alias("start"), F.lit(22).alias("end"))
@@ -103,20 +102,12 @@ def _(f):
     return tree.stable_ids(old, s.where("revision > 1").select(F.col("uid").alias("n"), "qualified_name", "kind", "signature"))
 
 
-_STATUS = "SELECT o_orderkey AS id, concat('1 M. N... 100644 100644 100644 aa bb src/f', o_orderkey, '.py', chr(0), '2 R. N... 100644 100644 100644 aa bb R90 new', o_orderkey, chr(0), 'old', o_orderkey, chr(0), '? x y') AS value FROM orders WHERE o_orderkey % 10 = 0"
-
-
-@query("S20_status_entries", "SELECT o_orderkey AS id, k AS kind, CASE k WHEN 'CHANGED' THEN concat('src/f', o_orderkey, '.py') WHEN 'RENAMED' THEN concat('new', o_orderkey) ELSE 'x y' END AS path, CASE k WHEN 'RENAMED' THEN concat('old', o_orderkey) END AS original FROM orders, (SELECT unnest(['CHANGED', 'RENAMED', 'UNTRACKED']) AS k) WHERE o_orderkey % 10 = 0")
-def _(f):
-    f("b_work").limit(0)
-    return records.status_entries(f.spark.sql(_STATUS))
+_STATUS = "SELECT o_orderkey AS id, concat('1 M. N... 100644 100644 100644 aa bb src/f', o_orderkey, '.py', chr(0), '2 R. N... 100644 100644 100644 aa bb R90 new', o_orderkey, chr(0), 'old', o_orderkey, chr(0), '? x y') AS value FROM orders"
 
 
-@query("S20_status_entries_all", "SELECT o_orderkey AS id, k AS kind, CASE k WHEN 'CHANGED' THEN concat('src/f', o_orderkey, '.py') WHEN 'RENAMED' THEN concat('new', o_orderkey) ELSE 'x y' END AS path, CASE k WHEN 'RENAMED' THEN concat('old', o_orderkey) END AS original FROM orders, (SELECT unnest(['CHANGED', 'RENAMED', 'UNTRACKED']) AS k)")
+@query("S20_status_entries", "SELECT o_orderkey AS id, k AS kind, CASE k WHEN 'CHANGED' THEN concat('src/f', o_orderkey, '.py') WHEN 'RENAMED' THEN concat('new', o_orderkey) ELSE 'x y' END AS path, CASE k WHEN 'RENAMED' THEN concat('old', o_orderkey) END AS original FROM orders, (SELECT unnest(['CHANGED', 'RENAMED', 'UNTRACKED']) AS k)")
 def _(f):
-    """All orders, without the subset of S20_status_entries."""
-    f("b_work").limit(0)
-    return records.status_entries(f.spark.sql(_STATUS.removesuffix(" WHERE o_orderkey % 10 = 0")))
+    return records.status_entries(f.sql(_STATUS))
 
 
 _LINES = "SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber = 3 THEN 'Compiling' ELSE concat('src/f', l_orderkey % 7, '.rs:', l_linenumber, ':', l_suppkey % 5, ': ', CASE WHEN l_linenumber = 1 THEN 'error' ELSE 'warning' END, ': x', l_orderkey % 3) END AS line FROM lineitem"
@@ -124,14 +115,12 @@ _LINES = "SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber =
 
 @query("S21_diagnostics", "SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber <> 3 AS parsed, CASE WHEN l_linenumber <> 3 THEN concat('src/f', l_orderkey % 7, '.rs') END AS path, CASE WHEN l_linenumber <> 3 THEN CAST(l_linenumber AS BIGINT) END AS row, CASE WHEN l_linenumber <> 3 THEN CASE WHEN l_linenumber = 1 THEN 'error' ELSE 'warning' END END AS severity FROM lineitem")
 def _(f):
-    f("b_occurrence").limit(0)
-    return records.diagnostics(f.spark.sql(_LINES)).select("id", "parsed", "path", "row", "severity")
+    return records.diagnostics(f.sql(_LINES)).select("id", "parsed", "path", "row", "severity")
 
 
 @query("A14_diagnostics_summary", f"SELECT split_part(line, ':', 1) AS path, line LIKE '%error%' AS error, count(*) AS times, min(id) AS first FROM ({_LINES}) WHERE line <> 'Compiling' GROUP BY line ORDER BY CASE WHEN line LIKE '%error%' THEN 0 ELSE 1 END, min(id) LIMIT 64")
 def _(f):
-    f("b_occurrence").limit(0)
-    s = records.summary(records.diagnostics(f.spark.sql(_LINES)))
+    s = records.summary(records.diagnostics(f.sql(_LINES)))
     return s.select("path", (F.col("severity") == "error").alias("error"), "times", "first")
 
 
@@ -194,16 +183,8 @@ def _(f):
     return s.groupBy("identity").agg(F.count("*").alias("declarations"), F.min("uid").alias("first"))
 
 
-@query("G21_semantic_merge", "SELECT c.site, c.target, CASE WHEN s.uid IS NULL THEN 'REJECT_NO_SITE' WHEN c.revision <> s.revision THEN 'REJECT_STALE' WHEN s.bound IS NULL THEN 'BINDING' WHEN s.bound = c.target THEN 'CORROBORATING' ELSE 'CONFLICT' END AS outcome FROM (SELECT concat('occ:', l_orderkey, ':', l_linenumber) AS site, concat('part:', l_partkey - l_partkey % 3 % 2) AS target, CAST(l_suppkey % 3 + 1 AS BIGINT) AS revision FROM lineitem WHERE l_linenumber < 4) c LEFT JOIN (SELECT uid, CASE WHEN start_byte % 20 <> 0 THEN target END AS bound, revision FROM b_occurrence) s ON s.uid = c.site")
-def _(f):
-    sites = f("b_occurrence").select(F.col("uid").alias("site"), F.when(F.col("start_byte") % 20 != 0, F.col("target")).alias("bound"), "revision")
-    claims = f("lineitem").where("l_linenumber < 4").select(F.concat(F.lit("occ:"), "l_orderkey", F.lit(":"), "l_linenumber").alias("site"), F.concat(F.lit("part:"), F.col("l_partkey") - F.col("l_partkey") % 3 % 2).alias("target"), (F.col("l_suppkey") % 3 + 1).cast("long").alias("revision"))
-    return resolve_code.merge_evidence(sites, claims)
-
-
-@query("G21_semantic_merge_all", "SELECT c.site, c.target, CASE WHEN s.uid IS NULL THEN 'REJECT_NO_SITE' WHEN c.revision <> s.revision THEN 'REJECT_STALE' WHEN s.bound IS NULL THEN 'BINDING' WHEN s.bound = c.target THEN 'CORROBORATING' ELSE 'CONFLICT' END AS outcome FROM (SELECT concat('occ:', l_orderkey, ':', l_linenumber) AS site, concat('part:', l_partkey - l_partkey % 3 % 2) AS target, CAST(l_suppkey % 3 + 1 AS BIGINT) AS revision FROM lineitem) c LEFT JOIN (SELECT uid, CASE WHEN start_byte % 20 <> 0 THEN target END AS bound, revision FROM b_occurrence) s ON s.uid = c.site")
+@query("G21_semantic_merge", "SELECT c.site, c.target, CASE WHEN s.uid IS NULL THEN 'REJECT_NO_SITE' WHEN c.revision <> s.revision THEN 'REJECT_STALE' WHEN s.bound IS NULL THEN 'BINDING' WHEN s.bound = c.target THEN 'CORROBORATING' ELSE 'CONFLICT' END AS outcome FROM (SELECT concat('occ:', l_orderkey, ':', l_linenumber) AS site, concat('part:', l_partkey - l_partkey % 3 % 2) AS target, CAST(l_suppkey % 3 + 1 AS BIGINT) AS revision FROM lineitem) c LEFT JOIN (SELECT uid, CASE WHEN start_byte % 20 <> 0 THEN target END AS bound, revision FROM b_occurrence) s ON s.uid = c.site")
 def _(f):
-    """All claims, without the subset of G21_semantic_merge."""
     sites = f("b_occurrence").select(F.col("uid").alias("site"), F.when(F.col("start_byte") % 20 != 0, F.col("target")).alias("bound"), "revision")
     claims = f("lineitem").select(F.concat(F.lit("occ:"), "l_orderkey", F.lit(":"), "l_linenumber").alias("site"), F.concat(F.lit("part:"), F.col("l_partkey") - F.col("l_partkey") % 3 % 2).alias("target"), (F.col("l_suppkey") % 3 + 1).cast("long").alias("revision"))
     return resolve_code.merge_evidence(sites, claims)

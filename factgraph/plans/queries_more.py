@@ -63,18 +63,14 @@ def _(f):
 
 @query("O5_severity_top", f"SELECT id, CASE WHEN line LIKE '%error%' THEN 'error' ELSE 'warning' END AS severity, right(line, 2) AS message FROM ({_LINES}) WHERE line <> 'Compiling' ORDER BY CASE WHEN line LIKE '%error%' THEN 0 ELSE 1 END, id LIMIT 64")
 def _(f):
-    f("b_occurrence").limit(0)
-    parsed = records.diagnostics(f.spark.sql(_LINES)).where("parsed")
+    parsed = records.diagnostics(f.sql(_LINES)).where("parsed")
     return parsed.orderBy(records.severity_rank(F.col("severity")), "id").limit(64).select("id", "severity", "message")
 
 
 @query("O10_supporting_paths", "SELECT node, path, place FROM (SELECT b.source AS node, concat(b.source, '>', a.source, '>', a.target) AS path, row_number() OVER (PARTITION BY b.source ORDER BY concat(b.source, '>', a.source, '>', a.target)) AS place FROM (SELECT DISTINCT source, target FROM b_relation WHERE kind = 'CALLS') a JOIN (SELECT DISTINCT source, target FROM b_relation WHERE kind = 'CALLS') b ON b.target = a.source) WHERE place <= 4")
 def _(f):
-    e = f("b_relation").where("kind = 'CALLS'").select("source", "target").distinct()
-    two = e.select(F.col("source").alias("mid"), F.col("target").alias("end")).join(e.select(F.col("source").alias("node"), F.col("target").alias("mid")), "mid")
-    paths = two.select("node", F.concat_ws(">", "node", "mid", "end").alias("path"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("path"))
-    return paths.withColumn("place", place.cast("long")).where("place <= 4")
+    e = f("b_relation").where("kind = 'CALLS'").select("source", "target")
+    return structure.first_paths(e, 4)
 
 
 @query("S15_symbol_inspect", "SELECT s.uid, s.kind, s.signature, r.path_key, coalesce(t.state, 'UNKNOWN') AS structure, s.revision = r.revision AS current FROM b_symbol s JOIN b_resource r ON r.uid = s.resource_uid AND r.state = 'ACTIVE' LEFT JOIN b_structure t ON t.resource_uid = r.uid")
@@ -133,16 +129,8 @@ def _(f):
     return delivery.merge_ranges(r, "resource_uid").groupBy("resource_uid").agg(F.count("*").alias("ranges"), F.sum(F.col("end") - F.col("start")).cast("long").alias("floor"))
 
 
-@query("ST9_generation_publish", "SELECT event_id AS generation, CASE WHEN basis = coalesce(max(CASE WHEN ok THEN event_id END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 'STABLE' ELSE 'ABORTED' END AS state FROM (SELECT event_id, event_id % 5 <> 0 AS ok, event_id - 1 AS basis FROM events WHERE event_id < 400)")
+@query("ST9_generation_publish", "SELECT event_id AS generation, CASE WHEN basis = coalesce(max(CASE WHEN ok THEN event_id END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 'STABLE' ELSE 'ABORTED' END AS state FROM (SELECT event_id, event_id % 5 <> 0 AS ok, event_id - 1 AS basis FROM events)")
 def _(f):
-    e = f("events").where("event_id < 400").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("event_id")).alias("rev"), (F.col("event_id") - 1).alias("basis"))
-    now = F.coalesce(F.max("rev").over(Window.orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # generations of one workspace
-    return e.select(F.col("event_id").alias("generation"), F.when(F.col("basis") == now, "STABLE").otherwise("ABORTED").alias("state"))
-
-
-@query("ST9_generation_publish_all", "SELECT event_id AS generation, CASE WHEN basis = coalesce(max(CASE WHEN ok THEN event_id END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 'STABLE' ELSE 'ABORTED' END AS state FROM (SELECT event_id, event_id % 5 <> 0 AS ok, event_id - 1 AS basis FROM events)")
-def _(f):
-    """All events, without the fixed prefix and the single task of ST9_generation_publish."""
     return delivery.published(f("events").select(F.col("event_id").alias("generation"), (F.col("event_id") - 1).alias("basis"), (F.col("event_id") % 5 != 0).alias("ok")))
 
 

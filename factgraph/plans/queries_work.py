@@ -95,16 +95,8 @@ def _(f):
     return o.select("resource_uid", "work_uid", "status", F.array_join("other_roles", ",").alias("other_roles"), F.array_join("this_roles", ",").alias("this_roles"))
 
 
-@query("J9_work_overlap_pairs", "SELECT a.work_uid AS one, b.work_uid AS other, a.resource_uid FROM b_work_resource a JOIN b_work_resource b ON a.resource_uid = b.resource_uid AND a.work_uid < b.work_uid WHERE a.role = 'TARGET' AND b.role = 'TARGET' AND a.work_uid % 50 = 0 ORDER BY 1, 2, 3 LIMIT 256")
+@query("J9_work_overlap", "SELECT resource_uid, work_uid, others FROM (SELECT resource_uid, work_uid, count(*) OVER (PARTITION BY resource_uid) - 1 AS others FROM (SELECT DISTINCT resource_uid, work_uid FROM b_work_resource WHERE role = 'TARGET')) WHERE others > 0")
 def _(f):
-    t = f("b_work_resource").where("role = 'TARGET'")
-    a = t.where("work_uid % 50 = 0").select(F.col("work_uid").alias("one"), "resource_uid")
-    return a.join(t.select(F.col("work_uid").alias("other"), "resource_uid"), "resource_uid").where("one < other").select("one", "other", "resource_uid").orderBy("one", "other", "resource_uid").limit(256)
-
-
-@query("J9_work_overlap_all", "SELECT resource_uid, work_uid, others FROM (SELECT resource_uid, work_uid, count(*) OVER (PARTITION BY resource_uid) - 1 AS others FROM (SELECT DISTINCT resource_uid, work_uid FROM b_work_resource WHERE role = 'TARGET')) WHERE others > 0")
-def _(f):
-    """Overlaps of all work items, without the subset and the limit of J9_work_overlap_pairs."""
     return knowledge.overlap_members(f("b_work_resource"), "TARGET")
 
 
@@ -202,17 +194,9 @@ def _(f):
     return journal.unambiguous_moves(p.where("path % 2 = 0"), p.where("path % 2 = 1"))
 
 
-@query("ST7_refresh_decision", """WITH n AS (SELECT path_id, count(*) AS n, max_by(kind, seq) AS kind FROM b_journal WHERE seq % 5 = 0 GROUP BY path_id), r AS (SELECT c_custkey AS path_id, CASE WHEN c_acctbal < 0 THEN 'DELETED' ELSE 'ACTIVE' END AS state FROM customer WHERE c_custkey % 4 <> 0)
-SELECT n.path_id, CASE WHEN n > 1 THEN 'DEFERRED_MANY' WHEN kind <> 'MODIFY' THEN 'DEFERRED_KIND' WHEN state IS NULL THEN 'DEFERRED_UNKNOWN' WHEN state <> 'ACTIVE' THEN 'DEFERRED_DELETED' ELSE 'REFRESH' END AS decision FROM n LEFT JOIN r ON r.path_id = n.path_id""")
-def _(f):
-    r = f("customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("path_id"), F.when(F.col("c_acctbal") < 0, "DELETED").otherwise("ACTIVE").alias("state"))
-    return journal.refresh_decision(f("b_journal").where("seq % 5 = 0"), r)
-
-
-@query("ST7_refresh_decision_all", """WITH n AS (SELECT path_id, count(*) AS n, max_by(kind, seq) AS kind FROM b_journal GROUP BY path_id), r AS (SELECT c_custkey AS path_id, CASE WHEN c_acctbal < 0 THEN 'DELETED' ELSE 'ACTIVE' END AS state FROM customer WHERE c_custkey % 4 <> 0)
+@query("ST7_refresh_decision", """WITH n AS (SELECT path_id, count(*) AS n, max_by(kind, seq) AS kind FROM b_journal GROUP BY path_id), r AS (SELECT c_custkey AS path_id, CASE WHEN c_acctbal < 0 THEN 'DELETED' ELSE 'ACTIVE' END AS state FROM customer WHERE c_custkey % 4 <> 0)
 SELECT n.path_id, CASE WHEN n > 1 THEN 'DEFERRED_MANY' WHEN kind <> 'MODIFY' THEN 'DEFERRED_KIND' WHEN state IS NULL THEN 'DEFERRED_UNKNOWN' WHEN state <> 'ACTIVE' THEN 'DEFERRED_DELETED' ELSE 'REFRESH' END AS decision FROM n LEFT JOIN r ON r.path_id = n.path_id""")
 def _(f):
-    """All events, without the subset of ST7_refresh_decision."""
     r = f("customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("path_id"), F.when(F.col("c_acctbal") < 0, "DELETED").otherwise("ACTIVE").alias("state"))
     return journal.refresh_decision(f("b_journal"), r)
 
@@ -291,7 +275,7 @@ def _(f):
 
 @query("B3_required_first", f"SELECT resource_uid, uid FROM (SELECT *, sum(bytes) OVER (PARTITION BY resource_uid ORDER BY {_TIER}, uid, bytes ROWS UNBOUNDED PRECEDING) AS upto FROM ({_ITEMS}) WHERE category = 'TARGET') WHERE upto <= 150")
 def _(f):
-    return delivery.page(items(f).where("category = 'TARGET'"), ["tier", "uid", "bytes"], "bytes", 10**6, 150, ["resource_uid"]).select("resource_uid", "uid")
+    return delivery.page(items(f).where("category = 'TARGET'"), ["tier", "uid", "bytes"], "bytes", None, 150, ["resource_uid"]).select("resource_uid", "uid")
 
 
 @query("B6_reuse_ledger", f"SELECT i.uid, coalesce(l.version = i.bytes AND 40 < i.bytes, false) AS reuse FROM ({_ITEMS}) i LEFT JOIN (SELECT uid AS identity, resource_uid AS scope, CASE WHEN start_byte % 3 = 0 THEN 0 ELSE bytes END AS version FROM ({_ITEMS}) WHERE start_byte % 2 = 0) l ON l.identity = i.uid AND l.scope = i.resource_uid")

@@ -8,10 +8,29 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Directories that are never read, and those that a marker beside them excludes.
-EXCLUDED = (".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", ".mypy_cache", ".pytest_cache")
-CONTEXTUAL = {"target": "Cargo.toml", "dist": "package.json", "build": "package.json", "bin": ".csproj", "obj": ".csproj"}
-LANGUAGES = {"py": "PYTHON", "pyi": "PYTHON", "js": "JAVASCRIPT", "jsx": "JAVASCRIPT", "mjs": "JAVASCRIPT", "ts": "TYPESCRIPT", "tsx": "TYPESCRIPT", "svelte": "SVELTE", "cs": "CSHARP", "rs": "RUST"}
+#: Directory names that are never read.
+EXCLUDED = (".git", "node_modules", "venv", ".venv", "virtualenv")
+#: Directory names that are not read where one of the markers stands beside them: file names, or
+#: extensions (with a dot, in any case).
+CONTEXTUAL = {
+    "target": ("Cargo.toml",),
+    "bin": (".csproj", ".sln"),
+    "obj": (".csproj", ".sln"),
+    "build": ("package.json", "pyproject.toml", "setup.py", "setup.cfg", "Cargo.toml"),
+    "dist": ("package.json", "pyproject.toml", "setup.py", "setup.cfg", "Cargo.toml"),
+}
+#: What names say about roles; all compared in lower case.
+TEST_DIRS = ("test", "tests", "__tests__", "spec", "specs")
+TEST_STARTS, TEST_ENDS = ("test_",), ("_test", ".test", "_spec", ".spec")
+CONFIG_NAMES = ("cargo.toml", "cargo.lock", "package.json", "package-lock.json", "pyproject.toml", "tsconfig.json", "jsconfig.json", ".gitignore", ".gitattributes", ".editorconfig")
+CONFIG_EXTENSIONS = ("toml", "yaml", "yml", "ini", "cfg", "conf", "csproj")
+DOCS_STEMS = ("readme", "changelog", "license", "contributing", "authors")
+DOCS_EXTENSIONS = ("md", "mdx", "rst", "adoc")
+ASSET_EXTENSIONS = ("png", "jpg", "jpeg", "gif", "svg", "ico", "bmp", "webp", "woff", "woff2", "ttf", "otf", "pdf", "mp4", "mp3", "wav", "wasm", "zip")
+LANGUAGES = {
+    "py": "PYTHON", "pyi": "PYTHON", "js": "JAVASCRIPT", "mjs": "JAVASCRIPT", "cjs": "JAVASCRIPT", "jsx": "JAVASCRIPT",
+    "ts": "TYPESCRIPT", "mts": "TYPESCRIPT", "cts": "TYPESCRIPT", "tsx": "TYPESCRIPT", "svelte": "SVELTE", "cs": "CSHARP", "rs": "RUST",
+}
 
 
 def walk(root: str) -> Iterator[tuple[str, int, int]]:
@@ -33,23 +52,34 @@ def read_tree(spark: SparkSession, root: str) -> DataFrame:
     return files.select(path.alias("path_key"), F.col("length").alias("size"), "content")
 
 
-def excluded(paths: DataFrame) -> DataFrame:
-    """Paths outside excluded directories; contextual ones only count where their marker stands beside them."""
+def excluded(paths: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Paths outside excluded directories; contextual ones only count where a marker stands beside them.
+
+    extra: further directory names that are never read, such as a tool's own data directory.
+    """
     parts = F.split("path_key", "/")
-    always = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(x) for x in EXCLUDED]))
+    above = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    always = F.arrays_overlap(above, F.array(*[F.lit(x) for x in (*EXCLUDED, *extra)]))
     kept = paths.where(~always)
+    name = F.substring_index("path_key", "/", -1)
     marker = F.lit(None).cast("string")
-    for m in sorted(set(CONTEXTUAL.values())):
-        marker = F.when(F.endswith("path_key", F.lit(m)), m).otherwise(marker)
+    for m in sorted({m for ms in CONTEXTUAL.values() for m in ms}):
+        marker = F.when(F.lower(_extension(F.lower(name))) == m[1:] if m.startswith(".") else name == m, m).otherwise(marker)
     beside = kept.select(F.regexp_replace("path_key", r"[^/]*$", "").alias("home"), marker.alias("marker")).where("marker IS NOT NULL").distinct()
-    wanted = F.create_map(*[F.lit(x) for pair in CONTEXTUAL.items() for x in pair])
-    places = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d, i: F.struct(F.array_join(F.transform(F.slice(parts, F.lit(1), i), lambda x: F.concat(x, F.lit("/"))), "").alias("home"), wanted[d].alias("marker")))
-    inside = kept.select("path_key", F.explode(F.filter(places, lambda p: p["marker"].isNotNull())).alias("p")).select("path_key", "p.home", "p.marker")
+    wanted = F.create_map(*[x for d, ms in CONTEXTUAL.items() for x in (F.lit(d), F.array(*[F.lit(m) for m in ms]))])
+    places = F.transform(above, lambda d, i: F.struct(F.array_join(F.transform(F.slice(parts, F.lit(1), i), lambda x: F.concat(x, F.lit("/"))), "").alias("home"), wanted[d].alias("markers")))
+    inside = kept.select("path_key", F.explode(F.filter(places, lambda p: p["markers"].isNotNull())).alias("p")).select("path_key", "p.home", F.explode("p.markers").alias("marker"))
     return kept.join(inside.join(beside, ["home", "marker"], "left_semi").select("path_key").distinct(), "path_key", "left_anti")
 
 
+def _extension(name: Column) -> Column:
+    """What follows the last dot of a file name, or null; a leading dot begins a name, no extension."""
+    return F.when(F.regexp_like(name, F.lit(r"^.+\.[^.]*$")), F.substring_index(name, ".", -1))
+
+
 def language_of(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+    """Language by extension, whatever the role."""
+    ext = _extension(F.lower(F.substring_index(path, "/", -1)))
     out = F.lit(None).cast("string")
     for e, name in LANGUAGES.items():
         out = F.when(ext == e, name).otherwise(out)
@@ -58,12 +88,24 @@ def language_of(path: Column) -> Column:
 
 def role_of(path: Column) -> Column:
     """TEST, then CONFIG, DOCS, SOURCE (with a language), ASSET, UNKNOWN."""
-    name = F.lower(F.substring_index(path, "/", -1))
-    test = F.regexp_like(F.lower(path), F.lit(r"(?:^|/)(?:tests?|__tests__|spec)/|(?:^|/)test_[^/]*$|[._](?:test|spec)\.[^/.]+$|_test\.[^/.]+$"))
-    config = F.regexp_like(name, F.lit(r"\.(?:json|toml|ya?ml|ini|cfg|lock|csproj|sln)$|^\.env"))
-    docs = F.regexp_like(name, F.lit(r"\.(?:md|rst|txt|adoc)$"))
-    asset = F.regexp_like(name, F.lit(r"\.(?:png|jpe?g|gif|svg|ico|woff2?|ttf|css|html?)$"))
-    return F.when(test, "TEST").when(config, "CONFIG").when(docs, "DOCS").when(language_of(path).isNotNull(), "SOURCE").when(asset, "ASSET").otherwise("UNKNOWN")
+    low = F.lower(path)
+    name = F.substring_index(low, "/", -1)
+    ext = _extension(name)
+    stem = F.when(ext.isNotNull(), F.substr(name, F.lit(1), F.length(name) - F.length(ext) - 1)).otherwise(name)
+    test = F.arrays_overlap(F.split(low, "/"), F.array(*[F.lit(x) for x in TEST_DIRS]))
+    for x in TEST_STARTS:
+        test |= F.startswith(stem, F.lit(x))
+    for x in TEST_ENDS:
+        test |= F.endswith(stem, F.lit(x))
+    held = lambda x, names: F.coalesce(x.isin(*names), F.lit(False))
+    config = held(name, CONFIG_NAMES) | held(ext, CONFIG_EXTENSIONS)
+    docs = held(stem, DOCS_STEMS) | held(ext, DOCS_EXTENSIONS)
+    return F.when(test, "TEST").when(config, "CONFIG").when(docs, "DOCS").when(language_of(path).isNotNull(), "SOURCE").when(held(ext, ASSET_EXTENSIONS), "ASSET").otherwise("UNKNOWN")
+
+
+def resource_language(path: Column) -> Column:
+    """The language that a resource keeps: configuration, documents and assets have none."""
+    return F.when(role_of(path).isin("TEST", "SOURCE"), language_of(path))
 
 
 def observed_hash(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -60,6 +60,98 @@ def test_impact_continuation_completes_the_walk(graph):
     assert {r["node"] for r in impact.traverse(df, "n1", "PUBLIC_SIGNATURE", start=page).nodes.collect()} == whole
 
 
+@pytest.mark.parametrize("nodes,most", [(1, None), (7, None), (None, 1), (None, 9), (20, 30), (10**6, 10**6)])
+def test_pages_of_a_walk_add_up_to_the_whole(graph, nodes, most):
+    edges, df = graph
+    whole = impact.traverse(df, "n1", "PUBLIC_SIGNATURE")
+    got = impact.traverse(df, "n1", "PUBLIC_SIGNATURE", impact.Budget(nodes, most, 3))
+    order, out = walk(edges, "n1", nodes or 10**9, most or 10**9, 3)
+    assert [r["node"] for r in got.nodes.orderBy("place").collect()] == order
+    assert sorted((r["kind"], r["source"], r["target"]) for r in got.edges.collect()) == sorted(out)
+    if got.stopped != ("DEPTH",):
+        rest = impact.traverse(df, "n1", "PUBLIC_SIGNATURE", start=got)
+        assert sorted(map(tuple, rest.edges.select("kind", "source", "target").collect())) == sorted(map(tuple, whole.edges.select("kind", "source", "target").collect()))
+        assert [r["node"] for r in rest.nodes.orderBy("place").collect()] == [r["node"] for r in whole.nodes.orderBy("place").collect()]
+
+
+def test_a_level_of_any_size_is_whole(spark):
+    many = spark.range(30_000).selectExpr("'CALLS' AS kind", "concat('c', id) AS source", "'root' AS target")
+    got = impact.traverse(many, "root", "PUBLIC_SIGNATURE", impact.Budget(nodes=40_000, edges=None, depth=1))
+    assert got.nodes.count() == 30_001 and got.edges.count() == 30_000 and got.stopped == ("DEPTH",)
+    got = impact.traverse(many, "root", "PUBLIC_SIGNATURE", impact.Budget(nodes=20_000))
+    assert got.nodes.count() == 20_000 and got.truncated and got.stopped == ("NODES",)
+
+
+def test_continuations_are_bound_and_time_ends_a_walk(graph):
+    _, df = graph
+    page = impact.traverse(df, "n1", "PUBLIC_SIGNATURE", impact.Budget(4, None, 3))
+    for root, change, budget in (("n2", "PUBLIC_SIGNATURE", impact.Budget()), ("n1", "RENAME", impact.Budget()), ("n1", "PUBLIC_SIGNATURE", impact.Budget(depth=2))):
+        with pytest.raises(impact.Mismatch):
+            impact.traverse(df, root, change, budget, start=page)
+    ticks = iter([0.0, 0.0, 5.0])
+    late = impact.traverse(df, "n1", "PUBLIC_SIGNATURE", impact.Budget(seconds=2), clock=lambda: next(ticks))
+    assert late.truncated and late.stopped == ("TIME",) and {r["depth"] for r in late.nodes.collect()} == {0, 1}
+    rest = impact.traverse(df, "n1", "PUBLIC_SIGNATURE", start=late)
+    assert rest.nodes.count() == impact.traverse(df, "n1", "PUBLIC_SIGNATURE").nodes.count()
+
+
+@pytest.mark.parametrize("width", [3, 4096])
+def test_symbol_at_by_stretches(spark, width):
+    from factgraph.operators import locate
+
+    r = random.Random(4)
+    spans = [(f"s{i}", r.choice("fg"), a, a + r.randint(0, 40)) for i, a in enumerate(r.randrange(100) for _ in range(60))]
+    points = [(i, r.choice("fgh"), r.randrange(140)) for i in range(200)]
+    want = {}
+    for i, f, at in points:
+        if hit := [(e - s, -s, u) for u, g, s, e in spans if g == f and s <= at < e]:
+            want[i] = min(hit)[2]
+    got = locate.symbol_at(spark.createDataFrame(spans, "uid string, resource_uid string, start_byte long, end_byte long"), spark.createDataFrame(points, "point_uid long, resource_uid string, offset long"), width)
+    assert {x["point_uid"]: x["symbol_uid"] for x in got.collect()} == want
+
+
+@pytest.mark.parametrize(
+    "path,role,language",
+    [(f"src/x.{e}", "SOURCE", x) for e, x in tree.LANGUAGES.items()]
+    + [(f"a/{d}/x.py", "TEST", "PYTHON") for d in (*tree.TEST_DIRS, "TESTS")]
+    + [("test_a.rs", "TEST", "RUST"), ("a_test.py", "TEST", "PYTHON"), ("a.test.ts", "TEST", "TYPESCRIPT"), ("a_spec.rb", "TEST", None), ("a.spec.js", "TEST", "JAVASCRIPT")]
+    + [(f"a/{n}", "CONFIG", None) for n in (*tree.CONFIG_NAMES, "Cargo.toml", "x.YAML")]
+    + [(f"x.{e}", "CONFIG", None) for e in tree.CONFIG_EXTENSIONS]
+    + [(f"{n}.txt", "DOCS", None) for n in (*tree.DOCS_STEMS, "README")]
+    + [(f"x.{e}", "DOCS", None) for e in tree.DOCS_EXTENSIONS]
+    + [(f"x.{e}", "ASSET", None) for e in tree.ASSET_EXTENSIONS]
+    + [(n, "UNKNOWN", None) for n in ("x.txt", "x.json", "x.css", "x.html", "x", "x.", ".env", "x.sln")],
+)
+def test_roles_and_languages_of_paths(spark, path, role, language):
+    got = ROLES.get(path)
+    if got is None:
+        every = [p[0] for p in test_roles_and_languages_of_paths.pytestmark[0].args[1]]
+        df = spark.createDataFrame([(p,) for p in every], "path_key string")
+        ROLES.update({r[0]: (r[1], r[2]) for r in df.select("path_key", tree.role_of(F.col("path_key")), tree.resource_language(F.col("path_key"))).collect()})
+        got = ROLES[path]
+    assert got == (role, language)
+
+
+ROLES: dict = {}
+
+
+def test_excluded_directories(spark):
+    gone = [f"a/{d}/x/y.py" for d in tree.EXCLUDED] + ["vendor/x.py", "r/target/x", "n/bin/x", "n/obj/x", "s/bin/x", "r/build/x", *[f"{i}/build/x" for i in range(3)], *[f"{i}/dist/x/y" for i in range(3)], "a/b/target/deep/x"]
+    beside = ["r/Cargo.toml", "n/App.CsProj", "s/x.sln", "0/package.json", "1/pyproject.toml", "2/setup.cfg", "a/b/Cargo.toml"]
+    stay = ["src/target/x", "q/build/x", "q/bin/x", "lib/dist/x", "r/bin/x", "n/target/x", "c/target/x", "c/cargo.toml", ".hg/x", "__pycache__/x", "target", "r/target2/x", "node_modules"]
+    df = spark.createDataFrame([(p,) for p in gone + beside + stay], "path_key string")
+    assert {r[0] for r in tree.excluded(df, ("vendor",)).collect()} == set(beside + stay)
+
+
+def test_two_directories_in_one_session(spark, tmp_path):
+    spark.createDataFrame([("mine",)], "x string").createOrReplaceTempView("orders")
+    a = registry.QUERIES["S4_observed_hash"](spark, "/root/testdata/sf0.001")
+    b = registry.QUERIES["N12_staleness"](spark, "/root/testdata/sf0.01")
+    assert a.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert b.count() == spark.read.parquet("/root/testdata/sf0.01/orders.parquet").count()
+    assert spark.table("orders").first()[0] == "mine"
+
+
 def test_cycles_of_groups(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, 6), (6, 5), (3, 5)], "src long, dst long")
     assert {(r["member"], r["component"]) for r in structure.cycles(pairs).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}
@@ -141,12 +233,36 @@ def test_snapshots_publish_by_compare_and_swap(spark, tmp_path):
 
     s = Snapshots(spark, str(tmp_path / "ws"))
     one = spark.createDataFrame([("a", 1)], "uid string, size long")
-    assert s.current() == {"generation": 0, "revision": 0}
-    assert reconcile(s, one) == {"generation": 1, "revision": 1} == reconcile(s, one)
+    assert (s.current()["generation"], s.current()["revision"]) == (0, 0)
+    first = reconcile(s, one)
+    assert (first["generation"], first["revision"]) == (1, 1) and reconcile(s, one) == first
     with pytest.raises(Stale):
         s.publish({"resource": one}, basis=0, revision=2)
     two = one.union(spark.createDataFrame([("b", 2)], "uid string, size long"))
     assert reconcile(s, two)["revision"] == 2 and s.table("resource").count() == 2
+    assert s.table("resource", first).count() == 1
+
+
+def test_of_two_publishers_one_wins_and_stays_readable(spark, tmp_path):
+    from factgraph.sources.snapshot import Snapshots, Stale
+
+    one, two = (spark.createDataFrame([(x, 1)], "uid string, size long") for x in "ab")
+    s, other = Snapshots(spark, str(tmp_path / "ws")), Snapshots(spark, str(tmp_path / "ws"))
+    s.publish({"resource": one}, 0, 1)
+    now, then = s.current(), other.current()
+    mine, theirs = s.begin({"resource": one}), other.begin({"resource": two})
+    won = other.swap(then, theirs, 2)
+    assert [r["uid"] for r in s.table("resource").collect()] == ["b"]
+    with pytest.raises(Stale):
+        s.swap(now, mine, 2)
+    assert s.current() == won and [r["uid"] for r in s.table("resource").collect()] == ["b"]
+    assert [r["uid"] for r in s.table("resource", now).collect()] == ["a"]
+    (tmp_path / "ws" / "pointers" / f"{3:012}").write_text("")  # a writer died here
+    assert s.current() == won
+    with pytest.raises(Stale):
+        s.publish({"resource": one}, 2, 3)
+    s.repair()
+    assert s.publish({"resource": one}, 2, 3)["generation"] == 3
 
 
 def test_python_structure_spans_and_coverage(spark):
@@ -200,7 +316,7 @@ def test_numbered_over_ranges_equals_a_sort(spark, range_rows):
 
 def test_orders_have_no_row_cap(spark):
     sf = "/root/testdata/sf0.001"
-    endpoints, relations_ = registry.QUERIES["O2_endpoint_order_all"](spark, sf).collect(), registry.QUERIES["O3_relation_order_all"](spark, sf).count()
+    endpoints, relations_ = registry.QUERIES["O2_endpoint_order"](spark, sf).collect(), registry.QUERIES["O3_relation_order"](spark, sf).count()
     assert {x.source.split(":")[0] for x in endpoints} == {"customer", "order", "supplier", "nation"}
     assert len(endpoints) > 300 and relations_ > 500
 
@@ -209,9 +325,9 @@ def test_whole_tables_are_fed(spark):
     sf = "/root/testdata/sf0.001"
     table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
     run = lambda name: registry.QUERIES[name](spark, sf)
-    assert run("S20_status_entries_all").count() == 3 * table("orders").count()
-    assert run("G21_semantic_merge_all").select("site").distinct().count() == table("lineitem").select("l_orderkey", "l_linenumber").distinct().count()
-    assert run("ST7_refresh_decision_all").count() == table("events").select("user_id").distinct().count()
+    assert run("S20_status_entries").count() == 3 * table("orders").count()
+    assert run("G21_semantic_merge").select("site").distinct().count() == table("lineitem").select("l_orderkey", "l_linenumber").distinct().count()
+    assert run("ST7_refresh_decision").count() == table("events").select("user_id").distinct().count()
     nation = {x.s_suppkey: x.s_nationkey for x in table("supplier").collect()}
     out = {}
     for x in table("lineitem").select("l_partkey", "l_suppkey").distinct().collect():
@@ -231,7 +347,7 @@ def test_whole_tables_are_fed(spark):
     for a in out:
         if mates := {b for b in far[a] if b != a and a in far.get(b, ())}:
             want[a] = min(mates | {a})
-    assert want and {x.member: x.component for x in run("G12_group_cycles_all").collect()} == want
+    assert want and {x.member: x.component for x in run("G12_group_cycles").collect()} == want
 
 
 def test_bytes_of_every_document(spark, tmp_path):
@@ -244,5 +360,5 @@ def test_bytes_of_every_document(spark, tmp_path):
         if (at := raw.find(b"the ")) >= 0:
             lines[i] = (at, raw.count(b"\n", 0, at))
         ranges[f"s/en/{i}"] = (i % 2 == 0, hashlib.sha256(raw[2:22]).hexdigest() if i % 2 == 0 else None)
-    assert {x.doc_id: (x.at, x.line) for x in registry.QUERIES["W6_line_index_all"](spark, str(tmp_path)).collect()} == lines
-    assert {x.path_key: (x.verified, x.digest) for x in registry.QUERIES["S14_verified_ranges_all"](spark, str(tmp_path)).collect()} == ranges
+    assert {x.doc_id: (x.at, x.line) for x in registry.QUERIES["W6_line_index"](spark, str(tmp_path)).collect()} == lines
+    assert {x.path_key: (x.verified, x.digest) for x in registry.QUERIES["S14_verified_ranges"](spark, str(tmp_path)).collect()} == ranges

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +34,89 @@ def page(rows: DataFrame, order: list, size: str, items: int | None, size_limit:
     return out.where(fits)
 
 
-def search_budget(files: DataFrame, max_results: int, max_files: int, max_bytes: int) -> DataFrame:
+@dataclass(frozen=True)
+class Caps:
+    """Caps of a delivery; None is no cap, but one must be set, and none is zero."""
+
+    items: int | None = None
+    bytes: int | None = None
+    tokens: int | None = None
+
+    def __post_init__(self) -> None:
+        given = [x for x in (self.items, self.bytes, self.tokens) if x is not None]
+        if not given or min(given) < 1:
+            raise ValueError("at least one cap, and none below 1")
+
+
+#: Named caps, and the intents whose required rows are one bundle.
+PROFILES = {"SMALL": Caps(16, 16 << 10), "MEDIUM": Caps(64, 64 << 10), "LARGE": Caps(128, 128 << 10)}
+ATOMIC = ("CHANGE", "IMPACT", "RESUME_HANDOFF")
+
+
+def deliver(rows: DataFrame, intent: str, caps: Caps, scope: list[str], order: list) -> DataFrame:
+    """Rows of each scope's first page, with ``outcome``: DELIVERED, LATER or OVERFLOW.
+
+    rows hold ``required``, ``tier``, ``bytes`` and ``tokens``.  Required rows come first, then tiers.  A page is the longest
+    prefix that fits all caps; a token cap cannot be met by rows whose cost is unknown (null).  For the intents in
+    ``ATOMIC`` a scope whose required rows do not all fit delivers nothing: all its rows are OVERFLOW.
+    """
+    by = [F.col("required").desc(), "tier", *order]
+    w = Window.partitionBy(*scope).orderBy(*by)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = F.lit(True)
+    for cap, x in ((caps.items, F.count(F.lit(1))), (caps.bytes, F.sum("bytes"))):
+        if cap is not None:
+            fits &= x.over(upto) <= cap
+    if caps.tokens is not None:
+        fits &= (F.sum("tokens").over(upto) <= caps.tokens) & (F.count_if(F.col("tokens").isNull()).over(upto) == 0)
+    out = rows.withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    broken = F.bool_or(F.col("required") & ~F.col("_fits")).over(Window.partitionBy(*scope)) if intent in ATOMIC else F.lit(False)
+    return out.withColumn("outcome", F.when(broken, "OVERFLOW").when(F.col("_fits"), "DELIVERED").otherwise("LATER")).drop("_fits")
+
+
+#: The steps of each intent, in order.  A step with a star runs only if a target was selected.
+INTENTS = {
+    "LOCATE": ("currentness", "select"),
+    "UNDERSTAND": ("currentness", "select", "caller_owners*", "declarations*", "outline*", "direct:both*"),
+    "RELATIONS": ("currentness", "select", "caller_owners*", "direct:asked*"),
+    "CHANGE": ("currentness", "select", "caller_owners*", "declarations*", "change_graph*", "knowledge", "work"),
+    "IMPACT": ("currentness", "select", "caller_owners*", "change_graph*"),
+    "RESUME_HANDOFF": ("currentness", "select", "caller_owners*", "declarations*", "direct:callers*", "knowledge", "work"),
+}
+
+
+def plan(intent: str, selected: bool, incoming: bool = True, work_item: bool = False, symbol: bool = True) -> list[str]:
+    """The operators that an intent runs, given whether a target was selected, whether relations are asked for
+    inwards, whether a work item is named, and whether the target is a symbol."""
+    out = []
+    for step in INTENTS[intent]:
+        name = step.rstrip("*")
+        if step.endswith("*") and not selected:
+            continue
+        if name == "caller_owners" and (not symbol or intent == "RELATIONS" and not incoming):
+            continue
+        if name == "outline" and symbol or name == "work" and not work_item:
+            continue
+        out.append(name)
+    return out
+
+
+def search_budget(files: DataFrame, max_results: int, max_files: int, max_bytes: int, range_rows: int = 200_000) -> DataFrame:
     """Files that a budgeted search still opens, in order of path.
 
     The budget is checked before a file: the file that crosses it is searched whole, the next is not.
-    Prefix sums are formed over ranges of paths, so no task sees all files.
+    Prefix sums are formed over ranges of paths, so no task sees all files, whatever directory holds them.
     """
-    buckets = files.groupBy("bucket").agg(F.sum("results").alias("r"), F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = buckets.select("bucket", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}0") for c in ("r", "n", "b")])
-    inside = Window.partitionBy("bucket").orderBy("path_key").rowsBetween(Window.unboundedPreceding, -1)
-    out = files.join(base, "bucket")
+    n = max(1, -(-files.count() // range_rows))
+    dealt = files.repartitionByRange(n, "path_key").withColumn("_range", F.spark_partition_id()).persist()
+    sums = dealt.groupBy("_range").agg(F.sum("results").alias("r"), F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_range", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}0") for c in ("r", "n", "b")])
+    inside = Window.partitionBy("_range").orderBy("path_key").rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(base, "_range")
     for c, x in (("results", "r0"), ("one", "n0"), ("bytes", "b0")):
         out = out.withColumn(x, F.col(x) + F.coalesce(F.sum(F.lit(1) if c == "one" else F.col(c)).over(inside), F.lit(0)))
-    return out.where((F.col("r0") < max_results) & (F.col("n0") < max_files) & (F.col("b0") < max_bytes))
+    return out.where((F.col("r0") < max_results) & (F.col("n0") < max_files) & (F.col("b0") < max_bytes)).drop("_range")
 
 
 def published(attempts: DataFrame, span: int = 1 << 16) -> DataFrame:

@@ -6,43 +6,101 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def resolve_policies(policies: DataFrame) -> DataFrame:
+#: Scopes of a layer of their own, from broad to narrow.
+BROAD = ("GLOBAL", "PROJECT")
+
+
+def applicability(layers: list[list[tuple[str, str]]]) -> list[tuple[int, str, str]]:
+    """(layer, scope kind, scope key) of layers of scopes, from broad to narrow, or a ValueError.
+
+    GLOBAL and PROJECT stand alone and before all narrower scopes, GLOBAL first; there is one WORKSPACE at
+    most, no scope twice, no empty layer.
+    """
+    seen: set[tuple[str, str]] = set()
+    narrow, last = False, None
+    for layer in layers:
+        if not layer:
+            raise ValueError("empty layer")
+        for scope in layer:
+            if scope in seen:
+                raise ValueError(f"scope twice: {scope}")
+            seen.add(scope)
+        broad = next((kind for kind, _ in layer if kind in BROAD), None)
+        if broad is None:
+            narrow = True
+            continue
+        if len(layer) > 1:
+            raise ValueError(f"{broad} needs a layer of its own")
+        if narrow:
+            raise ValueError(f"{broad} after a narrower scope")
+        if last == "PROJECT" and broad == "GLOBAL":
+            raise ValueError("GLOBAL after PROJECT")
+        last = broad
+    if sum(kind == "WORKSPACE" for kind, _ in seen) > 1:
+        raise ValueError("more than one WORKSPACE")
+    return [(i, kind, key) for i, layer in enumerate(layers) for kind, key in layer]
+
+
+def _flag(df: DataFrame, keys: DataFrame | None, key: str, name: str) -> DataFrame:
+    """df with whether its key is among ``keys`` (a table with the same column)."""
+    if keys is None:
+        return df.withColumn(name, F.lit(False))
+    return df.join(keys.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def resolve_policies(policies: DataFrame, directives: DataFrame | None = None) -> DataFrame:
     """Outcome of each active rule.
 
     Protected ones are always kept if their source is trusted, else they conflict.  Rules without a key
-    are kept.  Of a key, the project tier goes before the user tier, then the largest layer; ties all
-    stay, the rest is shadowed.
+    are kept.  Of a key, a directive of the request (policy_key) goes before all, unless a protected rule of the key
+    rejects it; then the project tier before the user tier, then the largest layer; ties all stay, the
+    rest is shadowed.
     """
-    p = policies.where("status = 'ACTIVE'")
+    p = _flag(policies.where("status = 'ACTIVE'"), directives, "policy_key", "_asked")
     rank = F.when(F.col("tier") == "PROJECT", 1).otherwise(0) * 100 + F.col("layer")
-    open_ = F.when(~F.col("protected") & F.col("policy_key").isNotNull(), rank)
-    best = F.max(open_).over(Window.partitionBy("policy_key"))
+    of_key = Window.partitionBy("policy_key")
+    best = F.max(F.when(~F.col("protected") & F.col("policy_key").isNotNull(), rank)).over(of_key)
+    guarded = F.coalesce(F.bool_or(F.col("protected") & F.col("trusted")).over(of_key), F.lit(False))
     outcome = (
         F.when(F.col("protected") & F.col("trusted"), "PROTECTED")
         .when(F.col("protected"), "CONFLICT")
         .when(F.col("policy_key").isNull(), "UNKEYED")
+        .when(F.col("_asked") & ~guarded, "SHADOWED_BY_REQUEST")
         .when(rank == best, "SELECTED")
         .when((F.col("tier") == "USER") & (best >= 100), "SHADOWED_BY_TIER")
         .otherwise("SHADOWED_BY_LAYER")
     )
-    return p.withColumn("outcome", outcome)
+    return p.withColumn("outcome", outcome).drop("_asked")
 
 
-def resolve_decisions(decisions: DataFrame) -> DataFrame:
-    """Per topic the choice of its largest layer, or a conflict if that layer holds several choices."""
+def rejected_directives(policies: DataFrame, directives: DataFrame) -> DataFrame:
+    """Directives (policy_key) that a protected rule with a trusted source rejects: each is a conflict."""
+    guards = policies.where("status = 'ACTIVE' AND protected AND trusted AND policy_key IS NOT NULL").select("policy_key").distinct()
+    return directives.select("policy_key").distinct().join(guards, "policy_key", "left_semi")
+
+
+def resolve_decisions(decisions: DataFrame, directives: DataFrame | None = None) -> DataFrame:
+    """Per topic the choice of its largest layer, or a conflict if that layer holds several choices.
+
+    A topic that a directive of the request (topic) settles has no choice of its own: ``shadowed``.
+    """
     d = decisions.where("status = 'ACTIVE'")
     top = F.max("layer").over(Window.partitionBy("topic"))
     n = d.withColumn("top", top).where("layer = top").groupBy("topic").agg(F.count_distinct("chosen").alias("choices"), F.min("chosen").alias("c"), F.count("*").alias("votes"))
-    return n.select("topic", F.when(F.col("choices") == 1, F.col("c")).alias("chosen"), (F.col("choices") > 1).alias("conflict"), "votes")
+    n = _flag(n, directives, "topic", "shadowed")
+    return n.select("topic", F.when((F.col("choices") == 1) & ~F.col("shadowed"), F.col("c")).alias("chosen"), ((F.col("choices") > 1) & ~F.col("shadowed")).alias("conflict"), "votes", "shadowed")
 
 
-def resolve_preferences(preferences: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """Named preferences that no project decision of the same topic has settled, of the largest layer."""
+def resolve_preferences(preferences: DataFrame, decisions: DataFrame, keys: list[str], directives: DataFrame | None = None) -> DataFrame:
+    """Named preferences of the largest layer, or why they are shadowed: by a directive of the request
+    (policy_key), else by a project decision of the same topic."""
     p = preferences.where(F.col("status") == "ACTIVE").where(F.col("policy_key").isin(keys))
-    p = p.join(decisions.select(F.col("topic").alias("policy_key")).distinct(), "policy_key", "left_anti")
     top = F.max("layer").over(Window.partitionBy("policy_key"))
-    best = p.withColumn("top", top).where("layer = top")
-    return best.groupBy("policy_key").agg(F.count_distinct("rule_text").alias("values"), F.min("rule_text").alias("v")).select("policy_key", F.when(F.col("values") == 1, F.col("v")).alias("value"), (F.col("values") > 1).alias("conflict"))
+    best = p.withColumn("top", top).where("layer = top").groupBy("policy_key").agg(F.count_distinct("rule_text").alias("values"), F.min("rule_text").alias("v"))
+    best = _flag(_flag(best, directives, "policy_key", "_asked"), decisions.select(F.col("topic").alias("policy_key")), "policy_key", "_decided")
+    shadow = F.when(F.col("_asked"), "SHADOWED_BY_REQUEST").when(F.col("_decided"), "SHADOWED_BY_DECISION")
+    free = shadow.isNull()
+    return best.select("policy_key", F.when(free & (F.col("values") == 1), F.col("v")).alias("value"), (free & (F.col("values") > 1)).alias("conflict"), shadow.alias("shadowed"))
 
 
 def overlap_members(work_resources: DataFrame, role: str) -> DataFrame:

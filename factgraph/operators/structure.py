@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph.scratch import Scratch
+
 
 def by_prefix(path: Column, rules: dict[str, str]) -> Column:
     """Label of the longest prefix that fits, then the first label; null if none does."""
@@ -111,3 +115,92 @@ def first_paths(edges: DataFrame, n: int) -> DataFrame:
     paths = best(into, "node", F.concat("mid", F.lit(">"))).join(ends, "mid").select("node", F.concat_ws(">", "node", "mid", "end").alias("path"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("path"))
     return paths.withColumn("place", place.cast("long")).where(F.col("place") <= n)
+
+
+#: Bounds of a request.
+MOST_RULES, MOST_LABEL_BYTES, MOST_PREFIX_BYTES, MOST_DEPTH, MOST_SAMPLE = 64, 128, 512, 16, 64
+
+
+class InvalidRequest(ValueError):
+    """A request that has no defined answer."""
+
+
+@dataclass(frozen=True)
+class Grouping:
+    """Exactly one of: prefix rules (prefix -> label), directory depth below ``root``, or a column (role, language, kind)."""
+
+    rules: dict[str, str] | None = None
+    depth: int | None = None
+    root: str = ""
+    column: str | None = None
+
+    def check(self) -> None:
+        if sum(x is not None for x in (self.rules, self.depth, self.column)) != 1:
+            raise InvalidRequest("name exactly one grouping")
+        if self.column is not None and self.column not in ("role", "language", "kind"):
+            raise InvalidRequest(f"no grouping by {self.column}")
+        if self.depth is not None and not 1 <= self.depth <= MOST_DEPTH:
+            raise InvalidRequest(f"depth is 1 to {MOST_DEPTH}")
+        check_path(self.root, empty=True)
+        if self.rules is not None:
+            if not 1 <= len(self.rules) <= MOST_RULES:
+                raise InvalidRequest(f"1 to {MOST_RULES} rules")
+            plain = [p.rstrip("/") for p in self.rules]
+            if len(set(plain)) < len(plain):
+                raise InvalidRequest("two rules have the same prefix")
+            for prefix, label in self.rules.items():
+                check_path(prefix)
+                if not label or len(label.encode()) > MOST_LABEL_BYTES:
+                    raise InvalidRequest(f"labels have 1 to {MOST_LABEL_BYTES} bytes")
+
+    def key(self) -> Column:
+        if self.rules is not None:
+            return by_prefix(F.col("path_key"), self.rules)
+        return by_depth(F.col("path_key"), self.root, self.depth) if self.depth is not None else F.col(self.column)
+
+
+def check_path(path: str, empty: bool = False) -> None:
+    """Paths are relative, inside the root, with slashes and without drives."""
+    if not path and empty:
+        return
+    if not path or len(path.encode()) > MOST_PREFIX_BYTES:
+        raise InvalidRequest(f"prefixes have 1 to {MOST_PREFIX_BYTES} bytes")
+    parts = path.rstrip("/").split("/")
+    if path.startswith("/") or "\\" in path or "\0" in path or path[1:2] == ":" or any(x in ("", ".", "..") for x in parts):
+        raise InvalidRequest(f"not a path below the root: {path}")
+
+
+@dataclass(frozen=True)
+class Summary:
+    """The tables of a structural summary; ``cycles`` is None if not asked for."""
+
+    groups: DataFrame
+    samples: DataFrame
+    edges: DataFrame
+    gaps: DataFrame
+    cycles: DataFrame | None
+
+
+def summary(resources: DataFrame, structures: DataFrame, owners: DataFrame, relations: DataFrame, gaps: DataFrame, candidates: DataFrame, grouping: Grouping, members: int = 5, ungrouped: bool = True, with_cycles: bool = False, scope: str = "") -> Summary:
+    """A structural summary of the active files below ``scope``, grouped one way.
+
+    groups: per group its inventory, internal edges, fan and relations both ways; a null group is what
+    no rule groups, and is left out last, after fan-in and fan-out have counted it.  The edges between groups
+    are written once, since each table reads them.
+    """
+    grouping.check()
+    check_path(scope, empty=True)
+    if not 0 <= members <= MOST_SAMPLE:
+        raise InvalidRequest(f"0 to {MOST_SAMPLE} members a sample")
+    scratch = Scratch(resources.sparkSession)
+    files = resources.where((F.col("state") == "ACTIVE") & (F.col("kind") == "FILE"))
+    files = files.where(F.startswith("path_key", F.lit(scope.rstrip("/") + "/"))) if scope else files
+    grouped = scratch.write(files.withColumn("g", grouping.key()).select("uid", "path_key", "g"))
+    e = scratch.write(edges(relations, entity_groups(grouped, owners)))
+    inside = e.where(F.col("sg").eqNullSafe(F.col("tg"))).groupBy(F.col("sg").alias("h")).agg(F.countDistinct(F.concat_ws(">", "kind", "source", "target")).alias("internal"))
+    f = fan(e).withColumnRenamed("g", "i")
+    out = inventory(grouped, structures).join(inside, F.col("g").eqNullSafe(F.col("h")), "left").join(f, F.col("g").eqNullSafe(F.col("i")), "left").drop("h", "i").fillna(0, ["internal", "fan_in", "fan_out", "in_relations", "out_relations"])
+    keep = (lambda df, *names: df) if ungrouped else (lambda df, *names: df.dropna(subset=list(names)))
+    loops = cycles(e.where("sg IS NOT NULL AND tg IS NOT NULL").select(F.col("sg").alias("src"), F.col("tg").alias("dst"))) if with_cycles else None
+    across = edge_counts(e.where(~F.col("sg").eqNullSafe(F.col("tg"))))
+    return Summary(keep(out, "g"), keep(sample(grouped, members), "g"), keep(across, "sg", "tg"), keep(gap_counts(gaps, grouped, candidates), "g"), loops)

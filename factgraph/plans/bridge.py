@@ -116,4 +116,5 @@ class Facts:
         if views:
             text = "WITH " + ", ".join(f"{x} AS ({VIEWS[x]})" for x in views) + " " + text
         used = {m[2] for m in _BASE.finditer(text)}
+        text = text.replace("{", "{{").replace("}", "}}")
         return self.spark.sql(_BASE.sub(r"\1 {\2}", text), **{t: self(t) for t in used})

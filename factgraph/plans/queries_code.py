@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.functions import text as T
 from factgraph.operators import resolve_code
 from factgraph.plans.bridge import Facts
 from factgraph.sources import records, text_scan, tree
@@ -124,30 +123,55 @@ def _(f):
     return s.select("path", (F.col("severity") == "error").alias("error"), "times", "first")
 
 
+@query("A14_diagnostics_counts", f"WITH n AS (SELECT line, count(*) AS n FROM ({_LINES}) GROUP BY line) SELECT sum(n)::BIGINT AS observed, count(*) FILTER (line <> 'Compiling') AS deduplicated, greatest(count(*) FILTER (line <> 'Compiling') - 64, 0)::BIGINT AS omitted, coalesce(sum(n) FILTER (line = 'Compiling'), 0)::BIGINT AS parse_misses FROM n")
+def _(f):
+    return records.diagnostics_counts(records.diagnostics(f.sql(_LINES)))
+
+
 # resolution ----------------------------------------------------------------------------------------
 
 
-def _names(f: Facts) -> tuple[DataFrame, DataFrame, DataFrame]:
-    symbols = f("b_symbol").select("uid", F.col("resource_uid").alias("file"), "name")
-    uses = f("b_gap").select(F.col("uid").alias("use"), F.col("resource_uid").alias("file"), F.regexp_extract("lookup_name", "f[0-9]+$", 0).alias("name"), F.col("truncated").alias("shadowed"))
-    bindings = f("orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("customer:"), F.col("o_custkey")).alias("file"), F.concat(F.lit("customer:"), F.col("o_custkey") % 50 + 1).alias("module"), F.concat(F.lit("f"), F.col("o_orderkey") % 97).alias("name")).distinct()
-    return uses, bindings, symbols
+_USES = "SELECT uid AS use, resource_uid AS file, CASE WHEN start_byte % 30 = 0 THEN concat('f', start_byte % 97) WHEN start_byte % 30 = 10 THEN 'ns' END AS receiver, regexp_replace(lookup_name, '^.*[:.]', '') AS name, truncated AS local FROM b_gap"
+_BINDINGS = "SELECT concat('customer:', o_custkey) AS file, CASE WHEN o_orderkey % 5 = 0 THEN 'ns' ELSE concat('f', o_orderkey % 97) END AS local_name, CASE WHEN o_orderkey % 4 <> 0 THEN concat('f', (o_orderkey + o_orderkey % 2) % 97) END AS imported_name, CASE WHEN o_orderkey % 7 < 4 THEN concat('customer:', o_custkey % 50 + 1) END AS module, CASE WHEN o_orderkey % 7 = 4 THEN 'pkg' END AS external FROM orders WHERE o_orderkey % 3 = 0"
+_NAMED = "SELECT uid, resource_uid AS file, name, CASE WHEN parent_uid IS NULL THEN name ELSE concat('f', start_byte % 97, '.', name) END AS qualified_name, parent_uid IS NULL AS top FROM b_symbol"
+_ONE = "CASE {n} WHEN 0 THEN NULL WHEN 1 THEN {t} END"
 
 
-@query("G13_name_resolution", """WITH s AS (SELECT resource_uid AS file, name, count(*) AS n, min(uid) AS uid FROM b_symbol GROUP BY 1, 2), b AS (SELECT DISTINCT concat('customer:', o_custkey) AS file, concat('customer:', o_custkey % 50 + 1) AS module, concat('f', o_orderkey % 97) AS name FROM orders WHERE o_orderkey % 3 = 0),
-i AS (SELECT b.file, b.name, sum(s.n) AS n, min(s.uid) AS uid FROM b JOIN s ON s.file = b.module AND s.name = b.name GROUP BY 1, 2), g AS (SELECT uid, resource_uid AS file, regexp_extract(lookup_name, 'f[0-9]+$') AS name, truncated FROM b_gap)
-SELECT g.uid AS use, CASE WHEN truncated THEN NULL WHEN i.n = 1 THEN i.uid WHEN i.n IS NULL AND s.n = 1 THEN s.uid END AS target,
- CASE WHEN truncated THEN 'SHADOWED' WHEN i.n = 1 OR (i.n IS NULL AND s.n = 1) THEN NULL WHEN i.n > 1 OR s.n > 1 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS reason FROM g LEFT JOIN i ON i.file = g.file AND i.name = g.name LEFT JOIN s ON s.file = g.file AND s.name = g.name""")
+@query("G13_name_resolution", f"""WITH u AS ({_USES}), b AS ({_BINDINGS}), s AS ({_NAMED}),
+t AS (SELECT file, name, count(*) AS n, min(uid) AS uid FROM s WHERE top GROUP BY 1, 2), q AS (SELECT file, qualified_name, count(*) AS n, min(uid) AS uid FROM s GROUP BY 1, 2),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, local_name ORDER BY imported_name NULLS FIRST, module NULLS FIRST, external NULLS FIRST) AS k FROM b) WHERE k = 1),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, local_name ORDER BY module NULLS FIRST, external NULLS FIRST) AS k FROM b WHERE imported_name IS NULL) WHERE k = 1),
+j AS (SELECT u.*, receiver IS NULL AS bare, coalesce(receiver, u.name) AS k FROM u),
+x AS (SELECT j.*, CASE WHEN bare THEN f.file IS NOT NULL ELSE m.file IS NOT NULL END AS bound, CASE WHEN bare THEN f.imported_name ELSE j.name END AS want, CASE WHEN bare THEN f.module ELSE m.module END AS module, CASE WHEN bare THEN f.external ELSE m.external END AS external
+  FROM j LEFT JOIN f ON f.file = j.file AND f.local_name = j.k LEFT JOIN m ON m.file = j.file AND m.local_name = j.k),
+y AS (SELECT x.*, coalesce(o.n, 0) AS own_n, o.uid AS own, coalesce(r.n, 0) AS far_n, r.uid AS far, coalesce(q.n, 0) AS q_n, q.uid AS q FROM x LEFT JOIN t o ON o.file = x.file AND o.name = x.k LEFT JOIN t r ON r.file = x.module AND r.name = x.want LEFT JOIN q ON q.file = x.file AND q.qualified_name = x.receiver || '.' || x.name),
+w AS (SELECT *, CASE WHEN local AND bare THEN 'POSSIBLY_SHADOWED' WHEN local THEN 'RECEIVER_TYPE_REQUIRED' WHEN bound AND want IS NULL THEN 'RECEIVER_TYPE_REQUIRED' WHEN bound THEN CASE WHEN module IS NOT NULL THEN CASE WHEN far_n = 0 THEN 'NAME_NOT_IN_MODULE' WHEN far_n > 1 THEN 'AMBIGUOUS_CANDIDATES' END WHEN external IS NULL THEN 'IMPORT_TARGET_UNRESOLVED' END
+  WHEN bare THEN CASE WHEN own_n = 0 THEN 'NO_STRUCTURAL_BINDING' WHEN own_n > 1 THEN 'AMBIGUOUS_CANDIDATES' END WHEN own_n <> 1 OR q_n = 0 THEN 'RECEIVER_TYPE_REQUIRED' WHEN q_n > 1 THEN 'AMBIGUOUS_CANDIDATES' END AS reason FROM y)
+SELECT use, CASE WHEN reason IS NULL THEN CASE WHEN bound THEN CASE WHEN module IS NOT NULL THEN far END WHEN bare THEN own ELSE q END END AS target, CASE WHEN reason IS NULL AND bound AND module IS NULL THEN external || ':' || want END AS external, reason FROM w""")
 def _(f):
-    return resolve_code.resolve_names(*_names(f))
+    return resolve_code.resolve_names(f.sql(_USES), f.sql(_BINDINGS), f.sql(_NAMED))
 
 
-@query("G14_import_outcomes", """SELECT uid, CASE WHEN lang IN ('CSHARP', 'SVELTE') THEN 'GAP_UNSUPPORTED' WHEN lang = 'TYPESCRIPT' AND m LIKE '/%' THEN 'GAP_CONFIG' WHEN lang = 'RUST' AND m LIKE 'crate%' THEN 'GAP_PATH' WHEN lang = 'TYPESCRIPT' AND m NOT LIKE '.%' THEN 'EXTERNAL' WHEN hits = 1 THEN 'INTERNAL' WHEN hits > 1 THEN 'AMBIGUOUS' WHEN m LIKE '.%' THEN 'GAP_NOT_FOUND' ELSE 'EXTERNAL' END AS outcome
-FROM (SELECT o_orderkey AS uid, CASE o_orderkey % 4 WHEN 0 THEN 'PYTHON' WHEN 1 THEN 'RUST' WHEN 2 THEN 'TYPESCRIPT' ELSE 'CSHARP' END AS lang, CASE o_custkey % 4 WHEN 0 THEN './x' WHEN 1 THEN '/abs' WHEN 2 THEN 'crate::a' ELSE '@s/pkg/y' END AS m, o_custkey % 3 AS hits FROM orders)""")
+_IMPORTS = """SELECT o_orderkey AS use, concat('src/d', o_custkey % 5, '/m', o_custkey % 7, '.x') AS path_key, CASE o_orderkey % 6 WHEN 0 THEN 'PYTHON' WHEN 1 THEN 'JAVASCRIPT' WHEN 2 THEN 'TYPESCRIPT' WHEN 3 THEN 'RUST' WHEN 4 THEN 'CSHARP' ELSE 'SVELTE' END AS language,
+CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN o_custkey % 9 = 0 THEN '' ELSE concat('d', o_custkey % 5, '.m', o_custkey % 11) END WHEN 3 THEN CASE o_custkey % 6 WHEN 0 THEN 'crate::a' WHEN 1 THEN 'std::{a,b}' WHEN 2 THEN 'mine::x' WHEN 3 THEN 'serde::de' WHEN 4 THEN 'superb::x' ELSE 'self' END
+ ELSE CASE o_custkey % 9 WHEN 0 THEN './m1' WHEN 1 THEN '../d2/m3' WHEN 2 THEN '../../../x' WHEN 3 THEN '/abs' WHEN 4 THEN '@s/pkg/y' WHEN 5 THEN '@s' WHEN 6 THEN 'lodash/fp' WHEN 7 THEN './../d1/./m2.js' ELSE '' END END AS specifier,
+CASE WHEN o_orderkey % 6 = 0 AND o_custkey % 3 < 2 THEN CAST(o_custkey % 3 + 1 AS INT) END AS levels FROM orders"""
+_MODULES = "SELECT concat('r', p_partkey) AS uid, concat('src/d', p_partkey % 5, '/m', p_partkey % 13, CASE p_size % 5 WHEN 0 THEN '.py' WHEN 1 THEN '/__init__.pyi' WHEN 2 THEN '.ts' WHEN 3 THEN '/index.js' ELSE '.js' END) AS path_key FROM part WHERE p_partkey <= 190"
+_RESOLVED_PATH = {"./m1": "'src/d' || d || '/m1'", "../d2/m3": "'src/d2/m3'", "./../d1/./m2.js": "'src/d1/m2.js'"}
+
+
+@query("G14_import_resolution", f"""WITH i AS (SELECT *, split_part(split_part(path_key, '/', 2), 'd', 2) AS d, replace(specifier, '.', '/') AS dots FROM ({_IMPORTS})), m AS ({_MODULES}),
+b AS (SELECT *, CASE WHEN language = 'PYTHON' THEN CASE levels WHEN 1 THEN 'src/d' || d WHEN 2 THEN 'src' END || CASE WHEN dots = '' THEN '' ELSE '/' || dots END WHEN language LIKE '%SCRIPT' THEN CASE specifier {" ".join(f"WHEN '{k}' THEN {v}" for k, v in _RESOLVED_PATH.items())} END END AS base FROM i),
+c AS (SELECT use, base || e AS want FROM b, (SELECT unnest([{", ".join(f"'{x}.{e}'" for e in resolve_code.PYTHON_EXTENSIONS for x in ("", "/__init__"))}]) AS e) WHERE language = 'PYTHON' AND base IS NOT NULL
+ UNION ALL SELECT use, base || e FROM b, (SELECT unnest(['', {", ".join(f"'{x}.{e}'" for e in resolve_code.JS_EXTENSIONS for x in ("", "/index"))}]) AS e) WHERE language LIKE '%SCRIPT' AND base IS NOT NULL),
+a AS (SELECT use, dots || e AS want FROM i, (SELECT unnest([{", ".join(f"'{x}.{e}'" for e in resolve_code.PYTHON_EXTENSIONS for x in ("", "/__init__"))}]) AS e) WHERE language = 'PYTHON' AND levels IS NULL AND dots <> ''),
+h AS (SELECT use, count(DISTINCT uid) AS n, min(uid) AS uid FROM (SELECT use, uid FROM c JOIN m ON m.path_key = c.want UNION ALL SELECT use, uid FROM a JOIN m ON m.path_key = a.want OR ends_with(m.path_key, '/' || a.want)) GROUP BY use),
+r AS (SELECT b.*, coalesce(h.n, 0) AS n, h.uid, CASE WHEN language = 'CSHARP' THEN 'NAMESPACE_REQUIRES_SEMANTICS' WHEN language = 'SVELTE' THEN 'COMPOUND_SPECIFIER' WHEN language = 'RUST' THEN CASE specifier WHEN 'std::{{a,b}}' THEN 'COMPOUND_SPECIFIER' WHEN 'crate::a' THEN 'MODULE_TREE_REQUIRES_SEMANTICS' WHEN 'self' THEN 'MODULE_TREE_REQUIRES_SEMANTICS' WHEN 'mine::x' THEN 'RUST_WORKSPACE_CRATE_REQUIRES_SEMANTICS' END
+ WHEN (language = 'PYTHON' AND levels IS NOT NULL OR language LIKE '%SCRIPT' AND specifier LIKE '.%') AND n IS NULL THEN 'MISSING_RELATIVE_TARGET' WHEN language LIKE '%SCRIPT' AND specifier LIKE '/%' THEN 'CONFIG_DEPENDENT_SPECIFIER' WHEN specifier IN ('', '@s') AND levels IS NULL THEN 'COMPOUND_SPECIFIER' END AS reason FROM b LEFT JOIN h ON h.use = b.use)
+SELECT use, CASE WHEN reason IS NOT NULL THEN 'UNRESOLVED' WHEN n = 1 THEN 'INTERNAL' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'EXTERNAL' END AS outcome, CASE WHEN reason IS NULL AND n = 1 THEN uid END AS target,
+ CASE WHEN reason IS NULL AND n = 0 THEN CASE WHEN language = 'PYTHON' THEN split_part(specifier, '.', 1) WHEN language = 'RUST' THEN split_part(specifier, '::', 1) WHEN specifier LIKE '@%' THEN '@s/pkg' ELSE split_part(specifier, '/', 1) END END AS package, reason FROM r""")
 def _(f):
-    lang = F.when(F.col("o_orderkey") % 4 == 0, "PYTHON").when(F.col("o_orderkey") % 4 == 1, "RUST").when(F.col("o_orderkey") % 4 == 2, "TYPESCRIPT").otherwise("CSHARP")
-    module = F.when(F.col("o_custkey") % 4 == 0, "./x").when(F.col("o_custkey") % 4 == 1, "/abs").when(F.col("o_custkey") % 4 == 2, "crate::a").otherwise("@s/pkg/y")
-    return f("orders").select(F.col("o_orderkey").alias("uid"), resolve_code.import_outcome(lang, module, F.col("o_custkey") % 3).alias("outcome"))
+    return resolve_code.resolve_imports(f.sql(_IMPORTS), f.sql(_MODULES), f.spark.createDataFrame([("mine",)], "name string"))
 
 
 @query("G15_inheritance_kind", "SELECT uid, CASE WHEN kind = 'INTERFACE' THEN 'IMPLEMENTS' ELSE 'EXTENDS' END AS relation FROM b_symbol")
@@ -155,39 +179,64 @@ def _(f):
     return f("b_symbol").select("uid", resolve_code.inheritance_kind(F.col("kind")).alias("relation"))
 
 
-def gap_reason(outcome: Column) -> Column:
-    """The gap that an outcome becomes."""
-    return F.when(outcome == "AMBIGUOUS", "AMBIGUOUS_TARGET").when(outcome == "NOT_FOUND", "TARGET_NOT_INDEXED").when(outcome == "DYNAMIC", "DYNAMIC_EXPRESSION").otherwise("CONFIG_REQUIRED")
+@query("G17_gap_mapping", "SELECT uid, CASE reason WHEN 'AMBIGUOUS' THEN 'AMBIGUOUS_CANDIDATES' WHEN 'NOT_FOUND' THEN 'NO_STRUCTURAL_BINDING' WHEN 'DYNAMIC' THEN 'DYNAMIC_KEY_EXPRESSION' ELSE 'CONFIG_DEPENDENT_SPECIFIER' END AS gap FROM b_gap")
+def _(f):
+    return f("b_gap").select("uid", resolve_code.gap_reason(F.col("reason")).alias("gap"))
+
+
+_MEMBERS = "SELECT concat('p', p_partkey) AS uid, concat('c', p_partkey % 60) AS owner, p_brand AS name, concat('k', p_size % 3) AS kind FROM part"
+
+
+_WALK = f"""WITH RECURSIVE e AS (SELECT concat('c', i) AS s, concat('c', i // 2) AS t FROM (SELECT unnest(range(2, 60)) AS i)), m AS ({_MEMBERS}), w AS (SELECT uid, name, kind, owner AS base, 0 AS d FROM m UNION ALL SELECT w.uid, w.name, w.kind, e.t, w.d + 1 FROM w JOIN e ON e.s = w.base WHERE w.d < 16),
+h AS (SELECT w.uid, w.d, count(DISTINCT m.uid) AS n, min(m.uid) AS t FROM w JOIN m ON m.owner = w.base AND m.name = w.name AND m.kind = w.kind WHERE w.d > 0 GROUP BY 1, 2), f AS (SELECT *, min(d) OVER (PARTITION BY uid) AS first FROM h),
+o AS (SELECT uid, CASE WHEN n = 1 THEN t END AS target, CASE WHEN n = 1 THEN 'OVERRIDES' ELSE 'AMBIGUOUS' END AS outcome FROM f WHERE d = first)"""
 
 
-@query("G17_gap_mapping", "SELECT uid, CASE reason WHEN 'AMBIGUOUS' THEN 'AMBIGUOUS_TARGET' WHEN 'NOT_FOUND' THEN 'TARGET_NOT_INDEXED' WHEN 'DYNAMIC' THEN 'DYNAMIC_EXPRESSION' ELSE 'CONFIG_REQUIRED' END AS gap FROM b_gap")
+def _hierarchy(f: Facts) -> tuple[DataFrame, DataFrame]:
+    return f.sql(_MEMBERS), f.spark.range(2, 60).select(F.concat(F.lit("c"), "id").alias("source"), F.concat(F.lit("c"), F.floor(F.col("id") / 2)).alias("target"))
+
+
+@query("G18_overrides", f"{_WALK} SELECT * FROM o")
 def _(f):
-    return f("b_gap").select("uid", gap_reason(F.col("reason")).alias("gap"))
+    return resolve_code.overrides(*_hierarchy(f))
 
 
-_MEMBERS = "SELECT concat('p', p_partkey) AS uid, concat('c', p_partkey % 60) AS owner, p_brand AS name, concat('k', p_size % 3) AS kind FROM part"
+@query("G18_opaque_bases", f"{_WALK} SELECT * FROM o UNION ALL SELECT DISTINCT uid, NULL, 'OPAQUE' FROM w WHERE base IN ('c3', 'c10') AND uid NOT IN (SELECT uid FROM o)")
+def _(f):
+    """The owners c3 and c10 extend something outside the workspace."""
+    return resolve_code.overrides(*_hierarchy(f), opaque=f.spark.createDataFrame([("c3",), ("c10",)], "owner string"))
+
 
+_TYPES = "SELECT concat('c', i) AS owner, concat('I', i) AS name, i < 10 AS interface FROM (SELECT CAST(n_nationkey AS BIGINT) AS i FROM nation UNION ALL SELECT CAST(n_nationkey + 25 AS BIGINT) FROM nation UNION ALL SELECT CAST(n_nationkey + 50 AS BIGINT) FROM nation WHERE n_nationkey < 10) t"
+_BASES = "SELECT concat('c', i) AS source, concat('c', CASE WHEN i < 30 THEN i % 9 + k ELSE i - 20 END) AS target FROM (SELECT CAST(substring(owner, 2) AS BIGINT) AS i FROM (" + _TYPES + ") x) y, (SELECT 0 AS k UNION ALL SELECT 1) z WHERE i >= 10"
+_IMPLEMENTING = "SELECT concat('p', p_partkey) AS uid, concat('c', p_partkey % 60) AS owner, concat('n', p_size % 4) AS name, CASE WHEN p_partkey % 5 = 0 THEN 'FIELD' ELSE 'METHOD' END AS kind, CASE WHEN p_partkey % 60 >= 10 AND p_partkey % 7 = 0 THEN concat('I', p_partkey % 10) END AS explicit FROM part WHERE p_partkey % 60 >= 10 OR p_partkey < 120"
 
-@query("G18_overrides", f"""WITH RECURSIVE e AS (SELECT concat('c', i) AS s, concat('c', i // 2) AS t FROM (SELECT unnest(range(2, 60)) AS i)), m AS ({_MEMBERS}), w AS (SELECT uid, name, kind, owner AS base, 0 AS d FROM m UNION ALL SELECT w.uid, w.name, w.kind, e.t, w.d + 1 FROM w JOIN e ON e.s = w.base WHERE w.d < 16),
-h AS (SELECT w.uid, w.d, count(DISTINCT m.uid) AS n, min(m.uid) AS t FROM w JOIN m ON m.owner = w.base AND m.name = w.name AND m.kind = w.kind WHERE w.d > 0 GROUP BY 1, 2), f AS (SELECT *, min(d) OVER (PARTITION BY uid) AS first FROM h)
-SELECT uid, CASE WHEN n = 1 THEN t END AS target, CASE WHEN n = 1 THEN 'OVERRIDES' ELSE 'AMBIGUOUS' END AS outcome FROM f WHERE d = first""")
+
+@query("G19_implements", f"""WITH RECURSIVE t AS ({_TYPES}), b AS (SELECT DISTINCT * FROM ({_BASES})), m AS ({_IMPLEMENTING}), w AS (SELECT owner, owner AS base, 0 AS d FROM t UNION SELECT w.owner, b.target, w.d + 1 FROM w JOIN b ON b.source = w.base WHERE w.d < 16),
+i AS (SELECT DISTINCT w.owner, w.base, t.name FROM w JOIN t ON t.owner = w.base AND t.interface WHERE w.base <> w.owner),
+h AS (SELECT m.uid, o.uid AS target FROM m JOIN t ON t.owner = m.owner AND NOT t.interface JOIN i ON i.owner = m.owner JOIN m o ON o.owner = i.base AND o.name = m.name AND o.kind = m.kind
+  WHERE CASE WHEN m.explicit IS NOT NULL THEN m.explicit = i.name ELSE NOT EXISTS (SELECT 1 FROM m x WHERE x.owner = m.owner AND x.explicit = i.name AND x.name = m.name) END)
+SELECT uid, CASE WHEN count(DISTINCT target) = 1 THEN min(target) END AS target, CASE WHEN count(DISTINCT target) = 1 THEN 'IMPLEMENTS' ELSE 'AMBIGUOUS' END AS outcome FROM h GROUP BY uid""")
 def _(f):
-    m = f("part").select(F.concat(F.lit("p"), "p_partkey").alias("uid"), F.concat(F.lit("c"), F.col("p_partkey") % 60).alias("owner"), F.col("p_brand").alias("name"), F.concat(F.lit("k"), F.col("p_size") % 3).alias("kind"))
-    e = f.spark.range(2, 60).select(F.concat(F.lit("c"), "id").alias("source"), F.concat(F.lit("c"), F.floor(F.col("id") / 2)).alias("target"))
-    return resolve_code.overrides(m, e)
+    return resolve_code.implements(f.sql(_IMPLEMENTING), f.sql(_TYPES), f.sql(_BASES))
+
+
+_LOGICAL = "SELECT uid, concat('ctx', start_byte % 2) AS context, concat('p', end_byte % 3) AS project, qualified_name, kind, CAST(revision % 2 AS STRING) AS arity, '' AS discriminator FROM b_symbol"
 
 
-@query("G20_logical_symbols", "SELECT sha256(octet_length(encode(qualified_name))::VARCHAR || ':' || qualified_name || octet_length(encode(kind))::VARCHAR || ':' || kind) AS identity, count(*) AS declarations, min(uid) AS first FROM b_symbol GROUP BY qualified_name, kind")
+@query("G20_logical_symbols", "SELECT sha256(" + " || ".join(f"octet_length(encode({c}))::VARCHAR || ':' || {c}" for c in resolve_code.IDENTITY) + f") AS identity, count(*) AS declarations, min(uid) AS first FROM ({_LOGICAL.replace('STRING', 'VARCHAR')}) GROUP BY " + ", ".join(resolve_code.IDENTITY))
 def _(f):
-    s = f("b_symbol").withColumn("identity", T.framed_digest(F.col("qualified_name"), F.col("kind")))
-    return s.groupBy("identity").agg(F.count("*").alias("declarations"), F.min("uid").alias("first"))
+    return resolve_code.logical_symbols(f.sql(_LOGICAL))
+
+
+_CLAIMS = "SELECT concat(l_orderkey, ':', l_linenumber) AS claim, CASE WHEN l_partkey % 17 <> 0 THEN concat('occ:', l_orderkey, ':', l_linenumber) END AS site, l_suppkey % 11 <> 0 AS resolved, CASE WHEN l_suppkey % 13 <> 0 THEN CASE WHEN l_linenumber = 1 AND l_partkey % 4 <> 0 THEN 'USES_TYPE' ELSE 'CALLS' END END AS kind, CASE WHEN l_suppkey % 7 <> 0 THEN concat('order:', l_orderkey) END AS source, CASE WHEN l_linenumber = 1 THEN concat('supplier:', l_suppkey) ELSE concat('part:', l_partkey - l_partkey % 3 % 2) END AS target FROM lineitem"
+_BOUND = "SELECT o.uid AS site, o.revision, CASE WHEN o.start_byte % 70 = 0 THEN o.revision + 1 ELSE o.revision END AS current, CASE WHEN o.start_byte % 20 <> 0 THEN o.relation_kind END AS bound_kind, o.source AS bound_source, o.target AS bound_target FROM b_occurrence o"
 
 
-@query("G21_semantic_merge", "SELECT c.site, c.target, CASE WHEN s.uid IS NULL THEN 'REJECT_NO_SITE' WHEN c.revision <> s.revision THEN 'REJECT_STALE' WHEN s.bound IS NULL THEN 'BINDING' WHEN s.bound = c.target THEN 'CORROBORATING' ELSE 'CONFLICT' END AS outcome FROM (SELECT concat('occ:', l_orderkey, ':', l_linenumber) AS site, concat('part:', l_partkey - l_partkey % 3 % 2) AS target, CAST(l_suppkey % 3 + 1 AS BIGINT) AS revision FROM lineitem) c LEFT JOIN (SELECT uid, CASE WHEN start_byte % 20 <> 0 THEN target END AS bound, revision FROM b_occurrence) s ON s.uid = c.site")
+@query("G21_semantic_merge", f"""SELECT claim, CASE WHEN c.site IS NULL THEN 'REJECT_NO_OCCURRENCE' WHEN NOT resolved THEN 'REJECT_NOT_RESOLVED' WHEN kind IS NULL THEN 'REJECT_NO_KIND' WHEN c.source IS NULL THEN 'REJECT_NO_SOURCE' WHEN s.site IS NULL THEN 'REJECT_UNANCHORED' WHEN revision <> current THEN 'REJECT_STALE'
+WHEN bound_kind IS NULL THEN 'BINDING' WHEN bound_kind <> kind OR bound_source <> c.source THEN 'REJECT_BOUND_ELSEWHERE' WHEN bound_target = c.target THEN 'CORROBORATING' ELSE 'CONFLICT' END AS outcome FROM ({_CLAIMS}) c LEFT JOIN ({_BOUND}) s ON s.site = c.site""")
 def _(f):
-    sites = f("b_occurrence").select(F.col("uid").alias("site"), F.when(F.col("start_byte") % 20 != 0, F.col("target")).alias("bound"), "revision")
-    claims = f("lineitem").select(F.concat(F.lit("occ:"), "l_orderkey", F.lit(":"), "l_linenumber").alias("site"), F.concat(F.lit("part:"), F.col("l_partkey") - F.col("l_partkey") % 3 % 2).alias("target"), (F.col("l_suppkey") % 3 + 1).cast("long").alias("revision"))
-    return resolve_code.merge_evidence(sites, claims)
+    return resolve_code.merge_evidence(f.sql(_BOUND), f.sql(_CLAIMS))
 
 
 @query("N18_command_routes", "SELECT event_id, CASE event_type WHEN 'view' THEN 'SOURCE_READ' WHEN 'click' THEN 'TEXT_SEARCH' WHEN 'purchase' THEN 'DISCOVERY' ELSE 'OPAQUE' END AS route FROM events")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions.text import weakest
-from factgraph.operators import delivery, relations, resolve_code, structure
+from factgraph.operators import answer, delivery, relations, resolve_code, structure
 from factgraph.plans.bridge import Facts
-from factgraph.plans.queries_code import _LINES, _MEMBERS
+from factgraph.plans.queries_code import _LINES
 from factgraph.plans.queries_facts import _EDGES, _GROUPED, group_edges, grouped
 from factgraph.sources import python_code, records
 
@@ -81,14 +81,6 @@ def _(f):
     return j.select("uid", "kind", "signature", "path_key", F.coalesce("t", F.lit("UNKNOWN")).alias("structure"), (F.col("revision") == F.col("r")).alias("current"))
 
 
-@query("G19_implements", f"""WITH e AS (SELECT concat('c', i) AS s, concat('c', i % 7) AS t FROM (SELECT unnest(range(10, 60)) AS i)), m AS ({_MEMBERS}), h AS (SELECT m.uid, count(DISTINCT o.uid) AS n, min(o.uid) AS t FROM m JOIN e ON e.s = m.owner JOIN m o ON o.owner = e.t AND o.name = m.name AND o.kind = m.kind GROUP BY m.uid)
-SELECT uid, CASE WHEN n = 1 THEN t END AS target, CASE WHEN n = 1 THEN 'OVERRIDES' ELSE 'AMBIGUOUS' END AS outcome FROM h""")
-def _(f):
-    m = f("part").select(F.concat(F.lit("p"), "p_partkey").alias("uid"), F.concat(F.lit("c"), F.col("p_partkey") % 60).alias("owner"), F.col("p_brand").alias("name"), F.concat(F.lit("k"), F.col("p_size") % 3).alias("kind"))
-    e = f.spark.range(10, 60).select(F.concat(F.lit("c"), "id").alias("source"), F.concat(F.lit("c"), F.col("id") % 7).alias("target"))
-    return resolve_code.overrides(m, e)
-
-
 @query("G22_invalidation_set", """SELECT DISTINCT o.resource_uid FROM b_relation r JOIN b_owner o ON o.entity = r.source WHERE r.target IN ('part:1', 'part:2', 'supplier:1') UNION SELECT resource_uid FROM b_gap WHERE intended = 'IMPORTS' AND reason = 'NOT_FOUND'""")
 def _(f):
     touched = f("b_relation").where(F.col("target").isin("part:1", "part:2", "supplier:1")).select(F.col("source").alias("entity"))
@@ -104,22 +96,36 @@ def _(f):
 @query("P16_search_status", "SELECT split_part(path_key, '/', 2) AS scope, CASE WHEN count(*) > 500 THEN 'TRUNCATED' WHEN count(*) FILTER (contains(text, 'the ')) > 0 THEN 'FOUND' WHEN count(*) FILTER (length(text) < 20) > 0 THEN 'UNAVAILABLE' WHEN count(*) FILTER (length(text) > 20000) > 0 THEN 'TRUNCATED' ELSE 'NOT_FOUND' END AS status FROM b_source GROUP BY 1")
 def _(f):
     s = f("b_source").withColumn("scope", F.split_part("path_key", F.lit("/"), F.lit(2)))
-    n = lambda c: F.count_if(c) > 0
-    status = F.when(F.count("*") > 500, "TRUNCATED").when(n(F.contains("text", F.lit("the "))), "FOUND").when(n(F.length("text") < 20), "UNAVAILABLE").when(n(F.length("text") > 20000), "TRUNCATED").otherwise("NOT_FOUND")
-    return s.groupBy("scope").agg(status.alias("status"))
+    n = s.groupBy("scope").agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("the "))).alias("found"), F.count_if(F.length("text") < 20).alias("short"), F.count_if(F.length("text") > 20000).alias("long"))
+    return n.select("scope", answer.search_status(F.col("n") > 500, F.col("found"), F.col("short"), F.col("long")).alias("status"))
+
+
+_FALLBACK = "SELECT event_id, CASE event_type WHEN 'click' THEN 'EXPLICIT_TEXT_SEARCH' WHEN 'signup' THEN 'NON_STRUCTURAL_TARGET' ELSE 'INCOMPLETE_STRUCTURAL_COVERAGE' END AS reason, CASE user_id % 7 WHEN 0 THEN 'UNSUPPORTED' WHEN 1 THEN 'TRUNCATED' WHEN 2 THEN 'FOUND' WHEN 3 THEN 'REFRESHING' WHEN 4 THEN 'NOT_FOUND' WHEN 5 THEN 'UNAVAILABLE' END AS status FROM events"
+
 
+@query("P17_fallback_permission", f"SELECT event_id, reason IN ('EXPLICIT_TEXT_SEARCH', 'NON_STRUCTURAL_TARGET') OR (status IS NOT NULL AND status IN ('UNSUPPORTED', 'TRUNCATED', 'REFRESHING')) AS permitted FROM ({_FALLBACK})")
+def _(f):
+    return f.sql(_FALLBACK).select("event_id", answer.fallback_permitted(F.col("reason"), F.col("status")).alias("permitted"))
+
+
+_SELECTED = "SELECT name, length(name) % 2 = 0 AS identity, start_byte % 200 = 0 AS exact, count(*) FILTER (WHERE revision = 1 AND start_byte % 300 < 200) AS candidates, count(*) FILTER (WHERE revision = 3) AS incomplete FROM b_symbol GROUP BY name, start_byte, length(name)"
 
-@query("P17_fallback_permission", "SELECT event_id, event_type = 'click' OR (event_type = 'view' AND status IN ('UNSUPPORTED', 'TRUNCATED', 'REFRESHING')) AS permitted FROM (SELECT event_id, event_type, CASE user_id % 4 WHEN 0 THEN 'UNSUPPORTED' WHEN 1 THEN 'TRUNCATED' WHEN 2 THEN 'FOUND' ELSE 'NOT_FOUND' END AS status FROM events)")
+
+@query("B8_selection", f"SELECT name, exact, identity, candidates, incomplete, CASE WHEN candidates > 1 THEN 'TARGET_AMBIGUOUS' WHEN candidates = 1 THEN CASE WHEN exact THEN 'EXACT' ELSE 'TARGET_NOT_EXACT' END WHEN identity THEN 'TARGET_NOT_CURRENT' WHEN incomplete > 0 THEN 'TARGET_NOT_FOUND_WITH_INCOMPLETE_COVERAGE' ELSE 'TARGET_NOT_FOUND' END AS selection FROM ({_SELECTED})")
 def _(f):
-    status = F.when(F.col("user_id") % 4 == 0, "UNSUPPORTED").when(F.col("user_id") % 4 == 1, "TRUNCATED").when(F.col("user_id") % 4 == 2, "FOUND").otherwise("NOT_FOUND")
-    coverage = (F.col("event_type") == "view") & status.isin("UNSUPPORTED", "TRUNCATED", "REFRESHING")
-    return f("events").select("event_id", ((F.col("event_type") == "click") | coverage).alias("permitted"))
+    return f.sql(_SELECTED).withColumn("selection", answer.selection(F.col("identity"), F.col("exact"), F.col("candidates"), F.col("incomplete")))
+
+
+_SUMMARY = f"""WITH x AS ({_GROUPED}), e AS ({_EDGES}), o AS (SELECT sg AS g, count(DISTINCT coalesce(tg, chr(1))) AS fan_out, count(DISTINCT kind || '>' || source || '>' || target) AS out_relations FROM e WHERE sg IS DISTINCT FROM tg GROUP BY sg), i AS (SELECT tg AS g, count(DISTINCT coalesce(sg, chr(1))) AS fan_in, count(DISTINCT kind || '>' || source || '>' || target) AS in_relations FROM e WHERE sg IS DISTINCT FROM tg GROUP BY tg),
+n AS (SELECT sg AS g, count(DISTINCT kind || '>' || source || '>' || target) AS internal FROM e WHERE sg IS NOT DISTINCT FROM tg GROUP BY sg), v AS (SELECT g, count(*) AS total, count(*) FILTER (s.state = 'COMPLETE') AS supported, count(*) FILTER (s.state IN ('PARTIAL', 'CONTAINER_ONLY')) AS partial FROM x LEFT JOIN b_structure s ON s.resource_uid = x.uid GROUP BY g)
+SELECT v.g, total, supported, partial, total - supported - partial AS unsupported, coalesce(internal, 0) AS internal, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(in_relations, 0) AS in_relations, coalesce(out_relations, 0) AS out_relations
+FROM v LEFT JOIN n ON n.g IS NOT DISTINCT FROM v.g LEFT JOIN o ON o.g IS NOT DISTINCT FROM v.g LEFT JOIN i ON i.g IS NOT DISTINCT FROM v.g"""
 
 
-@query("B8_selection", "SELECT name, CASE WHEN count(*) FILTER (revision = 1) = 1 THEN 'EXACT' WHEN count(*) FILTER (revision = 1) > 1 THEN 'AMBIGUOUS' ELSE 'NOT_CURRENT' END AS selection FROM b_symbol GROUP BY name")
+@query("G11_structural_summary", _SUMMARY)
 def _(f):
-    n = F.count_if(F.col("revision") == 1)
-    return f("b_symbol").groupBy("name").agg(F.when(n == 1, "EXACT").when(n > 1, "AMBIGUOUS").otherwise("NOT_CURRENT").alias("selection"))
+    """The groups of a summary by the first directory; its other tables are A2, A6 and W1."""
+    return structure.summary(f("b_resource"), f("b_structure"), f("b_owner"), f("b_relation"), f("b_gap"), f("b_candidate"), structure.Grouping(depth=1)).groups
 
 
 @query("B9_source_floor", """WITH r AS (SELECT DISTINCT resource_uid, start_byte AS s, end_byte AS e FROM b_symbol), f AS (SELECT *, CASE WHEN s >= max(e) OVER (PARTITION BY resource_uid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM r),

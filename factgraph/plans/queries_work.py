@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions import text as T
-from factgraph.operators import delivery, knowledge
+from factgraph.operators import delivery, knowledge, store
+from factgraph.operators.answer import bounded, structured_status
 from factgraph.plans.bridge import Facts
 from factgraph.streaming import journal
 
@@ -29,16 +30,38 @@ def _(f):
     return knowledge.resolve_policies(f("b_policy")).select("uid", "outcome")
 
 
-@query("N3_decision_resolution", "SELECT topic, CASE WHEN count(DISTINCT chosen) = 1 THEN min(chosen) END AS chosen, count(DISTINCT chosen) > 1 AS conflict, count(*) AS votes FROM b_decision d WHERE status = 'ACTIVE' AND layer = (SELECT max(layer) FROM b_decision e WHERE e.topic = d.topic AND e.status = 'ACTIVE') GROUP BY topic")
+def asked(f: Facts, column: str) -> DataFrame:
+    """Keys that directives of the request name: brands that end with 2."""
+    return f("part").where(F.endswith("p_brand", F.lit("2"))).select(F.col("p_brand").alias(column)).distinct()
+
+
+_ASKED = "SELECT DISTINCT p_brand AS k FROM part WHERE p_brand LIKE '%2'"
+_GUARDED = "SELECT policy_key FROM b_policy WHERE status = 'ACTIVE' AND protected AND trusted AND policy_key IS NOT NULL"
+
+
+@query("N2_policy_directives", f"""WITH p AS (SELECT *, CASE WHEN tier = 'PROJECT' THEN 100 ELSE 0 END + layer AS r FROM b_policy WHERE status = 'ACTIVE'), b AS (SELECT policy_key, max(r) AS best FROM p WHERE NOT protected AND policy_key IS NOT NULL GROUP BY policy_key)
+SELECT uid, CASE WHEN protected AND trusted THEN 'PROTECTED' WHEN protected THEN 'CONFLICT' WHEN p.policy_key IS NULL THEN 'UNKEYED' WHEN p.policy_key IN ({_ASKED}) AND p.policy_key NOT IN ({_GUARDED}) THEN 'SHADOWED_BY_REQUEST' WHEN r = best THEN 'SELECTED' WHEN tier = 'USER' AND best >= 100 THEN 'SHADOWED_BY_TIER' ELSE 'SHADOWED_BY_LAYER' END AS outcome FROM p LEFT JOIN b ON b.policy_key = p.policy_key""")
+def _(f):
+    return knowledge.resolve_policies(f("b_policy"), asked(f, "policy_key")).select("uid", "outcome")
+
+
+@query("N2_rejected_directives", f"SELECT k AS policy_key FROM ({_ASKED}) WHERE k IN ({_GUARDED})")
+def _(f):
+    return knowledge.rejected_directives(f("b_policy"), asked(f, "policy_key"))
+
+
+@query("N3_decision_resolution", f"SELECT topic, CASE WHEN count(DISTINCT chosen) = 1 AND topic NOT IN ({_ASKED}) THEN min(chosen) END AS chosen, count(DISTINCT chosen) > 1 AND topic NOT IN ({_ASKED}) AS conflict, count(*) AS votes, topic IN ({_ASKED}) AS shadowed FROM b_decision d WHERE status = 'ACTIVE' AND layer = (SELECT max(layer) FROM b_decision e WHERE e.topic = d.topic AND e.status = 'ACTIVE') GROUP BY topic")
 def _(f):
-    return knowledge.resolve_decisions(f("b_decision"))
+    return knowledge.resolve_decisions(f("b_decision"), asked(f, "topic"))
 
 
-@query("N4_preference_resolution", """WITH p AS (SELECT * FROM b_policy WHERE status = 'ACTIVE' AND policy_key LIKE 'Brand#1%' AND policy_key NOT IN (SELECT topic FROM b_decision WHERE uid % 3 = 0))
-SELECT policy_key, CASE WHEN count(DISTINCT rule_text) = 1 THEN min(rule_text) END AS value, count(DISTINCT rule_text) > 1 AS conflict FROM p WHERE layer = (SELECT max(layer) FROM p q WHERE q.policy_key = p.policy_key) GROUP BY policy_key""")
+@query("N4_preference_resolution", f"""WITH p AS (SELECT * FROM b_policy WHERE status = 'ACTIVE' AND (policy_key LIKE 'Brand#1%' OR policy_key LIKE 'Brand#3%')), d AS (SELECT topic FROM b_decision WHERE uid % 3 = 0),
+v AS (SELECT policy_key, count(DISTINCT rule_text) AS n, min(rule_text) AS v, CASE WHEN policy_key IN ({_ASKED}) THEN 'SHADOWED_BY_REQUEST' WHEN policy_key IN (SELECT topic FROM d) THEN 'SHADOWED_BY_DECISION' END AS shadowed FROM p WHERE layer = (SELECT max(layer) FROM p q WHERE q.policy_key = p.policy_key) GROUP BY policy_key)
+SELECT policy_key, CASE WHEN n = 1 AND shadowed IS NULL THEN v END AS value, n > 1 AND shadowed IS NULL AS conflict, shadowed FROM v""")
 def _(f):
-    keys = [r[0] for r in f("b_policy").where("policy_key LIKE 'Brand#1%'").select("policy_key").distinct().collect()]  # named keys: at most 512
-    return knowledge.resolve_preferences(f("b_policy"), f("b_decision").where("uid % 3 = 0"), keys)
+    named = f("b_policy").where("policy_key LIKE 'Brand#1%' OR policy_key LIKE 'Brand#3%'").select("policy_key").distinct()
+    keys = [r[0] for r in bounded(named, "named keys").collect()]
+    return knowledge.resolve_preferences(f("b_policy"), f("b_decision").where("uid % 3 = 0"), keys, asked(f, "policy_key"))
 
 
 @query("N5_layer_evidence", "SELECT layer, tier, count(*) AS n, count(DISTINCT policy_key) AS keys FROM b_policy WHERE status = 'ACTIVE' GROUP BY layer, tier")
@@ -194,17 +217,24 @@ def _(f):
     return journal.unambiguous_moves(p.where("path % 2 = 0"), p.where("path % 2 = 1"))
 
 
-@query("ST7_refresh_decision", """WITH n AS (SELECT path_id, count(*) AS n, max_by(kind, seq) AS kind FROM b_journal GROUP BY path_id), r AS (SELECT c_custkey AS path_id, CASE WHEN c_acctbal < 0 THEN 'DELETED' ELSE 'ACTIVE' END AS state FROM customer WHERE c_custkey % 4 <> 0)
-SELECT n.path_id, CASE WHEN n > 1 THEN 'DEFERRED_MANY' WHEN kind <> 'MODIFY' THEN 'DEFERRED_KIND' WHEN state IS NULL THEN 'DEFERRED_UNKNOWN' WHEN state <> 'ACTIVE' THEN 'DEFERRED_DELETED' ELSE 'REFRESH' END AS decision FROM n LEFT JOIN r ON r.path_id = n.path_id""")
+_SPACES = "SELECT CAST(c_custkey AS BIGINT) AS workspace, CASE WHEN c_custkey % 19 = 0 THEN 'LOST' ELSE 'CONTINUOUS' END AS continuity FROM customer"
+_PENDING = "SELECT path_id AS workspace, seq, CASE WHEN path_id % 3 = 0 THEN kind ELSE 'MODIFY' END AS kind, CASE WHEN path_id % 11 <> 1 OR seq % 2 = 0 THEN CASE WHEN path_id % 5 = 0 THEN seq % 40 ELSE path_id END END AS resource_uid FROM b_journal"
+_KNOWN = "SELECT CAST(c_custkey AS BIGINT) AS resource_uid, CASE WHEN c_acctbal < 0 THEN 'DELETED' ELSE 'ACTIVE' END AS state, CASE WHEN c_custkey % 6 = 1 THEN 'DIRECTORY' ELSE 'FILE' END AS kind, 'SOURCE' AS role, CASE WHEN c_custkey % 2 = 0 THEN 'RUST' END AS language FROM customer WHERE c_custkey % 4 <> 0"
+_SEEN = "SELECT CAST(c_custkey AS BIGINT) AS resource_uid, c_nationkey <> 1 AS present, c_nationkey = 2 AS excluded, 'FILE' AS kind, CASE WHEN c_nationkey = 3 THEN 'TEST' ELSE 'SOURCE' END AS role, CASE WHEN c_custkey % 2 = 0 AND c_nationkey <> 4 THEN 'RUST' END AS language, c_nationkey <> 5 AS same_identity FROM customer"
+
+
+@query("ST7_refresh_decision", f"""WITH n AS (SELECT workspace, count(*) AS n, count(DISTINCT resource_uid) AS ids, min(resource_uid) AS uid, min_by(kind, seq) FILTER (kind <> 'MODIFY' OR resource_uid IS NULL) AS odd FROM ({_PENDING}) GROUP BY workspace)
+SELECT s.workspace, CASE WHEN continuity = 'LOST' THEN 'WATCHER_CONTINUITY_LOST' WHEN n IS NULL THEN 'NOTHING_PENDING' WHEN odd <> 'MODIFY' THEN 'UNSUPPORTED_EVENT' WHEN odd IS NOT NULL THEN 'NOT_AN_EXISTING_RESOURCE' WHEN ids > 1 THEN 'MULTIPLE_PENDING_RESOURCES' WHEN r.state IS DISTINCT FROM 'ACTIVE' THEN 'NOT_AN_EXISTING_RESOURCE' WHEN r.kind = 'DIRECTORY' THEN 'NOT_A_FILE'
+ WHEN o.excluded THEN 'TARGET_EXCLUDED' WHEN NOT coalesce(o.present, false) THEN 'TARGET_PATH_MISSING' WHEN r.kind <> o.kind OR r.role <> o.role OR r.language IS DISTINCT FROM o.language THEN 'CLASSIFICATION_CHANGED' WHEN NOT o.same_identity THEN 'IDENTITY_NOT_CONTINUOUS' ELSE 'REFRESH' END AS decision
+FROM ({_SPACES}) s LEFT JOIN n ON n.workspace = s.workspace LEFT JOIN ({_KNOWN}) r ON r.resource_uid = n.uid LEFT JOIN ({_SEEN}) o ON o.resource_uid = n.uid""")
 def _(f):
-    r = f("customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("path_id"), F.when(F.col("c_acctbal") < 0, "DELETED").otherwise("ACTIVE").alias("state"))
-    return journal.refresh_decision(f("b_journal"), r)
+    return journal.refresh_decision(f.sql(_SPACES), f.sql(_PENDING), f.sql(_KNOWN), f.sql(_SEEN))
 
 
-@query("ST10_applied_marking", "SELECT seq, CASE WHEN seq <= 500 THEN 'APPLIED' ELSE 'PENDING' END AS state, CASE WHEN seq <= 500 THEN 7 END AS generation FROM b_journal")
+@query("ST10_applied_marking", "SELECT seq, CASE WHEN seq <= (SELECT max(seq) // 2 FROM b_journal) THEN 'APPLIED' ELSE 'PENDING' END AS state, CASE WHEN seq <= (SELECT max(seq) // 2 FROM b_journal) THEN 7 END AS generation FROM b_journal")
 def _(f):
-    done = F.col("seq") <= 500
-    return f("b_journal").select("seq", F.when(done, "APPLIED").otherwise("PENDING").alias("state"), F.when(done, 7).alias("generation"))
+    through = f("b_journal").agg(F.max("seq")).first()[0] or 0
+    return journal.applied(f("b_journal"), through // 2, 7).select("seq", "state", "generation")
 
 
 @query("ST11_publication_freshness", "SELECT r.uid, CASE WHEN s.resource_uid IS NULL THEN 'NEVER_PUBLISHED' WHEN s.state = 'UNAVAILABLE' THEN 'PROFILE_INCOMPATIBLE' WHEN s.freshness = 'DIRTY' THEN 'CONFIG_CHANGED' WHEN s.basis_revision <> r.revision THEN 'SOURCE_CHANGED' ELSE 'CURRENT' END AS verdict FROM b_resource r LEFT JOIN b_structure s ON s.resource_uid = r.uid WHERE r.kind = 'FILE'")
@@ -218,18 +248,11 @@ def _(f):
 # index upkeep --------------------------------------------------------------------------------------
 
 
-def upsert(old: DataFrame, new: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The next snapshot: new rows replace old ones of their key; vanished keys become tombstones."""
-    kept = old.join(new.select(key), key, "left_anti").join(gone.select(key).withColumn("_gone", F.lit(True)), key, "left")
-    kept = kept.withColumn("state", F.when(F.col("_gone"), "DELETED").otherwise(F.col("state"))).drop("_gone")
-    return kept.unionByName(new)
-
-
 @query("K1_index_upsert", """WITH n AS (SELECT uid, size + 1 AS size, 'ACTIVE' AS state FROM b_resource WHERE size % 10 = 0)
 SELECT r.uid, r.size, CASE WHEN r.size % 10 = 1 THEN 'DELETED' ELSE r.state END AS state FROM b_resource r WHERE uid NOT IN (SELECT uid FROM n) UNION ALL SELECT * FROM n""")
 def _(f):
     r = f("b_resource").select("uid", "size", "state")
-    return upsert(r, r.where("size % 10 = 0").select("uid", (F.col("size") + 1).alias("size"), F.lit("ACTIVE").alias("state")), r.where("size % 10 = 1"), "uid")
+    return store.upsert(r, r.where("size % 10 = 0").select("uid", (F.col("size") + 1).alias("size"), F.lit("ACTIVE").alias("state")), r.where("size % 10 = 1"), "uid")
 
 
 @query("K2_evidence_replacement", """WITH o AS (SELECT * FROM b_occurrence WHERE resource_uid <> 'customer:1') SELECT kind, source, target FROM b_relation r WHERE EXISTS (SELECT 1 FROM o WHERE o.relation_kind = r.kind AND o.source = r.source AND o.target = r.target) UNION SELECT 'CALLS', 'customer:1', 'part:1'""")
@@ -240,6 +263,34 @@ def _(f):
     return f("b_relation").join(left, key, "left_semi").unionByName(new).distinct()
 
 
+@query("G23_ensured_relations", """WITH n AS (SELECT 'CALLS' AS kind, concat('order:', o_orderkey) AS source, concat('part:', o_custkey % 200 + 1) AS target FROM orders) SELECT kind, source, target FROM b_relation UNION SELECT * FROM n""")
+def _(f):
+    new = f.sql("SELECT 'CALLS' AS kind, concat('order:', o_orderkey) AS source, concat('part:', o_custkey % 200 + 1) AS target FROM orders")
+    return store.ensure(f("b_relation").select("kind", "source", "target"), new.unionByName(new), ["kind", "source", "target"])
+
+
+@query("G23_deleted_by_source", """WITH e AS (SELECT relation_kind AS kind, source, target, resource_uid FROM b_occurrence), g AS (SELECT uid FROM b_resource WHERE size % 3 = 0)
+SELECT kind, source, target FROM b_relation r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.kind = r.kind AND e.source = r.source AND e.target = r.target) OR EXISTS (SELECT 1 FROM e WHERE e.kind = r.kind AND e.source = r.source AND e.target = r.target AND e.resource_uid NOT IN (SELECT uid FROM g))""")
+def _(f):
+    evidence = f("b_occurrence").select(F.col("relation_kind").alias("kind"), "source", "target", "resource_uid")
+    return store.delete_by_source(f("b_relation"), evidence, f("b_resource").where("size % 3 = 0").select(F.col("uid").alias("resource_uid")))[0]
+
+
+_PROJECTS = "SELECT CAST(n_nationkey AS BIGINT) AS uid, concat('region', n_regionkey, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE concat('/nation', n_nationkey) END) AS path, CASE WHEN n_nationkey % 7 = 1 THEN 'DETACHED' WHEN n_nationkey % 7 = 2 THEN 'MISSING' ELSE 'ACTIVE' END AS state FROM nation"
+
+
+@query("N19_located_projects", f"""WITH p AS ({_PROJECTS}), r AS (SELECT DISTINCT path_key AS path FROM b_resource), h AS (SELECT r.path, p.path AS root, count(*) AS n, min(uid) AS u FROM r JOIN p ON p.state = 'ACTIVE' AND (r.path = p.path OR starts_with(r.path, p.path || '/')) GROUP BY 1, 2), b AS (SELECT path, max_by(n, length(root)) AS n, max_by(u, length(root)) AS u FROM h GROUP BY path)
+SELECT r.path, CASE WHEN n = 1 THEN u END AS uid, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'FOUND' END AS outcome FROM r LEFT JOIN b ON b.path = r.path""")
+def _(f):
+    return store.locate_project(f.sql(_PROJECTS), f("b_resource").select(F.col("path_key").alias("path")))
+
+
+@query("N19_registry", f"SELECT uid, CASE WHEN state = 'DETACHED' THEN path WHEN uid % 2 = 0 THEN concat('moved/', uid) ELSE path END AS path, CASE WHEN state = 'DETACHED' THEN state WHEN uid % 2 = 0 THEN 'ACTIVE' ELSE 'MISSING' END AS state FROM ({_PROJECTS}) UNION ALL SELECT 100, 'moved/100', 'ACTIVE'")
+def _(f):
+    found = f.sql("SELECT CAST(n_nationkey AS BIGINT) AS uid, concat('moved/', n_nationkey) AS path FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT CAST(100 AS BIGINT), 'moved/100'")
+    return store.register(f.sql(_PROJECTS), found)
+
+
 @query("K3_latest_wins", "SELECT path_id, kind, seq FROM (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY ts DESC, seq DESC) AS k FROM b_journal) WHERE k = 1")
 def _(f):
     return knowledge.latest(f("b_journal"), "path_id", [F.col("ts"), F.col("seq")]).select("path_id", "kind", "seq")
@@ -299,7 +350,7 @@ def _(f):
 
 @query("B1_search_budget", "SELECT path_key FROM (SELECT path_key, coalesce(sum(results) OVER w, 0) AS r, coalesce(count(*) OVER w, 0) AS n, coalesce(sum(bytes) OVER w, 0) AS b FROM (SELECT path_key, length(text) % 5 AS results, length(text) AS bytes FROM b_source) WINDOW w AS (ORDER BY path_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE r < 400 AND n < 300 AND b < 500000")
 def _(f):
-    files = f("b_source").select("path_key", (F.length("text") % 5).alias("results"), F.length("text").alias("bytes"), F.substring_index("path_key", "/", 1).alias("bucket"))
+    files = f("b_source").select("path_key", (F.length("text") % 5).alias("results"), F.length("text").alias("bytes"))
     return delivery.search_budget(files, 400, 300, 500000).select("path_key")
 
 
@@ -314,9 +365,26 @@ def _(f):
     return f("events").groupBy(F.col("event_type").alias("route"), F.when(F.col("value") > 50, "ACCEPT").otherwise("FALLBACK").alias("decision")).agg(F.count("*").alias("n"))
 
 
-@query("P15_selection_status", "SELECT name, CASE WHEN count(*) = 0 THEN 'NOT_FOUND' WHEN count(*) = 1 THEN 'FOUND' ELSE 'AMBIGUOUS' END AS status FROM b_symbol WHERE revision = 1 GROUP BY name")
+_LOCATED = "SELECT name, max(end_byte) % 5 <> 0 AS published, max(end_byte) % 7 = 3 AS dirty, max(end_byte) % 11 = 3 AS truncated, length(name) = 2 AS exact, count(*) FILTER (WHERE revision = 1 AND exported AND start_byte % 800 = 100) AS found, count(*) FILTER (WHERE revision = 2 AND start_byte % 900 = 100) AS last_valid, count(*) FILTER (WHERE kind = 'FIELD' AND start_byte % 700 = 100) AS partial, count(*) FILTER (WHERE kind = 'CLASS' AND end_byte % 3 = 0) AS incomplete FROM b_symbol GROUP BY name, start_byte % 1300, length(name)"
+
+
+@query("P15_structured_status", f"SELECT name, published, dirty, truncated, exact, found, last_valid, partial, incomplete, CASE WHEN NOT published THEN 'UNAVAILABLE' WHEN dirty THEN 'REFRESHING' WHEN truncated THEN 'TRUNCATED' WHEN exact AND found > 1 THEN 'AMBIGUOUS' WHEN found > 0 THEN 'FOUND' WHEN last_valid > 0 OR partial > 0 THEN 'REFRESHING' WHEN incomplete > 0 THEN 'UNSUPPORTED' ELSE 'NOT_FOUND' END AS status FROM ({_LOCATED})")
+def _(f):
+    return f.sql(_LOCATED).withColumn("status", structured_status(*[F.col(c) for c in ("published", "dirty", "truncated", "exact", "found", "last_valid", "partial", "incomplete")]))
+
+
+_BUNDLES = "SELECT uid, resource_uid, reason = 'CONFIG' AS required, CASE reason WHEN 'AMBIGUOUS' THEN 4 WHEN 'NOT_FOUND' THEN 2 WHEN 'DYNAMIC' THEN 8 ELSE 1 END AS tier, CAST(length(lookup_name) * 10 AS BIGINT) AS bytes, CASE WHEN start_byte % 90 <> 0 THEN CAST(length(lookup_name) * 3 AS BIGINT) END AS tokens FROM b_gap"
+_PAGED = f"SELECT *, row_number() OVER w <= 8 AND sum(bytes) OVER w <= 300 AND coalesce(sum(tokens) OVER w, 0) <= 90 AND count(*) FILTER (tokens IS NULL) OVER w = 0 AS fits FROM ({_BUNDLES}) WINDOW w AS (PARTITION BY resource_uid ORDER BY required DESC, tier, uid ROWS UNBOUNDED PRECEDING)"
+
+
+@query("B2_delivery_caps", f"SELECT uid, CASE WHEN fits THEN 'DELIVERED' ELSE 'LATER' END AS outcome FROM ({_PAGED})")
+def _(f):
+    return delivery.deliver(f.sql(_BUNDLES), "RELATIONS", delivery.Caps(8, 300, 90), ["resource_uid"], ["uid"]).select("uid", "outcome")
+
+
+@query("B3_atomic_bundles", f"SELECT uid, CASE WHEN bool_or(required AND NOT fits) OVER (PARTITION BY resource_uid) THEN 'OVERFLOW' WHEN fits THEN 'DELIVERED' ELSE 'LATER' END AS outcome FROM ({_PAGED})")
 def _(f):
-    return f("b_symbol").where("revision = 1").groupBy("name").agg(F.when(F.count("*") == 1, "FOUND").otherwise("AMBIGUOUS").alias("status"))
+    return delivery.deliver(f.sql(_BUNDLES), "CHANGE", delivery.Caps(8, 300, 90), ["resource_uid"], ["uid"]).select("uid", "outcome")
 
 
 @query("ST11_framed_digest", "SELECT uid, sha256(octet_length(encode(path_key))::VARCHAR || ':' || path_key || octet_length(encode(coalesce(language, '')))::VARCHAR || ':' || coalesce(language, '')) AS digest FROM b_resource")

@@ -43,3 +43,16 @@ def summary(parsed: DataFrame, keep: int = 64) -> DataFrame:
     fields = ["path", "row", "col", "severity", "message"]
     one = parsed.where("parsed").groupBy(*fields).agg(F.min("id").alias("first"), F.count("*").alias("times"))
     return one.orderBy(severity_rank(F.col("severity")), "first").limit(keep)
+
+
+def diagnostics_counts(parsed: DataFrame, keep: int = 64) -> DataFrame:
+    """One row: lines observed, distinct diagnostics, those beyond the first ``keep``, and lines that are none."""
+    fields = ["path", "row", "col", "severity", "message"]
+    n = parsed.groupBy("parsed", *fields).agg(F.count("*").alias("n"))
+    out = n.agg(F.sum("n").alias("observed"), F.count_if("parsed").alias("deduplicated"), F.coalesce(F.sum(F.when(~F.col("parsed"), F.col("n"))), F.lit(0)).alias("parse_misses"))
+    return out.select(F.coalesce("observed", F.lit(0)).alias("observed"), "deduplicated", F.greatest(F.col("deduplicated") - keep, F.lit(0)).cast("long").alias("omitted"), "parse_misses")
+
+
+def append_telemetry(events: DataFrame, folder: str) -> None:
+    """One JSON line an event, appended; each task writes a file of its own, so no two writers share one."""
+    events.write.mode("append").json(folder)

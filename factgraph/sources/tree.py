@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +46,39 @@ def walk(root: str) -> Iterator[tuple[str, int, int]]:
                 yield os.path.relpath(full, root).replace(os.sep, "/"), s.st_size, s.st_mtime_ns
 
 
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(path_key, size) of all files of a tree: the driver lists names, as Spark's own reader leaves out
+    names that begin with a dot or an underscore, and empty files."""
+    if "://" in root:
+        fs, base = pafs.FileSystem.from_uri(root)
+        found = [(i.path[len(base.rstrip("/")) + 1 :], i.size) for i in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if i.type == pafs.FileType.File]
+    else:
+        found = [x[:2] for x in walk(root)]
+    return spark.createDataFrame(pa.table({"path_key": pa.array([x[0] for x in found], pa.string()), "size": pa.array([x[1] for x in found], pa.int64())}))
+
+
+def with_content(files: DataFrame, root: str, task_bytes: int = 64 << 20) -> DataFrame:
+    """Listed files with their content, read by the executors; null if a file is gone or cannot be read."""
+    total = files.agg(F.sum("size")).first()[0] or 0
+    home = root if "://" in root else "file://" + os.path.abspath(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(home)
+        for batch in batches:
+            for path, size in zip(batch.column("path_key").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                try:
+                    with fs.open_input_stream(f"{base}/{path}") as f:
+                        raw = f.read()
+                except OSError:
+                    raw = None
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64()), pa.array([raw], pa.binary())], ["path_key", "size", "content"])
+
+    return files.select("path_key", "size").repartition(max(1, -(-total // task_bytes)), "path_key").mapInArrow(run, "path_key string, size long, content binary")
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files of a tree as rows (path_key, size, content), read by the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = "file:" + os.path.abspath(root) + "/"
-    path = F.replace(F.replace("path", F.lit("file://"), F.lit("file:")), F.lit(prefix), F.lit(""))
-    return files.select(path.alias("path_key"), F.col("length").alias("size"), "content")
+    """Files of a tree as rows (path_key, size, content)."""
+    return with_content(list_tree(spark, root), root)
 
 
 def excluded(paths: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

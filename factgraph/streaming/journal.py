@@ -85,9 +85,39 @@ def unambiguous_moves(gone: DataFrame, fresh: DataFrame) -> DataFrame:
     return pairs.withColumn("one", one).where("one").select("source", "destination")
 
 
-def refresh_decision(pending: DataFrame, resources: DataFrame) -> DataFrame:
-    """For each path with pending changes: REFRESH, or why it has to wait for a reconcile."""
-    n = pending.groupBy("path_id").agg(F.count("*").alias("n"), F.max_by("kind", "seq").alias("kind"))
-    j = n.join(resources, "path_id", "left")
-    reason = F.when(F.col("n") > 1, "DEFERRED_MANY").when(F.col("kind") != "MODIFY", "DEFERRED_KIND").when(F.col("state").isNull(), "DEFERRED_UNKNOWN").when(F.col("state") != "ACTIVE", "DEFERRED_DELETED").otherwise("REFRESH")
-    return j.select("path_id", reason.alias("decision"))
+def refresh_decision(workspaces: DataFrame, pending: DataFrame, resources: DataFrame, observed: DataFrame) -> DataFrame:
+    """(workspace, decision): REFRESH the one pending resource of a workspace, or why a reconcile must do it.
+
+    workspaces: (workspace, continuity); pending: (workspace, seq, kind, resource_uid); resources: (resource_uid, state,
+    kind, role, language); observed: (resource_uid, present, excluded, kind, role, language, same_identity), what is
+    now at its path.  The first rule that fits decides.
+    """
+    odd = F.min(F.when((F.col("kind") != "MODIFY") | F.col("resource_uid").isNull(), F.struct("seq", "kind", "resource_uid"))).alias("odd")
+    n = pending.groupBy("workspace").agg(F.count("*").alias("n"), F.count_distinct("resource_uid").alias("ids"), F.min("resource_uid").alias("resource_uid"), odd)
+    r = resources.select("resource_uid", "state", F.col("kind").alias("r_kind"), F.col("role").alias("r_role"), F.col("language").alias("r_language"))
+    o = observed.select("resource_uid", "present", "excluded", "same_identity", F.col("kind").alias("o_kind"), F.col("role").alias("o_role"), F.col("language").alias("o_language"))
+    j = workspaces.join(n, "workspace", "left").join(r, "resource_uid", "left").join(o, "resource_uid", "left")
+    same = F.lit(True)
+    for c in ("kind", "role", "language"):
+        same &= F.col(f"r_{c}").eqNullSafe(F.col(f"o_{c}"))
+    decision = (
+        F.when(F.col("continuity") == "LOST", "WATCHER_CONTINUITY_LOST")
+        .when(F.col("n").isNull(), "NOTHING_PENDING")
+        .when(F.col("odd.kind") != "MODIFY", "UNSUPPORTED_EVENT")
+        .when(F.col("odd").isNotNull(), "NOT_AN_EXISTING_RESOURCE")
+        .when(F.col("ids") > 1, "MULTIPLE_PENDING_RESOURCES")
+        .when(~F.col("state").eqNullSafe("ACTIVE"), "NOT_AN_EXISTING_RESOURCE")
+        .when(F.col("r_kind") == "DIRECTORY", "NOT_A_FILE")
+        .when(F.coalesce("excluded", F.lit(False)), "TARGET_EXCLUDED")
+        .when(~F.coalesce("present", F.lit(False)), "TARGET_PATH_MISSING")
+        .when(~same, "CLASSIFICATION_CHANGED")
+        .when(~F.coalesce("same_identity", F.lit(True)), "IDENTITY_NOT_CONTINUOUS")
+        .otherwise("REFRESH")
+    )
+    return j.select("workspace", decision.alias("decision"))
+
+
+def applied(events: DataFrame, through: int, generation: int) -> DataFrame:
+    """Events with their state after a publication: those up to ``through`` are APPLIED in ``generation``."""
+    done = F.col("seq") <= through
+    return events.withColumn("state", F.when(done, "APPLIED").otherwise("PENDING")).withColumn("generation", F.when(done, generation))

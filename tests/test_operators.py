@@ -226,6 +226,10 @@ def test_tree_reading(spark, tmp_path):
     got = tree.read_tree(spark, str(tmp_path)).withColumn("role", tree.role_of(F.col("path_key"))).collect()
     assert [(r["path_key"], r["size"], r["role"]) for r in got] == [("src/a.py", 6, "SOURCE")]
     assert [x[:2] for x in tree.walk(str(tmp_path))] == [("src/a.py", 6)]
+    (tmp_path / "src" / "__init__.py").write_text("")
+    (tmp_path / ".gitignore").write_text("x")
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert {(r["path_key"], r["size"], bytes(r["content"])) for r in tree.read_tree(spark, root).collect()} == {("src/a.py", 6, b"x = 1\n"), ("src/__init__.py", 0, b""), (".gitignore", 1, b"x")}
 
 
 def test_snapshots_publish_by_compare_and_swap(spark, tmp_path):
@@ -326,8 +330,8 @@ def test_whole_tables_are_fed(spark):
     table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
     run = lambda name: registry.QUERIES[name](spark, sf)
     assert run("S20_status_entries").count() == 3 * table("orders").count()
-    assert run("G21_semantic_merge").select("site").distinct().count() == table("lineitem").select("l_orderkey", "l_linenumber").distinct().count()
-    assert run("ST7_refresh_decision").count() == table("events").select("user_id").distinct().count()
+    assert run("G21_semantic_merge").select("claim").distinct().count() == table("lineitem").select("l_orderkey", "l_linenumber").distinct().count()
+    assert run("ST7_refresh_decision").count() == table("customer").count()
     nation = {x.s_suppkey: x.s_nationkey for x in table("supplier").collect()}
     out = {}
     for x in table("lineitem").select("l_partkey", "l_suppkey").distinct().collect():
@@ -362,3 +366,126 @@ def test_bytes_of_every_document(spark, tmp_path):
         ranges[f"s/en/{i}"] = (i % 2 == 0, hashlib.sha256(raw[2:22]).hexdigest() if i % 2 == 0 else None)
     assert {x.doc_id: (x.at, x.line) for x in registry.QUERIES["W6_line_index"](spark, str(tmp_path)).collect()} == lines
     assert {x.path_key: (x.verified, x.digest) for x in registry.QUERIES["S14_verified_ranges"](spark, str(tmp_path)).collect()} == ranges
+
+
+def test_layers_and_bounded_reads(spark):
+    from factgraph.operators.answer import Overflow, bounded
+
+    g, p, w = [("GLOBAL", "")], [("PROJECT", "")], [("WORKSPACE", "1")]
+    assert knowledge.applicability([g, p, w, [("MODULE", "a"), ("DIRECTORY", "b")]])[-1] == (3, "DIRECTORY", "b")
+    for bad in ([[]], [p, g], [w, p], [[*g, *p]], [g, g], [w, [("WORKSPACE", "2")]], [[("MODULE", "a")], [("MODULE", "a")]]):
+        with pytest.raises(ValueError):
+            knowledge.applicability(bad)
+    assert bounded(spark.range(511), "rows").count() == 511
+    with pytest.raises(Overflow):
+        bounded(spark.range(512), "rows")
+
+
+@pytest.mark.parametrize(
+    "grouping",
+    [
+        structure.Grouping(), structure.Grouping(depth=1, column="role"), structure.Grouping(depth=0), structure.Grouping(depth=17), structure.Grouping(column="path_key"),
+        structure.Grouping(rules={}), structure.Grouping(rules={f"p{i}/": "x" for i in range(65)}), structure.Grouping(rules={"a": "x", "a/": "y"}), structure.Grouping(rules={"a/": "é" * 65}),
+        structure.Grouping(rules={"a/": ""}), *[structure.Grouping(rules={p: "x"}) for p in ("/a", "a/../b", "a\\b", "C:/x", "a//b", "./a", "x" * 513, "")], structure.Grouping(depth=1, root="../x"),
+    ],
+)
+def test_requests_without_an_answer_are_refused(grouping):
+    with pytest.raises(structure.InvalidRequest):
+        grouping.check()
+
+
+def test_summary_of_a_small_tree(spark):
+    files = [(f"f{i}", p, "ACTIVE", "FILE") for i, p in enumerate(["a/x", "a/y", "b/z", "top", "c/q/r"])]
+    resources = spark.createDataFrame([*files, ("d", "a/gone", "DELETED", "FILE")], "uid string, path_key string, state string, kind string")
+    structures = spark.createDataFrame([("f0", "COMPLETE"), ("f1", "PARTIAL")], "resource_uid string, state string")
+    owners = spark.createDataFrame([(f"e{i}", f"f{i}") for i in range(5)], "entity string, resource_uid string")
+    rel = spark.createDataFrame([("CALLS", "e0", "e2"), ("CALLS", "e2", "e0"), ("CALLS", "e0", "e1"), ("IMPORTS", "e3", "e2")], "kind string, source string, target string")
+    gaps = spark.createDataFrame([("g", "f0", "CALLS", "X", False)], "uid string, resource_uid string, intended string, reason string, truncated boolean")
+    cand = spark.createDataFrame([("g", "e9")], "gap_uid string, target string")
+    out = structure.summary(resources, structures, owners, rel, gaps, cand, structure.Grouping(depth=1), members=1, ungrouped=False, with_cycles=True)
+    got = {r["g"]: (r["total"], r["supported"], r["partial"], r["unsupported"], r["internal"], r["fan_in"], r["fan_out"]) for r in out.groups.collect()}
+    assert got == {"a": (2, 1, 1, 0, 1, 1, 1), "b": (1, 0, 0, 1, 0, 2, 1), "c": (1, 0, 0, 1, 0, 0, 0)}  # fan-in of b counts the ungrouped file
+    assert {(r["g"], r["path_key"]) for r in out.samples.collect()} == {("a", "a/x"), ("b", "b/z"), ("c", "c/q/r")}
+    assert {(r["sg"], r["tg"], r["n"]) for r in out.edges.collect()} == {("a", "b", 1), ("b", "a", 1)}
+    assert {(r["member"], r["component"]) for r in out.cycles.collect()} == {("a", "a"), ("b", "a")}
+    assert [(r["g"], r["total"], r["with_candidate"]) for r in out.gaps.collect()] == [("a", 1, 1)]
+
+
+def test_caps_and_plans_of_intents():
+    for bad in (dict(), dict(items=0), dict(bytes=5, tokens=0)):
+        with pytest.raises(ValueError):
+            delivery.Caps(**bad)
+    assert delivery.plan("LOCATE", True) == ["currentness", "select"]
+    assert delivery.plan("CHANGE", False, work_item=True) == ["currentness", "select", "knowledge", "work"]
+    assert delivery.plan("RELATIONS", True, incoming=False) == ["currentness", "select", "direct:asked"]
+    assert delivery.plan("UNDERSTAND", True, symbol=False) == ["currentness", "select", "declarations", "outline", "direct:both"]
+
+
+def test_paths_climb_no_higher_than_the_root(spark):
+    from factgraph.operators.resolve_code import normal_path
+
+    rows = [("a/b", "./c", "a/b/c"), ("a/b", "../c", "a/c"), ("a", "../../c", None), ("", "../c", None), ("", "c//d/.", "c/d"), ("a", "../..", None), ("a/b", "x/../../y", "a/y")]
+    df = spark.createDataFrame(rows, "d string, s string, want string")
+    assert df.where(~normal_path(F.col("d"), F.col("s")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_baseline_scan_publishes_a_generation(spark, tmp_path):
+    from factgraph.sources import baseline
+    from factgraph.sources.snapshot import Snapshots, Stale
+
+    root = tmp_path / "tree"
+    for path, text in {"src/a.py": "import os\nclass A:\n    def f(self):\n        return g(os.getenv('K'))\n", "src/bad.py": "def (", "lib.rs": "fn x() {}", "tests/test_a.py": "", "node_modules/x.js": "x", "README.md": "hi"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    s = Snapshots(spark, str(tmp_path / "ws"))
+    assert baseline.baseline(s, str(root))["generation"] == 1
+    files = {r["path_key"]: (r["role"], r["language"]) for r in s.table("resource").collect()}
+    assert files == {"src/a.py": ("SOURCE", "PYTHON"), "src/bad.py": ("SOURCE", "PYTHON"), "lib.rs": ("SOURCE", "RUST"), "tests/test_a.py": ("TEST", "PYTHON"), "README.md": ("DOCS", None)}
+    names = s.table("resource").select(F.col("uid").alias("resource_uid"), "path_key")
+    assert {r["path_key"]: r["state"] for r in s.table("structure").join(names, "resource_uid").collect()} == {"src/a.py": "COMPLETE", "src/bad.py": "PARTIAL", "tests/test_a.py": "COMPLETE", "lib.rs": "UNSUPPORTED"}
+    assert {r["qualified_name"] for r in s.table("symbol").collect()} == {"A", "A.f"}
+    assert {(r["kind"], r["lookup_name"]) for r in s.table("occurrence").collect()} == {("IMPORT_SITE", "os"), ("CALL_SITE", "g"), ("KEY_SITE", "os.getenv")}
+    with pytest.raises(Stale):
+        baseline.baseline(s, str(root))
+
+
+def test_watched_events_reach_the_journal_and_loss_reconciles(spark, tmp_path):
+    import json
+
+    from factgraph.streaming import watch
+
+    def batch(n, events):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps(e) + "\n" for e in events))
+
+    calls = []
+
+    def run():
+        events = watch.normalised(watch.watch(spark, str(tmp_path / "in")), "/ws", lambda p: F.startswith(p, F.lit("tmp/")))
+        q = watch.start(events, str(tmp_path / "journal"), str(tmp_path / "marks"), str(tmp_path / "cp"), lambda: calls.append(1), once=True)
+        assert q.awaitTermination(90)
+
+    e = lambda seq, event, path=None, after=None: {"seq": seq, "event": event, "path": path, "path_after": after, "ts": "2024-01-01T00:00:00Z"}
+    batch(1, [e(1, "Created", "/ws/a"), e(2, "Modified", "/ws/tmp/x"), e(3, "Removed", "/other/b"), e(4, "RenamedPair", "/ws/c", "/ws/d"), e(5, "RenamedPair", "/out/x", "/ws/e"), e(6, "RenamedPair", "/ws/f", "/out/f")])
+    run()
+    rows = {(r["seq"], r["kind"], r["path_before"], r["path_after"]) for r in spark.read.parquet(str(tmp_path / "journal")).collect()}
+    assert rows == {(1, "CREATE", None, "a"), (4, "MOVE", "c", "d"), (5, "CREATE", None, "e"), (6, "DELETE", "f", None)} and not calls
+    assert {r["path_key"] for r in spark.read.parquet(str(tmp_path / "marks")).where("continuity = 'CONTINUOUS'").collect()} == set("acdef")
+    batch(2, [e(7, "ContinuityLost"), e(8, "Modified", "/ws/a")])
+    run()
+    assert calls == [1]
+    lost = spark.read.parquet(str(tmp_path / "marks")).where("continuity = 'LOST'").collect()
+    assert [(r["path_key"], r["seq"], r["freshness"]) for r in lost] == [("a", 8, "DIRTY")]
+
+
+def test_stores_and_telemetry(spark, tmp_path):
+    from factgraph.operators import store
+
+    held = spark.createDataFrame([("a", 1)], "k string, v long")
+    out = store.ensure(held, spark.createDataFrame([("a", 9), ("b", 3), ("b", 2)], "k string, v long"), ["k"])
+    assert {tuple(r) for r in out.collect()} == {("a", 1), ("b", 2)}
+    got = {r["k"]: (r["v"], r["found"]) for r in store.lookup(out, spark.createDataFrame([("b",), ("z",), ("z",)], "k string"), ["k"]).collect()}
+    assert got == {"b": (2, True), "z": (None, False)}
+    for _ in range(2):
+        records.append_telemetry(held, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2

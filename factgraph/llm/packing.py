@@ -33,7 +33,7 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words a worker remembers before it starts anew; bounds memory, never the result.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 _STOPS = (",", ".", "!", "?", ";", ":")
 _encoders: dict[str, Encoder] = {}
 

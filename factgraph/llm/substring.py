@@ -41,7 +41,7 @@ _NO_ID = -(2**63)
 class Params:
     window: int = 20
     seed: int = 6
-    hot: int = 10_000
+    hot: int = 100_000
 
 
 def chosen(g: np.ndarray, m: int) -> np.ndarray:

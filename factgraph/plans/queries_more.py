@@ -156,6 +156,31 @@ def _(f):
     return python_code.parse_python(files).select("path_key", "record", "name", "qualified_name")
 
 
+#: A file of each language and what is in it; @ stands for the key of a customer.
+_SOURCES = {
+    "RUST": ("rs", "use a::b@;\nstruct S@ { x: i32 }\nimpl S@ { fn m(&self) -> i32 { self.g@(1) } }\nfn h() { env::var(\"K@\"); }\n", [
+        ("STATUS", "", "", "COMPLETE"), ("IMPORT", "b@", "a::b@", "MEMBER"), ("SYMBOL", "S@", "S@", "STRUCT"), ("SYMBOL", "x", "S@::x", "FIELD"), ("SYMBOL", "m", "S@::m", "METHOD"),
+        ("CALL", "g@", "self.g@", "S@::m"), ("SYMBOL", "h", "h", "FUNCTION"), ("KEY", "K@", "env::var", "LITERAL")]),
+    "TYPESCRIPT": ("ts", "import { a as b@ } from \"./m@\"\nexport class C@ { x = 1\n m(): void { this.g@(`${h(2)}`) } }\nconst f@ = (z) => process.env.K@\n", [
+        ("STATUS", "", "", "COMPLETE"), ("IMPORT", "b@", "./m@:a", "MEMBER"), ("SYMBOL", "C@", "C@", "CLASS"), ("SYMBOL", "x", "C@.x", "FIELD"), ("SYMBOL", "m", "C@.m", "METHOD"),
+        ("CALL", "g@", "this.g@", "C@.m"), ("CALL", "h", "h", "C@.m"), ("SYMBOL", "f@", "f@", "FUNCTION"), ("KEY", "K@", "process.env", "LITERAL")]),
+    "CSHARP": ("cs", "using N.M@;\nnamespace Q;\nclass C@ { const int A = 1; int P { get; } int M(int x) { return G@(x); } }\n", [
+        ("STATUS", "", "", "COMPLETE"), ("IMPORT", "M@", "N.M@", "MODULE"), ("SYMBOL", "C@", "Q.C@", "CLASS"), ("SYMBOL", "A", "Q.C@.A", "CONSTANT"), ("SYMBOL", "P", "Q.C@.P", "PROPERTY"),
+        ("SYMBOL", "M", "Q.C@.M", "METHOD"), ("CALL", "G@", "G@", "Q.C@.M")]),
+}
+_LANGUAGE = "CASE c_custkey % 3 WHEN 0 THEN 'RUST' WHEN 1 THEN 'TYPESCRIPT' ELSE 'CSHARP' END"
+_IN = ", ".join(f"('{lang}', '{ext}', '{a}', '{b}', '{c}', '{d}')" for lang, (ext, _, rows) in _SOURCES.items() for a, b, c, d in rows)
+
+
+@query("S16_lexed_structure", f"SELECT concat('c', c_custkey, '.', ext) AS path_key, record, replace(name, '@', CAST(c_custkey AS VARCHAR)) AS name, replace(q, '@', CAST(c_custkey AS VARCHAR)) AS qualified_name, replace(kind, '@', CAST(c_custkey AS VARCHAR)) AS kind FROM customer JOIN (VALUES {_IN}) v(lang, ext, record, name, q, kind) ON lang = {_LANGUAGE}")
+def _(f):
+    """Structure of Rust, TypeScript and C# files, one a customer."""
+    lang, key = F.expr(_LANGUAGE), F.col("c_custkey").cast("string")
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in _SOURCES.items() for x in (k, v[i])]), lang)
+    files = f("customer").select(F.concat(F.lit("c"), key, F.lit("."), pick(0)).alias("path_key"), lang.alias("language"), F.encode(F.replace(pick(1), F.lit("@"), key), "UTF-8").alias("content"))
+    return python_code.parse(files).select("path_key", "record", "name", "qualified_name", "kind")
+
+
 @query("G16_domain_keys", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL WHEN event_type = 'view' THEN 'USES_ENV' WHEN event_type = 'click' THEN 'USES_CONFIG' END AS kind, CASE WHEN user_id % 3 <> 0 THEN CASE event_type WHEN 'view' THEN concat('ENV:K', user_id) WHEN 'click' THEN concat('CONFIG:K', user_id) END END AS identity, CASE WHEN event_type NOT IN ('view', 'click') THEN 'NOT_A_KEY' WHEN user_id % 3 = 0 THEN 'DYNAMIC_KEY' END AS reason FROM events")
 def _(f):
     api = F.when(F.col("event_type") == "view", "os.getenv").when(F.col("event_type") == "click", "ConfigurationManager.AppSettings").otherwise("map.get")

@@ -13,8 +13,8 @@ from factgraph.sources.snapshot import Snapshots
 def scan(spark: SparkSession, root: str, extra_excluded: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """resource, structure, symbol and occurrence tables of a tree.
 
-    Files outside excluded directories are read and hashed by the executors.  Structure is read from Python;
-    files of other languages keep the coverage UNSUPPORTED.  An id is a digest of what names a thing, so that
+    Files outside excluded directories are read and hashed by the executors.  Structure is read from files of
+    every language that has a reader; a language without one keeps the coverage UNSUPPORTED.  An id is a digest of what names a thing, so that
     a scan of the same tree gives the same ids.
     """
     files = tree.with_content(tree.excluded(tree.list_tree(spark, root), extra_excluded), root)
@@ -23,8 +23,8 @@ def scan(spark: SparkSession, root: str, extra_excluded: tuple[str, ...] = ()) -
         framed_digest(F.lit("resource"), path).alias("uid"), "path_key", tree.role_of(path).alias("role"), tree.resource_language(path).alias("language"),
         F.lit("FILE").alias("kind"), F.lit("ACTIVE").alias("state"), F.sha2("content", 256).alias("hash"), "size", F.lit(1).cast("long").alias("revision"),
     )
-    code = files.where((tree.resource_language(path) == "PYTHON") & F.coalesce(F.endswith(F.lower(path), F.lit(".py")) | F.endswith(F.lower(path), F.lit(".pyi")), F.lit(False)))
-    found = python_code.parse_python(code).withColumn("resource_uid", framed_digest(F.lit("resource"), path))
+    code = files.withColumn("language", tree.resource_language(path)).where("language IS NOT NULL")
+    found = python_code.parse(code).withColumn("resource_uid", framed_digest(F.lit("resource"), path))
     known = found.where("record = 'STATUS'").select("resource_uid", F.col("kind").alias("_state"))
     structure = resource.select(F.col("uid").alias("resource_uid"), F.col("revision").alias("basis_revision"), "language").join(known, "resource_uid", "left")
     state = F.coalesce("_state", F.when(F.col("language").isNotNull(), "UNSUPPORTED"))

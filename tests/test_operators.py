@@ -283,6 +283,128 @@ def test_python_structure_spans_and_coverage(spark):
     assert [(r[2], r[3]) for r in got if r[1] == "IMPORT"] == [("os", "os"), ("c", ".a:b")]
 
 
+_CODE = {
+    ("a.rs", "RUST"): r"""//! x { /* a /* b */ c */
+use std::{fmt::{self, Display as D}, io::*};
+use crate::a::B;
+pub(crate) struct P<T> { pub x: Vec<(T, u8)>, #[serde(a)] y: i32 }
+pub struct U(u32);
+enum E { A, B { z: i32 } }
+const K: &'static str = "a{";
+pub trait Tr { type X; fn m(&self) -> i32; fn d(&self) { helper(); } }
+impl<T: Fn(i32) -> i32> fmt::Display for P<T> where T: Copy { fn fmt<'a>(&'a self) -> char { 'x'; self.run().go(); let Some(x) = f(1) else { return }; match a { Some(y) => g(y), _ => env::var("KEY") } } }
+mod inner { pub async fn q() { const L: i32 = 1; println!("{}", call(1)); std::env::var(name); Vec::<u8>::with(3); f::<u8>(1) } }
+type A = Vec<u8>;
+fn r() -> impl Iterator { r#"a " b"# }
+""",
+    ("a.ts", "TYPESCRIPT"): r"""import d, { a as b, type C } from "./m"; import * as n from 'p/q'
+import "side"
+export default class A<T> extends B<T> implements I {
+  private readonly x: number = f(1); static y
+  @dec(1) get z(): string { return `a${g(`b${h()}`)}c` }
+  m?(a: string): { k: number } { return this.q.run({ in() { z() } }) }
+  [Symbol.iterator]() { w() }
+  static { init() }
+}
+interface I<T> { p?: number; q(a: T): void; r: () => void }
+enum En { A = 1 }
+type Tt<X> = { a: X }
+  | Other
+export const fn = async (a) => { const loc = 1; const inner = () => k(); return process.env.HOME + process.env["X"] + process.env[y] }
+let u = 1, v = function() {}
+const K = class { f = 2; g() {} }
+const re = /a"[/"]'/.test(s)
+namespace N.M { export function* gen(): { a: 1 } { yield foo<Bar>(1) } }
+function over(a: string): void
+function over(a) { new X(); if (a) { b?.c?.(1) } for (const t of ts) { u(t) } }
+abstract class Z { abstract q(): void
+ w(): void {} }
+""",
+    ("a.cs", "CSHARP"): r"""#region x"
+using System; using Al = A.B.C; using static System.Math;
+namespace N.S;
+[Attr("x")]
+public class C<T> : Base<T>, I where T : class {
+  private const int A = 1, B = 2; readonly Dictionary<string, (int, int)> d = new();
+  public string P { get; set; } = F(1);
+  public int Q => Calc(2);
+  public C(int x) : base(x) { Go(); }
+  ~C() { }
+  public async Task<(int, string)> M<U>(U u, int k = 3) where U : new() { var s = $"a{b}"; this.X.Run<int>(1); return Environment.GetEnvironmentVariable("K"); }
+  (int, int) Tup() => (1, 2);
+  public int this[int i] { get { return At(i); } }
+  public static C<T> operator +(C<T> a, C<T> b) => a;
+  public event Action Ev; delegate void D(int x);
+  enum E { A, B = 2 }
+  public record R(int X, int Y);
+  void L() { int Local() { return ConfigurationManager.AppSettings["q"]; } new C(1); if (a) return; var v = @"c:\\"; }
+}
+interface I { void M(); int P { get; } }
+record struct RS(int A);
+""",
+}
+
+
+def _structure(path, language, text):
+    from factgraph.sources.python_code import records_of
+
+    raw = text.encode()
+    rows = records_of(path, raw, language)
+    return rows[0][4], [r[1:5] for r in rows[1:]], [raw[r[5] : r[6]].decode() for r in rows[1:]]
+
+
+def test_rust_structure():
+    state, rows, spans = _structure("a.rs", "RUST", _CODE["a.rs", "RUST"])
+    assert state == "COMPLETE"
+    assert [r[2] for r in rows if r[0] == "IMPORT"] == ["std::fmt::self", "std::fmt::Display", "std::io::*", "crate::a::B"]
+    symbols = [(r[2], r[3]) for r in rows if r[0] == "SYMBOL"]
+    assert symbols == [("P", "STRUCT"), ("P::x", "FIELD"), ("P::y", "FIELD"), ("U", "STRUCT"), ("E", "ENUM"), ("E::z", "FIELD"), ("K", "CONSTANT"), ("Tr", "TRAIT"), ("Tr::m", "METHOD"), ("Tr::d", "METHOD"), ("P::fmt", "METHOD"), ("inner::q", "FUNCTION"), ("A", "TYPE_ALIAS"), ("r", "FUNCTION")]
+    assert [(r[2], r[3]) for r in rows if r[0] == "CALL"] == [("helper", "Tr::d"), ("self.run", "P::fmt"), ("?.go", "P::fmt"), ("f", "P::fmt"), ("g", "P::fmt"), ("?::with", "inner::q"), ("f", "inner::q")]
+    assert [r[1:] for r in rows if r[0] == "KEY"] == [("KEY", "env::var", "LITERAL"), ("", "std::env::var", "DYNAMIC")]
+    assert [r[2] for r in rows if r[0] == "CANDIDATE"] == ["call"]
+    assert spans[rows.index(("SYMBOL", "q", "inner::q", "FUNCTION"))].startswith("pub async fn q()")
+
+
+def test_typescript_structure():
+    state, rows, spans = _structure("a.ts", "TYPESCRIPT", _CODE["a.ts", "TYPESCRIPT"])
+    assert state == "COMPLETE"
+    assert [(r[1], r[2]) for r in rows if r[0] == "IMPORT"] == [("d", "./m:default"), ("b", "./m:a"), ("C", "./m:C"), ("n", "p/q"), ("", "side")]
+    symbols = [(r[2], r[3]) for r in rows if r[0] == "SYMBOL"]
+    assert symbols == [("A", "CLASS"), ("A.x", "FIELD"), ("A.y", "FIELD"), ("A.z", "METHOD"), ("A.m", "METHOD"), ("I", "INTERFACE"), ("I.p", "PROPERTY"), ("I.q", "METHOD"), ("I.r", "PROPERTY"), ("En", "ENUM"), ("Tt", "TYPE_ALIAS"), ("fn", "FUNCTION"), ("fn.inner", "FUNCTION"), ("u", "CONSTANT"), ("v", "FUNCTION"), ("K", "CLASS"), ("K.f", "FIELD"), ("K.g", "METHOD"), ("re", "CONSTANT"), ("N.M.gen", "FUNCTION"), ("over", "FUNCTION"), ("over", "FUNCTION"), ("Z", "CLASS"), ("Z.q", "METHOD"), ("Z.w", "METHOD")]
+    assert [(r[2], r[3]) for r in rows if r[0] == "CALL"] == [("f", "A.x"), ("dec", "A"), ("g", "A.z"), ("h", "A.z"), ("this.q.run", "A.m"), ("z", "A.m"), ("w", "A"), ("init", "A"), ("k", "fn.inner"), ("?.test", "re"), ("foo", "N.M.gen"), ("b.c", "over"), ("u", "over")]
+    assert [r[1:] for r in rows if r[0] == "KEY"] == [("HOME", "process.env", "LITERAL"), ("X", "process.env", "LITERAL"), ("", "process.env", "DYNAMIC")]
+    assert spans[rows.index(("SYMBOL", "Tt", "Tt", "TYPE_ALIAS"))].endswith("| Other")
+
+
+def test_csharp_structure():
+    state, rows, _ = _structure("a.cs", "CSHARP", _CODE["a.cs", "CSHARP"])
+    assert state == "COMPLETE"
+    assert [(r[1], r[2]) for r in rows if r[0] == "IMPORT"] == [("System", "System"), ("Al", "A.B.C"), ("Math", "System.Math")]
+    symbols = [(r[2].removeprefix("N.S."), r[3]) for r in rows if r[0] == "SYMBOL"]
+    assert symbols == [("C", "CLASS"), ("C.A", "CONSTANT"), ("C.B", "CONSTANT"), ("C.d", "FIELD"), ("C.P", "PROPERTY"), ("C.Q", "PROPERTY"), ("C.C", "METHOD"), ("C.C", "METHOD"), ("C.M", "METHOD"), ("C.Tup", "METHOD"), ("C.E", "ENUM"), ("C.R", "RECORD"), ("C.L", "METHOD"), ("I", "INTERFACE"), ("I.M", "METHOD"), ("I.P", "PROPERTY"), ("RS", "RECORD")]
+    assert {r[2] for r in rows if r[0] == "CALL"} >= {"F", "Calc", "Go", "this.X.Run", "At", "Local"}
+    assert [(r[1], r[2]) for r in rows if r[0] == "KEY"] == [("K", "Environment.GetEnvironmentVariable"), ("q", "ConfigurationManager.AppSettings")]
+
+
+def test_structure_of_other_files():
+    state, rows, spans = _structure("a.svelte", "SVELTE", "<p>it's {é(}</p>\n<script lang=\"ts\">\nimport A from './A.svelte'\nfunction go() { run(p) }\n</script>")
+    assert state == "CONTAINER_ONLY" and [r[2] for r in rows] == ["./A.svelte:default", "go", "run"] and spans[2] == "run(p)"
+    assert _structure("x.go", "GO", "x")[0] == "UNSUPPORTED" and _structure("x.rs", "RUST", "fn a( {")[0] == "PARTIAL"
+    for language in ("RUST", "CSHARP", "JAVASCRIPT", "SVELTE", "PYTHON"):
+        assert _structure("x", language, "")[1] == []
+    r = random.Random(5)
+    words = ["class", "fn", "{", "}", "(", ")", "<", ">", "impl", "for", "=", "=>", ";", ",", "a", "b", "`", "${", '"', "'", "/", "use", "::", "*", "import", "from", "const", "#", "[", "]", "@", "!", "type", "interface", ":", "?", "\n", "using", "namespace", "get", "static", "é"]
+    for _ in range(3000):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(1, 30)))
+        for language in ("RUST", "CSHARP", "TYPESCRIPT"):
+            assert len(_structure("x", language, text)[1]) <= 40
+
+
+def test_python_bindings_and_receivers():
+    _, rows, _ = _structure("b.py", "PYTHON", "X = 1\ntype T = int\nclass A:\n    f: int = 2\n    def m(self):\n        y = 1\n        return a().b(y)\n")
+    assert [(r[2], r[3]) for r in rows] == [("X", "CONSTANT"), ("T", "TYPE_ALIAS"), ("A", "CLASS"), ("A.f", "FIELD"), ("A.m", "METHOD"), ("?.b", "A.m"), ("a", "A.m")]
+
+
 def test_overlap_members_hold_every_pair(spark):
     r = random.Random(8)
     rows = [(r.randrange(1, 120), f"p{r.randrange(12)}", r.choice(["TARGET", "TARGET", "READ"])) for _ in range(400)]
@@ -442,8 +564,8 @@ def test_baseline_scan_publishes_a_generation(spark, tmp_path):
     files = {r["path_key"]: (r["role"], r["language"]) for r in s.table("resource").collect()}
     assert files == {"src/a.py": ("SOURCE", "PYTHON"), "src/bad.py": ("SOURCE", "PYTHON"), "lib.rs": ("SOURCE", "RUST"), "tests/test_a.py": ("TEST", "PYTHON"), "README.md": ("DOCS", None)}
     names = s.table("resource").select(F.col("uid").alias("resource_uid"), "path_key")
-    assert {r["path_key"]: r["state"] for r in s.table("structure").join(names, "resource_uid").collect()} == {"src/a.py": "COMPLETE", "src/bad.py": "PARTIAL", "tests/test_a.py": "COMPLETE", "lib.rs": "UNSUPPORTED"}
-    assert {r["qualified_name"] for r in s.table("symbol").collect()} == {"A", "A.f"}
+    assert {r["path_key"]: r["state"] for r in s.table("structure").join(names, "resource_uid").collect()} == {"src/a.py": "COMPLETE", "src/bad.py": "PARTIAL", "tests/test_a.py": "COMPLETE", "lib.rs": "COMPLETE"}
+    assert {r["qualified_name"] for r in s.table("symbol").collect()} == {"A", "A.f", "x"}
     assert {(r["kind"], r["lookup_name"]) for r in s.table("occurrence").collect()} == {("IMPORT_SITE", "os"), ("CALL_SITE", "g"), ("KEY_SITE", "os.getenv")}
     with pytest.raises(Stale):
         baseline.baseline(s, str(root))

@@ -159,3 +159,28 @@ def promote(notes: DataFrame, receipts: DataFrame) -> DataFrame:
     """What promoting each note does: NEW, REPLAY (same receipt and content) or CONFLICT (other content)."""
     j = notes.join(receipts.withColumnRenamed("digest", "known"), "receipt", "left")
     return j.withColumn("outcome", F.when(F.col("known").isNull(), "NEW").when(F.col("known") == F.col("digest"), "REPLAY").otherwise("CONFLICT"))
+
+
+def layer_counts(policies: DataFrame) -> DataFrame:
+    """Active rules and distinct keys of each layer and tier."""
+    return policies.where("status = 'ACTIVE'").groupBy("layer", "tier").agg(F.count("*").alias("n"), F.count_distinct("policy_key").alias("keys"))
+
+
+def lineage(links: DataFrame) -> DataFrame:
+    """(uid, linked, kind, way): each row's links (from_uid, to_uid, kind) one step out and one step in."""
+    out = links.select(F.col("from_uid").alias("uid"), F.col("to_uid").alias("linked"), "kind", F.lit("OUT").alias("way"))
+    return out.unionByName(links.select(F.col("to_uid").alias("uid"), F.col("from_uid").alias("linked"), "kind", F.lit("IN").alias("way")))
+
+
+def superseded(decisions: DataFrame) -> DataFrame:
+    """(uid, status): active decisions that a later one of their topic stands above are SUPERSEDED."""
+    last = decisions.groupBy("topic").agg(F.max("uid").alias("_last"))
+    j = decisions.join(last, "topic")
+    return j.select("uid", F.when((F.col("status") == "ACTIVE") & (F.col("uid") < F.col("_last")), "SUPERSEDED").otherwise(F.col("status")).alias("status"))
+
+
+def work_snapshot(work: DataFrame, resources: DataFrame) -> DataFrame:
+    """Work items with their number of resources and of roles."""
+    r = resources.groupBy(F.col("work_uid").alias("uid")).agg(F.count("*").alias("resources"), F.count_distinct("role").alias("roles"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("resources", "roles")]
+    return work.join(r, "uid", "left").select("uid", "status", *zero)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factgraph.functions.text import basename, contains_ascii, direct_child
+from factgraph.functions.text import basename, contains_ascii, direct_child, path_suffixes
 
 LIMIT = 200
 
@@ -104,3 +104,30 @@ def currentness(structure: DataFrame) -> DataFrame:
     """One row: CURRENT, or why not."""
     n = structure.agg(F.count("*").alias("n"), F.count_if(F.col("freshness") == "DIRTY").alias("dirty"))
     return n.select(F.when(F.col("n") == 0, "NEVER_PUBLISHED").when(F.col("dirty") > 0, "DIRTY").otherwise("CURRENT").alias("currentness"))
+
+
+def symbol_places(symbols: DataFrame, resources: DataFrame) -> DataFrame:
+    """Symbols with the path of their file and the id of their parent, null if the parent is not there."""
+    p = symbols.select(F.col("uid").alias("parent_uid"), F.col("uid").alias("parent"))
+    return symbols.join(resources.select(F.col("uid").alias("resource_uid"), "path_key"), "resource_uid").join(p, "parent_uid", "left")
+
+
+def diff(known: DataFrame, observed: DataFrame) -> DataFrame:
+    """What a scan has found (uid, size) against what is known: one change a resource."""
+    a, b = known.select("uid", F.col("size").alias("old")), observed.select("uid", F.col("size").alias("new"))
+    out = a.join(b, "uid", "full")
+    change = F.when(F.col("old").isNull(), "CREATE").when(F.col("new").isNull(), "DELETE").when(F.col("old") != F.col("new"), "MODIFY").otherwise("SAME")
+    return out.select("uid", change.alias("change"))
+
+
+def by_suffix(wanted: DataFrame, resources: DataFrame) -> DataFrame:
+    """(want, hits, outcome): how many paths are a wanted path or end with it after a slash."""
+    ends = resources.select("uid", F.explode(path_suffixes(F.col("path_key"))).alias("want"))
+    n = wanted.join(ends, "want", "left").groupBy("want").agg(F.count("uid").alias("hits"))
+    return n.withColumn("outcome", F.when(F.col("hits") == 0, "EXTERNAL").when(F.col("hits") == 1, "INTERNAL").otherwise("AMBIGUOUS"))
+
+
+def first_named(wanted: DataFrame, resources: DataFrame) -> DataFrame:
+    """(k, uid): the active resource of least path whose file name is wanted, null without one."""
+    r = active(resources).select(basename(F.col("path_key")).alias("k"), "uid", "path_key")
+    return wanted.join(r, "k", "left").groupBy("k").agg(F.min_by("uid", "path_key").alias("uid"))

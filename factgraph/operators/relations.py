@@ -68,3 +68,53 @@ def capped_candidates(candidates: DataFrame) -> DataFrame:
 def coverage_limits(outgoing: bool, gaps: Column, unattributed: Column, stale: Column) -> Column:
     """Limits of an answer; an incoming answer never covers all places that could point here."""
     return F.array_compact(F.array(F.when(gaps > 0, "UNRESOLVED_REFERENCES"), F.when(unattributed > 0, "UNATTRIBUTED_GAPS"), F.when(stale > 0, "STALE_EVIDENCE"), F.when(F.lit(not outgoing), "REVERSE_SCOPE_NOT_ENUMERABLE")))
+
+
+def gap_context(gaps: DataFrame, resources: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Gaps with the path of their file, the symbol they are in and the name of that symbol's parent (null without one)."""
+    r = resources.select(F.col("uid").alias("resource_uid"), "path_key")
+    s = symbols.select(F.col("uid").alias("symbol_uid"), "qualified_name", "parent_uid")
+    p = symbols.select(F.col("uid").alias("parent_uid"), F.col("name").alias("parent"))
+    return gaps.join(r, "resource_uid").join(s, "symbol_uid", "left").join(p, "parent_uid", "left")
+
+
+def with_candidates(gaps: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Gaps that have a candidate."""
+    return gaps.join(candidates.select(F.col("gap_uid").alias("uid")), "uid", "left_semi")
+
+
+def orphans(relations: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Relations that no occurrence gives evidence of."""
+    sites = occurrences.select(F.col("relation_kind").alias("kind"), "source", "target")
+    return relations.join(sites, ["kind", "source", "target"], "left_anti")
+
+
+def at_same_start(occurrences: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(occurrence, gap) that begin at one place of one file."""
+    g = gaps.select(F.col("uid").alias("gap"), "resource_uid", "start_byte")
+    return occurrences.join(g, ["resource_uid", "start_byte"]).select(F.col("uid").alias("occurrence"), "gap")
+
+
+def dependents(relations: DataFrame, owners: DataFrame, gaps: DataFrame, candidates: DataFrame, targets: DataFrame) -> DataFrame:
+    """Resources (resource_uid) that own the source of a relation to a target (target), or have a gap that may mean one."""
+    direct = relations.join(targets, "target", "left_semi").select(F.col("source").alias("entity")).join(owners, "entity").select("resource_uid")
+    named = candidates.join(targets, "target", "left_semi").select(F.col("gap_uid").alias("uid"))
+    return direct.unionByName(gaps.join(named, "uid", "left_semi").select("resource_uid")).distinct()
+
+
+def invalidated(relations: DataFrame, owners: DataFrame, gaps: DataFrame, candidates: DataFrame, touched: DataFrame, inventory_changed: bool) -> DataFrame:
+    """Resources whose relations a change of entities (target) makes doubtful: their dependents, and if the inventory
+    has changed those with an import that was not found."""
+    out = dependents(relations, owners, gaps, candidates, touched)
+    lost = gaps.where("intended = 'IMPORTS' AND reason = 'NOT_FOUND'").select("resource_uid")
+    return out.unionByName(lost).distinct() if inventory_changed else out
+
+
+def unattributed(gaps: DataFrame) -> DataFrame:
+    """Per resource the gaps outside every symbol."""
+    return gaps.groupBy("resource_uid").agg(F.greatest(F.lit(0), F.count("*") - F.count("symbol_uid")).cast("long").alias("unattributed"))
+
+
+def gap_counters(gaps: DataFrame) -> DataFrame:
+    """Per intended kind: gaps, those whose candidates were cut, those outside every symbol."""
+    return gaps.groupBy("intended").agg(F.count("*").alias("total"), F.count_if("truncated").alias("cut"), F.count_if(F.col("symbol_uid").isNull()).alias("unattributed"))

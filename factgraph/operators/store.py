@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,63 @@ def locate_project(projects: DataFrame, paths: DataFrame) -> DataFrame:
     best = hit.groupBy("path", "depth").agg(F.count_distinct("uid").alias("n"), F.min("uid").alias("u")).groupBy("path").agg(F.max_by(F.struct("n", "u"), "depth").alias("b"))
     j = paths.select("path").distinct().join(best, "path", "left")
     return j.select("path", F.when(F.col("b.n") == 1, F.col("b.u")).alias("uid"), F.when(F.col("b").isNull(), "NOT_FOUND").when(F.col("b.n") > 1, "AMBIGUOUS").otherwise("FOUND").alias("outcome"))
+
+
+def replace_evidence(relations: DataFrame, evidence: DataFrame, resource: str, new: DataFrame) -> DataFrame:
+    """Relations after one resource's evidence is replaced by what was found in it now (kind, source, target): those
+    that keep evidence elsewhere, and the new ones."""
+    key = ["kind", "source", "target"]
+    left = evidence.where(F.col("resource_uid") != resource)
+    return relations.join(left, key, "left_semi").select(*key).unionByName(new.select(*key)).distinct()
+
+
+#: What a store of artifacts keeps.
+ARTIFACT_BYTES, ARTIFACTS = 64 << 20, 64
+
+
+def retained(artifacts: DataFrame, owner: str, order: str, size: Column, most_bytes: int = ARTIFACT_BYTES, most: int = ARTIFACTS) -> DataFrame:
+    """The latest artifacts of each owner that fit both limits; the first that does not fit and all older ones go."""
+    w = Window.partitionBy(owner).orderBy(F.col(order).desc())
+    upto = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = artifacts.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
+    return out.withColumn("_upto", upto).where(F.col("_upto") <= most_bytes).drop("_n", "_upto")
+
+
+#: Bytes kept of the beginning and of the end of a stream.
+HEAD_BYTES, TAIL_BYTES = 4 << 20, 4 << 20
+
+
+def head_tail(chunks: DataFrame, stream: str, offset: str, data: str, head: int = HEAD_BYTES, tail: int = TAIL_BYTES) -> DataFrame:
+    """Pieces (stream, offset, data, omitted) that are kept of streams of binary chunks (stream, offset, data).
+
+    A chunk is cut where it leaves the first ``head`` or enters the last ``tail`` bytes; ``omitted`` is what the
+    stream has lost in all.  Streams are never put together; only their lengths are aggregated.
+    """
+    end = F.col(offset) + F.octet_length(data)
+    total = chunks.groupBy(stream).agg(F.max(end).alias("_total"))
+    c = chunks.join(total, stream).withColumn("_from", F.greatest(F.col("_total") - tail, F.lit(head).cast("long")))
+    length = F.octet_length(data)
+    first = F.least(F.greatest(F.lit(head) - F.col(offset), F.lit(0)), length)
+    last = F.least(F.greatest(end - F.col("_from"), F.lit(0)), length)
+    pieces = [(F.col(offset), F.substring(data, F.lit(1), first.cast("int")), first), (end - last, F.substring(data, (length - last + 1).cast("int"), last.cast("int")), last)]
+    listed = F.array(*[F.struct(at.cast("long").alias("offset"), cut.alias("data"), n.alias("n")) for at, cut, n in pieces])
+    out = c.select(stream, F.greatest(F.col("_from") - head, F.lit(0)).cast("long").alias("omitted"), F.explode(listed).alias("_p")).where("_p.n > 0")
+    return out.select(stream, "_p.offset", "_p.data", "omitted")
+
+
+def poll(events: DataFrame, owner: str, order: str, after: int, limit: int) -> DataFrame:
+    """Of each owner the first ``limit`` events after a place."""
+    k = F.row_number().over(Window.partitionBy(owner).orderBy(order))
+    return events.where(F.col(order) > after).withColumn("_k", k).where(F.col("_k") <= limit).drop("_k")
+
+
+def next_sequence(rows: DataFrame, owner: str, seq: str) -> DataFrame:
+    """(owner, next): one more than the highest number of each owner."""
+    return rows.groupBy(owner).agg((F.coalesce(F.max(seq), F.lit(0)) + 1).alias("next"))
+
+
+def generation_reference(asked: DataFrame, generations: DataFrame) -> DataFrame:
+    """(uid, reference) of rows (uid, generation, basis) against stable generations (generation, basis)."""
+    g = generations.select("generation", F.col("basis").alias("_basis"))
+    j = asked.join(g, "generation", "left")
+    return j.select("uid", F.when(F.col("_basis").isNull(), "ABSENT").when(F.col("_basis") == F.col("basis"), "PRESENT_MATCHING").otherwise("PRESENT_DIFFERENT").alias("reference"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +74,96 @@ def sample(grouped: DataFrame, n: int) -> DataFrame:
     return grouped.withColumn("place", place).where(F.col("place") <= n)
 
 
-def cycles(pairs: DataFrame) -> DataFrame:
-    """Groups (src, dst edges) that reach one another: (member, component), components of two and more.
+#: Edges of a group graph that one task may hold (some 100 bytes each); a larger graph is coloured by joins.
+ONE_TASK_EDGES = 1_000_000
 
-    The closure is grown by doubling: the number of rounds is the logarithm of the longest path.
+
+def cycles(pairs: DataFrame, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+    """Groups (src, dst edges) that reach one another: (member, component), components of two and more, named by
+    their least member.
+
+    Edges are made distinct first.  If a count proves them few, one task finds the components; else
+    colours do, by joins alone: the result is the same.  No table of reachable pairs is made.
     """
-    reach = pairs.where("src <> dst").select("src", "dst").distinct().persist()
-    n = reach.count()
-    while True:
-        hop = reach.select("src", F.col("dst").alias("_m")).join(reach.select(F.col("src").alias("_m"), "dst"), "_m").select("src", "dst")
-        more = reach.unionByName(hop).distinct().persist()
-        m = more.count()
-        reach.unpersist()
-        reach = more
-        if m == n:
-            break
-        n = m
-    back = reach.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    mutual = reach.where("src <> dst").join(back, ["src", "dst"])
-    return mutual.groupBy(F.col("src").alias("member")).agg(F.min("dst").alias("_low")).select("member", F.least("member", "_low").alias("component"))
+    scratch = Scratch(pairs.sparkSession)
+    e = scratch.write(pairs.where("src <> dst").select("src", "dst").distinct())
+    if e.limit(one_task_edges + 1).count() > one_task_edges:
+        return _coloured(e, scratch)
+    kind = e.schema["src"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [x for b in batches for x in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True)]
+        found = [(m, min(c)) for c in strong_components(rows) if len(c) > 1 for m in c]
+        value = pa.string() if kind == "string" else pa.from_numpy_dtype({"bigint": "int64", "int": "int32"}[kind])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], value) for k in (0, 1)], ["member", "component"])
+
+    e = e if kind in ("string", "bigint", "int") else e.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
+    kind = kind if kind in ("bigint", "int") else "string"
+    return e.coalesce(1).mapInArrow(run, f"member {kind}, component {kind}")
+
+
+def strong_components(edges: list[tuple]) -> list[list]:
+    """Strongly connected components of a graph in memory, without recursion."""
+    out_of: dict = {}
+    for a, b in edges:
+        out_of.setdefault(a, []).append(b)
+        out_of.setdefault(b, [])
+    seen, low, on, stack, found = {}, {}, set(), [], []
+    for start in out_of:
+        if start in seen:
+            continue
+        seen[start] = low[start] = len(seen)
+        stack.append(start)
+        on.add(start)
+        work = [(start, iter(out_of[start]))]
+        while work:
+            v, rest = work[-1]
+            w = next((w for w in rest if w not in seen or w in on), None)
+            if w is None:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == seen[v]:
+                    own = []
+                    while not own or own[-1] != v:
+                        own.append(stack.pop())
+                    found.append(own)
+                    on.difference_update(own)
+            elif w in seen:
+                low[v] = min(low[v], seen[w])
+            else:
+                seen[w] = low[w] = len(seen)
+                stack.append(w)
+                on.add(w)
+                work.append((w, iter(out_of[w])))
+    return found
+
+
+def _coloured(e: DataFrame, scratch: Scratch) -> DataFrame:
+    """Each node takes the least node that reaches it as its colour; the nodes of a colour that reach back to the
+    node it is named after are its component.  What is left goes on, edges inside a colour only."""
+    done = None
+    while not e.isEmpty():
+        colour = scratch.write(e.select(F.col("src").alias("v")).union(e.select("dst")).distinct().withColumn("c", F.col("v")))
+        while True:
+            near = e.join(colour.withColumnRenamed("v", "src"), "src").groupBy(F.col("dst").alias("v")).agg(F.min("c").alias("m"))
+            new = scratch.write(colour.join(near, "v", "left").select("v", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
+            colour = new.select("v", "c")
+            if new.where("moved").isEmpty():
+                break
+        ends = [colour.select(F.col("v").alias(x), F.col("c").alias(f"c_{x}")) for x in ("src", "dst")]
+        inside = scratch.write(e.join(ends[0], "src").join(ends[1], "dst").where("c_src = c_dst").select("src", "dst", F.col("c_src").alias("c")))
+        front = back = colour.where("v = c")
+        while True:
+            front = scratch.write(inside.join(front.select(F.col("v").alias("dst")), "dst", "left_semi").select(F.col("src").alias("v"), "c").distinct().join(back, "v", "left_anti"))
+            if front.isEmpty():
+                break
+            back = back.unionByName(front)
+        back = scratch.write(back)
+        done = back if done is None else done.unionByName(back)
+        e = scratch.write(inside.join(back.select(F.col("v").alias("src")), "src", "left_anti").join(back.select(F.col("v").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    several = done.groupBy("c").count().where("count > 1").select("c")
+    return done.join(several, "c", "left_semi").select(F.col("v").alias("member"), F.col("c").alias("component"))
 
 
 def inventory_fingerprint(path: Column) -> Column:

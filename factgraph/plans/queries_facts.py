@@ -166,73 +166,53 @@ def _(f):
 
 @query("J2_gap_context", "SELECT g.uid, r.path_key, s.qualified_name, p.name AS parent FROM b_gap g JOIN b_resource r ON r.uid = g.resource_uid LEFT JOIN b_symbol s ON s.uid = g.symbol_uid LEFT JOIN b_symbol p ON p.uid = s.parent_uid")
 def _(f):
-    r = f("b_resource").select(F.col("uid").alias("resource_uid"), "path_key")
-    s = f("b_symbol").select(F.col("uid").alias("symbol_uid"), "qualified_name", "parent_uid")
-    p = f("b_symbol").select(F.col("uid").alias("parent_uid"), F.col("name").alias("parent"))
-    return f("b_gap").join(r, "resource_uid").join(s, "symbol_uid", "left").join(p, "parent_uid", "left").select("uid", "path_key", "qualified_name", "parent")
+    return relations.gap_context(f("b_gap"), f("b_resource"), f("b_symbol")).select("uid", "path_key", "qualified_name", "parent")
 
 
 @query("J3_symbol_parent", "SELECT s.uid, r.path_key, p.uid AS parent FROM b_symbol s JOIN b_resource r ON r.uid = s.resource_uid LEFT JOIN b_symbol p ON p.uid = s.parent_uid")
 def _(f):
-    s = f("b_symbol")
-    p = s.select(F.col("uid").alias("parent_uid"), F.col("uid").alias("parent"))
-    return s.join(f("b_resource").select(F.col("uid").alias("resource_uid"), "path_key"), "resource_uid").join(p, "parent_uid", "left").select("uid", "path_key", "parent")
+    return locate.symbol_places(f("b_symbol"), f("b_resource")).select("uid", "path_key", "parent")
 
 
 @query("J7_gaps_with_candidates", "SELECT uid FROM b_gap WHERE uid IN (SELECT gap_uid FROM b_candidate)")
 def _(f):
-    return f("b_gap").join(f("b_candidate").select(F.col("gap_uid").alias("uid")), "uid", "left_semi").select("uid")
+    return relations.with_candidates(f("b_gap"), f("b_candidate")).select("uid")
 
 
 @query("J8_orphan_relations", "SELECT kind, source, target FROM b_relation r WHERE NOT EXISTS (SELECT 1 FROM b_occurrence o WHERE o.relation_kind = r.kind AND o.source = r.source AND o.target = r.target)")
 def _(f):
-    return f("b_relation").join(f("b_occurrence").withColumn("kind", F.col("relation_kind")), ["kind", "source", "target"], "left_anti").select("kind", "source", "target")
+    return relations.orphans(f("b_relation"), f("b_occurrence"))
 
 
 @query("J11_span_equality", "SELECT o.uid AS occurrence, g.uid AS gap FROM b_occurrence o JOIN b_gap g ON g.resource_uid = o.resource_uid AND g.start_byte = o.start_byte")
 def _(f):
-    g = f("b_gap").select(F.col("uid").alias("gap"), "resource_uid", "start_byte")
-    return f("b_occurrence").join(g, ["resource_uid", "start_byte"]).select(F.col("uid").alias("occurrence"), "gap")
+    return relations.at_same_start(f("b_occurrence"), f("b_gap"))
 
 
 @query("J12_full_outer_diff", """SELECT coalesce(a.uid, b.uid) AS uid, CASE WHEN a.uid IS NULL THEN 'CREATE' WHEN b.uid IS NULL THEN 'DELETE' WHEN a.size <> b.size THEN 'MODIFY' ELSE 'SAME' END AS change
 FROM (SELECT * FROM b_resource WHERE state = 'ACTIVE') a FULL JOIN (SELECT uid, size + CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END AS size FROM b_resource WHERE size % 13 <> 0) b ON a.uid = b.uid""")
 def _(f):
     seen = f("b_resource").where("size % 13 <> 0").select("uid", (F.col("size") + F.when(F.col("size") % 3 == 0, 1).otherwise(0)).alias("size"))
-    return diff(locate.active(f("b_resource")), seen)
-
-
-def diff(active: DataFrame, observed: DataFrame) -> DataFrame:
-    """What a scan has found against what is known: one change a resource."""
-    a, b = active.select("uid", F.col("size").alias("old")), observed.select("uid", F.col("size").alias("new"))
-    out = a.join(b, "uid", "full")
-    change = F.when(F.col("old").isNull(), "CREATE").when(F.col("new").isNull(), "DELETE").when(F.col("old") != F.col("new"), "MODIFY").otherwise("SAME")
-    return out.select("uid", change.alias("change"))
+    return locate.diff(locate.active(f("b_resource")), seen)
 
 
 @query("J13_suffix_join", """SELECT w.want, count(r.uid) AS hits, CASE count(r.uid) WHEN 0 THEN 'EXTERNAL' WHEN 1 THEN 'INTERNAL' ELSE 'AMBIGUOUS' END AS outcome
 FROM (SELECT DISTINCT concat('customer/', o_custkey % 40) AS want FROM orders UNION SELECT DISTINCT concat(l_partkey % 50, '') FROM lineitem) w LEFT JOIN b_resource r ON r.path_key = w.want OR ends_with(r.path_key, concat('/', w.want)) GROUP BY w.want""")
 def _(f):
     want = f("orders").select(F.concat(F.lit("customer/"), (F.col("o_custkey") % 40).cast("string")).alias("want")).union(f("lineitem").select((F.col("l_partkey") % 50).cast("string"))).distinct()
-    ends = f("b_resource").select("uid", F.explode(T.path_suffixes(F.col("path_key"))).alias("want"))
-    n = want.join(ends, "want", "left").groupBy("want").agg(F.count("uid").alias("hits"))
-    return n.withColumn("outcome", F.when(F.col("hits") == 0, "EXTERNAL").when(F.col("hits") == 1, "INTERNAL").otherwise("AMBIGUOUS"))
+    return locate.by_suffix(want, f("b_resource"))
 
 
 @query("J14_dependent_owners", """SELECT DISTINCT o.resource_uid FROM b_relation r JOIN b_owner o ON o.entity = r.source WHERE r.target IN (SELECT uid FROM b_resource WHERE path_key LIKE 'parts/Brand#1%')
 UNION SELECT g.resource_uid FROM b_gap g JOIN b_candidate c ON c.gap_uid = g.uid WHERE c.target IN (SELECT uid FROM b_resource WHERE path_key LIKE 'parts/Brand#1%')""")
 def _(f):
     touched = f("b_resource").where(F.startswith("path_key", F.lit("parts/Brand#1"))).select(F.col("uid").alias("target"))
-    direct = f("b_relation").join(touched, "target", "left_semi").join(f("b_owner").withColumnRenamed("entity", "source"), "source").select("resource_uid")
-    named = f("b_candidate").join(touched, "target", "left_semi").select(F.col("gap_uid").alias("uid")).join(f("b_gap"), "uid").select("resource_uid")
-    return direct.unionByName(named).distinct()
+    return relations.dependents(f("b_relation"), f("b_owner"), f("b_gap"), f("b_candidate"), touched)
 
 
 @query("J16_first_occurrence", "SELECT w.k, min_by(r.uid, r.path_key) AS uid FROM (SELECT DISTINCT CAST(o_orderkey % 60 AS VARCHAR) AS k FROM orders) w LEFT JOIN b_resource r ON split_part(r.path_key, '/', -1) = w.k AND r.state = 'ACTIVE' GROUP BY w.k")
 def _(f):
-    w = f("orders").select((F.col("o_orderkey") % 60).cast("string").alias("k")).distinct()
-    r = locate.active(f("b_resource")).select(T.basename(F.col("path_key")).alias("k"), "uid", "path_key")
-    return w.join(r, "k", "left").groupBy("k").agg(F.min_by("uid", "path_key").alias("uid"))
+    return locate.first_named(f("orders").select((F.col("o_orderkey") % 60).cast("string").alias("k")).distinct(), f("b_resource"))
 
 
 # relations ---------------------------------------------------------------------------------------
@@ -294,12 +274,12 @@ def _(f):
 
 @query("A8_coverage_counters", "SELECT intended, count(*) AS total, count(*) FILTER (truncated) AS cut, count(*) FILTER (symbol_uid IS NULL) AS unattributed FROM b_gap GROUP BY intended")
 def _(f):
-    return f("b_gap").groupBy("intended").agg(F.count("*").alias("total"), F.count_if("truncated").alias("cut"), F.count_if(F.col("symbol_uid").isNull()).alias("unattributed"))
+    return relations.gap_counters(f("b_gap"))
 
 
 @query("A9_unattributed_gaps", "SELECT g.resource_uid, greatest(0, count(*) - coalesce(max(a.n), 0))::BIGINT AS unattributed FROM b_gap g LEFT JOIN (SELECT resource_uid, count(*) AS n FROM b_gap WHERE symbol_uid IS NOT NULL GROUP BY 1) a ON a.resource_uid = g.resource_uid GROUP BY g.resource_uid")
 def _(f):
-    return f("b_gap").groupBy("resource_uid").agg(F.greatest(F.lit(0), F.count("*") - F.count("symbol_uid")).cast("long").alias("unattributed"))
+    return relations.unattributed(f("b_gap"))
 
 
 @query("A11_limit_union", "SELECT intended, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons FROM b_gap GROUP BY intended")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.functions.text import weakest
-from factgraph.operators import answer, delivery, relations, resolve_code, structure
+from factgraph.operators import answer, delivery, relations, resolve_code, store, structure
 from factgraph.plans.bridge import Facts
 from factgraph.plans.queries_code import _LINES
 from factgraph.plans.queries_facts import _EDGES, _GROUPED, group_edges, grouped
@@ -81,10 +81,10 @@ def _(f):
     return j.select("uid", "kind", "signature", "path_key", F.coalesce("t", F.lit("UNKNOWN")).alias("structure"), (F.col("revision") == F.col("r")).alias("current"))
 
 
-@query("G22_invalidation_set", """SELECT DISTINCT o.resource_uid FROM b_relation r JOIN b_owner o ON o.entity = r.source WHERE r.target IN ('part:1', 'part:2', 'supplier:1') UNION SELECT resource_uid FROM b_gap WHERE intended = 'IMPORTS' AND reason = 'NOT_FOUND'""")
+@query("G22_invalidation_set", """SELECT DISTINCT o.resource_uid FROM b_relation r JOIN b_owner o ON o.entity = r.source WHERE r.target IN ('part:1', 'part:2', 'supplier:1') UNION SELECT resource_uid FROM b_gap WHERE intended = 'IMPORTS' AND reason = 'NOT_FOUND' UNION SELECT g.resource_uid FROM b_gap g JOIN b_candidate c ON c.gap_uid = g.uid WHERE c.target IN ('part:1', 'part:2', 'supplier:1')""")
 def _(f):
-    touched = f("b_relation").where(F.col("target").isin("part:1", "part:2", "supplier:1")).select(F.col("source").alias("entity"))
-    return f("b_owner").join(touched, "entity", "left_semi").select("resource_uid").unionByName(f("b_gap").where("intended = 'IMPORTS' AND reason = 'NOT_FOUND'").select("resource_uid")).distinct()
+    touched = f("b_resource").where(F.col("uid").isin("part:1", "part:2", "supplier:1")).select(F.col("uid").alias("target"))
+    return relations.invalidated(f("b_relation"), f("b_owner"), f("b_gap"), f("b_candidate"), touched, True)
 
 
 @query("N21_utf16_columns", "SELECT doc_id, length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS units, length(text) AS points, strlen(text) AS bytes FROM b_source")
@@ -142,8 +142,7 @@ def _(f):
 
 @query("ST13_job_poll", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE turn > 2) WHERE k <= 3")
 def _(f):
-    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return f("conversations").where("turn > 2").withColumn("k", k).where("k <= 3").select("conv_id", "turn", "role")
+    return store.poll(f("conversations"), "conv_id", "turn", 2, 3).select("conv_id", "turn", "role")
 
 
 _CODE = "concat('import os', chr(10), 'class C', c_custkey, ':', chr(10), '    def f(self):', chr(10), '        return g(', c_custkey, ')', chr(10), 'def h():', chr(10), '    return os.getenv(\"K', c_custkey % 7, '\")', chr(10))"

@@ -66,21 +66,20 @@ def _(f):
 
 @query("N5_layer_evidence", "SELECT layer, tier, count(*) AS n, count(DISTINCT policy_key) AS keys FROM b_policy WHERE status = 'ACTIVE' GROUP BY layer, tier")
 def _(f):
-    return f("b_policy").where("status = 'ACTIVE'").groupBy("layer", "tier").agg(F.count("*").alias("n"), F.count_distinct("policy_key").alias("keys"))
+    return knowledge.layer_counts(f("b_policy"))
 
 
-@query("N7_lineage", "SELECT a.uid, b.uid AS linked, 'OUT' AS way FROM b_decision a JOIN b_decision b ON b.topic = a.topic AND b.uid < a.uid AND b.status = 'SUPERSEDED' AND a.status = 'ACTIVE' UNION ALL SELECT b.uid, a.uid, 'IN' FROM b_decision a JOIN b_decision b ON b.topic = a.topic AND b.uid < a.uid AND b.status = 'SUPERSEDED' AND a.status = 'ACTIVE'")
+_LINKS = "SELECT uid AS from_uid, below AS to_uid, CASE WHEN uid % 2 = 0 THEN 'REVERSES' ELSE 'SUPERSEDES' END AS kind FROM (SELECT uid, lag(uid) OVER (PARTITION BY topic ORDER BY uid) AS below FROM b_decision) t WHERE below IS NOT NULL"
+
+
+@query("N7_lineage", f"SELECT from_uid AS uid, to_uid AS linked, kind, 'OUT' AS way FROM ({_LINKS}) UNION ALL SELECT to_uid, from_uid, kind, 'IN' FROM ({_LINKS})")
 def _(f):
-    a = f("b_decision").where("status = 'ACTIVE'").select("topic", F.col("uid").alias("x"))
-    b = f("b_decision").where("status = 'SUPERSEDED'").select("topic", F.col("uid").alias("y"))
-    link = a.join(b, "topic").where("y < x")
-    return link.select(F.col("x").alias("uid"), F.col("y").alias("linked"), F.lit("OUT").alias("way")).unionByName(link.select(F.col("y").alias("uid"), F.col("x").alias("linked"), F.lit("IN").alias("way")))
+    return knowledge.lineage(f.sql(_LINKS))
 
 
 @query("N8_supersede", "SELECT uid, CASE WHEN status = 'ACTIVE' AND uid < (SELECT max(uid) FROM b_decision e WHERE e.topic = d.topic) THEN 'SUPERSEDED' ELSE status END AS status FROM b_decision d")
 def _(f):
-    last = F.max("uid").over(Window.partitionBy("topic"))
-    return f("b_decision").select("uid", F.when((F.col("status") == "ACTIVE") & (F.col("uid") < last), "SUPERSEDED").otherwise(F.col("status")).alias("status"))
+    return knowledge.superseded(f("b_decision"))
 
 
 @query("N9_note_promotion", "SELECT n.o_orderkey AS uid, CASE WHEN r.receipt IS NULL THEN 'NEW' WHEN r.digest = n.o_orderpriority THEN 'REPLAY' ELSE 'CONFLICT' END AS outcome FROM orders n LEFT JOIN (SELECT o_orderkey AS receipt, CASE WHEN o_orderkey % 4 = 0 THEN 'x' ELSE o_orderpriority END AS digest FROM orders WHERE o_orderkey % 2 = 0) r ON r.receipt = n.o_orderkey")
@@ -100,9 +99,7 @@ def _(f):
 
 @query("N11_work_snapshot", "SELECT w.uid, w.status, count(r.resource_uid) AS resources, count(DISTINCT r.role) AS roles FROM b_work w LEFT JOIN b_work_resource r ON r.work_uid = w.uid GROUP BY w.uid, w.status")
 def _(f):
-    r = f("b_work_resource").groupBy(F.col("work_uid").alias("uid")).agg(F.count("*").alias("resources"), F.count_distinct("role").alias("roles"))
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("resources", "roles")]
-    return f("b_work").join(r, "uid", "left").select("uid", "status", *zero)
+    return knowledge.work_snapshot(f("b_work"), f("b_work_resource"))
 
 
 @query("N12_staleness", "SELECT uid, CASE WHEN status IN ('COMPLETED', 'ABANDONED') THEN 'CLOSED' WHEN actor % 10 = 0 THEN 'NOT_EVALUATED' WHEN updated < TIMESTAMP '1996-01-01' THEN 'POSSIBLY_STALE' ELSE 'CURRENT' END AS staleness FROM b_work")
@@ -130,14 +127,14 @@ def _(f):
 
 @query("N14_generation_reference", "SELECT w.uid, CASE WHEN g.n_nationkey IS NULL THEN 'ABSENT' WHEN g.n_regionkey = w.uid % 5 THEN 'PRESENT_MATCHING' ELSE 'PRESENT_DIFFERENT' END AS reference FROM b_work w LEFT JOIN nation g ON g.n_nationkey = w.uid % 40")
 def _(f):
-    g = f("nation").select(F.col("n_nationkey").cast("long").alias("g"), F.col("n_regionkey").alias("basis"))
-    j = f("b_work").withColumn("g", F.col("uid") % 40).join(g, "g", "left")
-    return j.select("uid", F.when(F.col("basis").isNull(), "ABSENT").when(F.col("basis") == F.col("uid") % 5, "PRESENT_MATCHING").otherwise("PRESENT_DIFFERENT").alias("reference"))
+    asked = f("b_work").select("uid", (F.col("uid") % 40).alias("generation"), (F.col("uid") % 5).alias("basis"))
+    return store.generation_reference(asked, f("nation").select(F.col("n_nationkey").cast("long").alias("generation"), F.col("n_regionkey").alias("basis")))
 
 
 @query("N15_job_log", "SELECT conv_id, turn AS seq, role AS kind, coalesce(max(turn) OVER (PARTITION BY conv_id), 0) + 1 AS next_seq FROM conversations")
 def _(f):
-    return f("conversations").select("conv_id", F.col("turn").alias("seq"), F.col("role").alias("kind"), (F.max("turn").over(Window.partitionBy("conv_id")) + 1).alias("next_seq"))
+    jobs = f("conversations").select("conv_id", F.col("turn").alias("seq"), F.col("role").alias("kind"))
+    return jobs.join(store.next_sequence(jobs, "conv_id", "seq").withColumnRenamed("next", "next_seq"), "conv_id")
 
 
 @query("O9_event_poll", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 AND turn > 1 ORDER BY turn LIMIT 64")
@@ -147,14 +144,14 @@ def _(f):
 
 @query("A13_next_sequence", "SELECT status, max(uid) + 1 AS next FROM b_work GROUP BY status")
 def _(f):
-    return f("b_work").groupBy("status").agg((F.coalesce(F.max("uid"), F.lit(0)) + 1).alias("next"))
+    return store.next_sequence(f("b_work"), "status", "uid")
 
 
-@query("N17_head_tail_capture", "SELECT doc_id, CASE WHEN n <= 400 THEN 0 ELSE n - 400 END AS omitted, CASE WHEN n <= 400 THEN t ELSE substr(t, 1, 200) || substr(t, n - 199) END AS kept FROM (SELECT doc_id, text AS t, length(text) AS n FROM b_source)")
+@query("N17_head_tail_capture", """WITH t AS (SELECT doc_id, hex(encode(text)) AS x, strlen(text) AS n FROM b_source WHERE strlen(text) > 0) SELECT doc_id, CAST(0 AS BIGINT) AS "offset", substr(x, 1, 400) AS kept, greatest(n - 400, 0) AS omitted FROM t UNION ALL SELECT doc_id, greatest(n - 200, 200), substr(x, 2 * greatest(n - 200, 200) + 1), greatest(n - 400, 0) FROM t WHERE n > 200""")
 def _(f):
-    n = F.length("text")
-    kept = F.when(n <= 400, F.col("text")).otherwise(F.concat(F.substr("text", F.lit(1), F.lit(200)), F.substr("text", n - 199)))
-    return f("b_source").select("doc_id", F.greatest(n - 400, F.lit(0)).cast("long").alias("omitted"), kept.alias("kept"))
+    """Texts as streams of one chunk of bytes; 200 bytes of either end are kept."""
+    chunks = f("b_source").select("doc_id", F.lit(0).cast("long").alias("offset"), F.encode("text", "UTF-8").alias("data"))
+    return store.head_tail(chunks, "doc_id", "offset", "data", 200, 200).select("doc_id", "offset", F.hex("data").alias("kept"), "omitted")
 
 
 @query("N20_list_by_status", "SELECT uid FROM b_policy WHERE status = 'RETIRED' ORDER BY uid LIMIT 512")
@@ -257,10 +254,8 @@ def _(f):
 
 @query("K2_evidence_replacement", """WITH o AS (SELECT * FROM b_occurrence WHERE resource_uid <> 'customer:1') SELECT kind, source, target FROM b_relation r WHERE EXISTS (SELECT 1 FROM o WHERE o.relation_kind = r.kind AND o.source = r.source AND o.target = r.target) UNION SELECT 'CALLS', 'customer:1', 'part:1'""")
 def _(f):
-    key = ["kind", "source", "target"]
-    left = f("b_occurrence").where("resource_uid <> 'customer:1'").withColumn("kind", F.col("relation_kind"))
     new = f.spark.range(1).select(F.lit("CALLS").alias("kind"), F.lit("customer:1").alias("source"), F.lit("part:1").alias("target"))
-    return f("b_relation").join(left, key, "left_semi").unionByName(new).distinct()
+    return store.replace_evidence(f("b_relation"), f("b_occurrence").drop("kind").withColumnRenamed("relation_kind", "kind"), "customer:1", new)
 
 
 @query("G23_ensured_relations", """WITH n AS (SELECT 'CALLS' AS kind, concat('order:', o_orderkey) AS source, concat('part:', o_custkey % 200 + 1) AS target FROM orders) SELECT kind, source, target FROM b_relation UNION SELECT * FROM n""")
@@ -296,11 +291,9 @@ def _(f):
     return knowledge.latest(f("b_journal"), "path_id", [F.col("ts"), F.col("seq")]).select("path_id", "kind", "seq")
 
 
-@query("K5_artifact_retention", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER w AS kept, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE kept <= 1500 AND n <= 4")
+@query("K5_artifact_retention", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(strlen(text)) OVER w AS kept, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)) WHERE kept <= 1500 AND n <= 4")
 def _(f):
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    out = f("conversations").withColumn("kept", F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.row_number().over(w))
-    return out.where("kept <= 1500 AND n <= 4").select("conv_id", "turn")
+    return store.retained(f("conversations"), "conv_id", "turn", F.octet_length("text"), 1500, 4).select("conv_id", "turn")
 
 
 # delivery ------------------------------------------------------------------------------------------

@@ -152,6 +152,49 @@ def test_two_directories_in_one_session(spark, tmp_path):
     assert spark.table("orders").first()[0] == "mine"
 
 
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_cycles_equal_mutual_reach(spark, limit):
+    r = random.Random(6)
+    for n, m in ((9, 14), (12, 12)):
+        pairs = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
+        reach = set(pairs)
+        while True:
+            more = reach | {(a, d) for a, b in reach for c, d in pairs if b == c}
+            if more == reach:
+                break
+            reach = more
+        groups = {a: min(x for x in range(n) if x == a or ((a, x) in reach and (x, a) in reach)) for a in range(n) if any(x != a and (a, x) in reach and (x, a) in reach for x in range(n))}
+        got = structure.cycles(spark.createDataFrame(pairs, "src long, dst long"), limit).collect()
+        assert {x.member: x.component for x in got} == groups and len(got) == len(groups)
+    assert structure.cycles(spark.createDataFrame([], "src string, dst string"), limit).count() == 0
+
+
+def test_long_chains_and_rings_in_one_task():
+    n = 50_000
+    chain = [(i, i + 1) for i in range(n)]
+    assert max(len(c) for c in structure.strong_components(chain)) == 1
+    assert len(structure.strong_components([*chain, (n, 0)])) == 1
+
+
+@pytest.mark.parametrize(("head", "tail"), [(0, 3), (5, 0), (4, 6), (50, 50)])
+def test_head_and_tail_of_chunked_streams(spark, head, tail):
+    from factgraph.operators.store import head_tail
+
+    r = random.Random(head)
+    rows, want = [], {}
+    for s in range(12):
+        data, at = bytes(r.randrange(256) for _ in range(r.choice([0, 1, 9, 10, 11, 40]))), 0
+        for piece in (data[i : i + 7] for i in range(0, len(data), 7)):
+            rows.append((s, at, piece))
+            at += len(piece)
+        whole = len(data) <= head + tail
+        want[s] = (data if whole else data[:head] + data[len(data) - tail :], max(0, len(data) - head - tail))
+    got = head_tail(spark.createDataFrame(rows, "s long, at long, data binary"), "s", "at", "data", head, tail).orderBy("s", "offset").collect()
+    for s, (data, omitted) in want.items():
+        own = [x for x in got if x.s == s]
+        assert b"".join(bytes(x.data) for x in own) == data and all(x.omitted == omitted for x in own)
+
+
 def test_cycles_of_groups(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, 6), (6, 5), (3, 5)], "src long, dst long")
     assert {(r["member"], r["component"]) for r in structure.cycles(pairs).collect()} == {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)}

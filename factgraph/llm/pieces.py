@@ -68,7 +68,13 @@ class Pieces:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == 2)
         self.pieces = [p.piece for p in model.pieces]
         self.raw = [bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type == 1 else b" \xe2\x81\x87 " if p.type == 2 else b"" for p in model.pieces]
-        self.longest = max(map(len, self.ids), default=1)
+        self.four = [i.to_bytes(4, "little") for i in range(len(model.pieces))]
+        #: Lengths of the pieces that end with three characters, longest first, then those of shorter pieces.
+        lengths: dict[str, set[int]] = {}
+        for x in self.ids:
+            if len(x) > 2:
+                lengths.setdefault(x[-3:], {1, 2}).add(len(x))
+        self.lengths = {x: tuple(sorted(n, reverse=True)) for x, n in lengths.items()}
         self.worst = np.float32(min((self.score[i] for i in self.ids.values()), default=0.0)) - np.float32(10)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that cross a space are not supported")
@@ -146,71 +152,63 @@ class Pieces:
 
     # sorted words ---------------------------------------------------------------------------
 
-    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+    def walk(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """Ids of words in sorted order; the states of a common prefix are kept from word to word.
 
-        back[i] is the start of the piece that ends at i and last[i] its id, or -1 for a character
+        done[i] holds the ids of the first i characters, last[i] the last of them, or -1 for a character
         outside the model; best[i] is the score of the prefix (unigram).
         """
-        ids, score, fits, longest, merges = self.ids, self.score, self.follows, self.longest, self.merges
-        back, last, best = [0], [-1], [np.float32(0)]
+        get, raw, lengths, follows, short = self.ids.get, self.four, self.lengths.get, self.follows, (2, 1)
+        done, last, best = [b""], [-1], [np.float32(0)]
         old = ""
         for word in words:
             n = min(len(old), len(word))
             i = 0
             while i < n and old[i] == word[i]:
                 i += 1
-            del back[i + 1 :], last[i + 1 :], best[i + 1 :]
+            del done[i + 1 :], last[i + 1 :], best[i + 1 :]
             for end in range(i + 1, len(word) + 1):
-                at, piece, top = end - 1, -1, best[end - 1] + self.worst if not merges else None
-                found = False
-                for start in range(max(0, end - longest), end):
-                    k = ids.get(word[start:end])
-                    if k is None:
-                        continue
-                    if merges:
-                        if last[start] == -1:
-                            ok = bool(self.spine(k, False))
-                        else:
-                            ok = fits(last[start], k)
-                        if ok:
-                            at, piece = start, k
-                            break
-                    elif not found or (new := best[start] + np.float32(score[k])) > top:
-                        at, piece, top, found = start, k, best[start] + np.float32(score[k]), True
-                back.append(at)
+                at, piece = end - 1, -1
+                if self.merges:
+                    for n in lengths(word[end - 3 : end], short) if end > 2 else short:
+                        if n <= end and (k := get(word[end - n : end])) is not None:
+                            before = last[end - n]
+                            if follows(before, k) if before != -1 else self.spine(k, False):
+                                at, piece = end - n, k
+                                break
+                else:
+                    top, found = best[end - 1] + self.worst, False
+                    for n in lengths(word[end - 3 : end], short) if end > 2 else short:
+                        if n <= end and (k := get(word[end - n : end])) is not None:
+                            new = best[end - n] + np.float32(self.score[k])
+                            if not found or new > top:
+                                at, piece, top, found = end - n, k, new, True
+                    best.append(top)
+                if piece >= 0:
+                    done.append(done[at] + raw[piece])
+                elif self.bytes or end == 1 or last[end - 1] >= 0:
+                    done.append(done[at] + b"".join([raw[x] for x in self._outside(word[at])]))
+                else:  # unknown characters in a row are one unknown id
+                    done.append(done[at])
                 last.append(piece)
-                best.append(top)
             old = word
-            out, end = [], len(word)
-            while end:
-                out.append((end, last[end]))
-                end = back[end]
-            flat: list[int] = []
-            unknown = False
-            for end, k in reversed(out):
-                if k >= 0:
-                    flat.append(k)
-                elif self.bytes or not unknown:
-                    flat += self._outside(word[end - 1])
-                unknown = k < 0
-            yield word, flat
+            yield word, done[-1]
 
     def _remember(self, words: set[str]) -> None:
         plain = sorted(x for x in words if not x.startswith(MARK * 2))
-        for word, ids in self.walk(plain):
-            self.known[word] = np.array(ids, "<u4").tobytes()
+        self.known.update(self.walk(plain))
+        mark = self.four[self.ids[MARK]] if MARK in self.ids else None
         for word in words.difference(plain):  # spaces in a row
             rest = word.lstrip(MARK)
             run = len(word) - len(rest)
             if not self.merges:
                 ids = next(self.walk([word]))[1]
             else:
-                ids = next(self.walk([MARK + rest]))[1] if rest else []
-                alone = bool(ids) and ids[0] == self.ids.get(MARK)
+                ids = next(self.walk([MARK + rest]))[1] if rest else b""
+                alone = mark is not None and ids.startswith(mark)
                 lead = self.merged(MARK * (run if alone or not rest else run - 1))
-                ids = [self.ids[p] for p in lead] + (ids[1:] if alone else ids)
-            self.known[word] = np.array(ids, "<u4").tobytes()
+                ids = b"".join([self.four[self.ids[p]] for p in lead]) + (ids[4:] if alone else ids)
+            self.known[word] = ids
 
     # texts ----------------------------------------------------------------------------------
 

@@ -563,6 +563,39 @@ def test_wide_urls_are_mined_by_their_rarest_tokens(spark):
     assert [(r["rule"], r["confidence"]) for r in got] == [("casino", 1.0)]
 
 
+@pytest.mark.parametrize("width", [1, 3])
+def test_rules_of_cut_urls_match_brute_force(spark, monkeypatch, width):
+    """URLs with more tokens than FP-growth gets: rules of rare, of common and of both kinds of tokens, copies, narrow URLs."""
+    monkeypatch.setattr(urls, "INDEXED", 2)
+    monkeypatch.setattr(_spark, "HOT_ROWS", 5)
+    r = random.Random(11)
+    rows = []
+    for i in range(700):
+        t = sorted(r.sample("abcdefghij", r.choice([2, 3, 6, 7, 8])))
+        bad = r.random() < (0.9 if {"a", "b", "c"} <= set(t) or {"h", "i"} <= set(t) and "a" not in t else 0.3)
+        rows.append((f"https://{'/'.join(t)}/{'twin/double/' if i % 3 else ''}{i}", bad))
+    rows += [rows[0], rows[0], (None, True), (None, False)]
+    p = urls.Params(min_support=0.0, min_count=20, width=width)
+    want, _ = mined_by_brute_force(rows, p)
+    assert max(k.count("+") for k in want) >= 2
+    got = {x["rule"]: (x["confidence"], x["support"]) for x in urls.mine(spark.createDataFrame(rows, "url string, bad boolean"), "bad", p, _spark.Scratch(spark)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("sites", [2, 3])
+def test_rules_of_the_commonest_tokens_of_wide_urls_are_found(spark, sites):
+    """Two tokens, each common among good URLs, condemn together; rarer ones, which always come together, fill the width of
+    every bad URL. Sets of the 30 rare tokens of a site would be 2 ** 30."""
+    wide = ["/".join(f"s{k}x{i}y" for i in range(30)) for k in range(sites)]
+    rows = [(f"https://h{i}q.com/{wide[i % sites]}/free/pills", True) for i in range(60 * sites)]
+    rows += [(f"https://g{i}q.com/{'free' if i % 2 else 'pills'}/{wide[i % sites] if i % 5 else 'x'}", False) for i in range(900 * sites)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, (_, bad) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    got = urls.filter_urls(pages, labels).collect()
+    assert {(x["mined_rule"], x["verdict"]) for x in got if rows[x["page_id"]][1]} == {("free+pills", "block")}
+    assert {(x["mined_rule"], x["verdict"]) for x in got if not rows[x["page_id"]][1]} == {(None, "allow")}
+
+
 def kd_by_hand(rows, dims, shards):
     """Splits (dims..., size, tie) at weighted medians of the widest dimension, one node after the other."""
     whole = [max(1, max(x[i] for x in rows) - min(x[i] for x in rows)) for i in range(dims)]

@@ -17,6 +17,7 @@ import heapq
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,11 @@ END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words a worker remembers before it starts anew; bounds memory, never the result.
 REMEMBERED = 1_000_000
-_STOPS = (",", ".", "!", "?", ";", ":")
+#: Letters that NFC leaves alone and that lower to one letter each, and signs that are neither letters nor digits.
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIGNS = "!-/:-@[-`{-~"
+_letters = re.compile(f"[{_LETTERS}]+").fullmatch
+_signs_after = re.compile(f"(.*[{_LETTERS}])([{_SIGNS}]+)", re.DOTALL).fullmatch
 _encoders: dict[str, Encoder] = {}
 
 
@@ -47,8 +52,9 @@ class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, equal to those of the tokenizer for each text.
 
     A tokenizer that lowers all letters itself and never joins what stands on two sides of a space gives
-    a text the ids of its space-separated strings; nor does it join a letter and a stop after it.  Each
-    distinct string is encoded once as long as it is remembered.  Strings that hold a special token in
+    a text the ids of its space-separated strings; nor does it join a letter and signs after it.  Each
+    distinct string without such signs is encoded once as long as it is remembered, by the model alone if
+    it is made of letters that normalising only lowers.  Strings that hold a special token in
     any case are encoded as they stand, since special tokens are found before letters are lowered.
     Any other tokenizer encodes whole texts.
     """
@@ -73,12 +79,22 @@ class Encoder:
         tail = [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in steps[1:]]
         plain = all(not (t.normalized or t.single_word or t.lstrip or t.rstrip) and t.content.isascii() and not re.search(r"\s", t.content) for t in added.values())
         self.by_words = spec["normalizer"] == _NORMALIZER and split and tail == [("ByteLevel", False, False)] and plain
+        self.merges = self.model.model
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level model
+        self.as_chars = {b: b for b in printed} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(printed)))}
         special = [(t.content, k) for k, t in added.items() if t.special]
         self.between = special[0] if special else None
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _by_model(self, word: str) -> bytes:
+        """Ids of a word of ``_LETTERS``, which is one word to the pre-tokeniser."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.as_chars)
+        ids = [t.id for t in self.merges.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _each(self, words: list[str]) -> list[bytes]:
         """Ids of each word without special tokens: many are encoded at once, with a special token between them."""
         if self.between is None:
@@ -111,18 +127,26 @@ class Encoder:
         own, known = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = {x for x in own if x not in known}
+        raw = list(map(known.get, own))
+        new = [i for i, x in enumerate(raw) if x is None]
         if odd:
-            whole = [x for x in new if any(t in x.lower() for t in self.added)]
-            known.update(zip(whole, self._alone(whole), strict=True))
-            new.difference_update(whole)
-        ends = {x for x in new if x[-1:] in _STOPS and x[-2:-1].isalpha() and x[-2].isascii()}
-        plain = [x for x in (new - ends) | {x[:-1] for x in ends} | set(_STOPS) if x not in known]
-        known.update(zip(plain, self._each(plain), strict=True))
-        for x in ends:
-            known[x] = known[x[:-1]] + known[x[-1]]
-        raw = [known[x] for x in own]
-        size = np.array([len(x) // 4 for x in raw], np.int64)
+            held = [i for i in new if any(t in own[i].lower() for t in self.added)]
+            for i, x in zip(held, self._alone([own[i] for i in held]), strict=True):
+                raw[i] = known[own[i]] = x
+            new = [i for i in new if raw[i] is None]
+        ends = {i: m.groups() for i in new if (m := _signs_after(own[i]))}
+        parts = {own[i] for i in new if i not in ends} | {x for two in ends.values() for x in two}
+        parts = [x for x in parts if x not in known]
+        other = []
+        for x in parts:
+            if _letters(x):
+                known[x] = self._by_model(x.lower())
+            else:
+                other.append(x)
+        known.update(zip(other, self._each(other), strict=True))
+        for i in new:
+            raw[i] = known[ends[i][0]] + known[ends[i][1]] if i in ends else known[own[i]]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         start = np.cumsum(size) - size
         at = coded.indices.to_numpy().astype(np.int64)
         n = size[at]

@@ -646,3 +646,24 @@ def test_kd_shards_of_odd_rows(spark):
         assert 0 <= x["shard"] < 40
         slots.setdefault(x["shard"], []).append(x["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_words_of_letters_and_signs_go_to_the_model_alone():
+    """Letters that normalising only lowers, with or without signs after them, take no pass of the whole tokenizer."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, enc, r = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)), packing.Encoder(packing.TOKENIZER), random.Random(5)
+    whole = []
+    each, enc._each = enc._each, lambda words: whole.extend(words) or each(words)
+    texts = ["Thnden$$$ verstte%%% ÜBERGROẞ, lequeéaux*** ciónaße&&& ofan.", "teä### ÀÉÿ,!! ofan Thnden' verstte"]
+
+    def equal(some):
+        ids, at = enc.encode(pa.array(some))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+
+    equal(texts)
+    assert sorted(w for w in whole if any(c.isalpha() for c in w)) == ["Übergroẞ,"]  # ends in a letter that is none of the fixed ones
+    parts = [*"aQéÖß×÷ªµİŉﬁΣ'.,<_-1½\t😀", "́", "̸", "ͅ", " ", "‍", "'s", "’", "$$", "|>", "日本", "<|endoftext|>"]
+    for _ in range(30):
+        equal([" ".join("".join(r.choice(parts) for _ in range(r.randint(0, 6))) for _ in range(r.randint(0, 40))) for _ in range(20)])

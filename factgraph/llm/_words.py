@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once by one task; a longer text makes a longer chunk of its own.
 CHUNK_BYTES = 3 << 20
+#: The same where a chunk becomes many arrays with an entry a byte or word; they are smaller and stay in the caches.
+SMALL_CHUNK_BYTES = 1 << 19
 _BLOCK_BYTES = 1 << 20
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._spark import Scratch, keep_ids, parts_of, salted_join, small, spread_join
-from ._words import Words, chunks, later, mix, rolling, tidied
+from ._words import SMALL_CHUNK_BYTES, Words, chunks, later, mix, rolling, tidied
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch, "text"):
+            for c in chunks(batch, "text", SMALL_CHUNK_BYTES):
                 key, offsets = shingles(c.column("text"), p.shingle)
                 n = np.diff(offsets)
                 sums = []
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch, "text"):
+            for c in chunks(batch, "text", SMALL_CHUNK_BYTES):
                 key, offsets = shingles(c.column("text"), n)
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), _lists(key, offsets)], ["id", "shingles"])
 
@@ -149,12 +149,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("rep", "n", "i", "u", F.posexplode("vs").alias("j", "v"))
         .select(F.xxhash64("i", "j", "u", "v").alias("key"), "rep", "n")
     )
-    hubs = scratch.write(
-        keys.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi")).where("c > 1")
-    )
+    shared = scratch.write(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))  # a count alone is hashed; structs would be sorted
+    scratch.release()
+    sizes = shared.select("key", F.col("c").alias("_c"))
+    alike = scratch.write(spread_join(keys, shared, ["key"], scratch, sizes))
     scratch.release()
-    members = scratch.write(spread_join(keys, hubs, ["key"], scratch, hubs.select("key", F.col("c").alias("_c"))))
-    scratch.drop(hubs)
+    hubs = alike.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
+    members = scratch.write(spread_join(alike, hubs, ["key"], scratch, sizes))
+    scratch.drop(shared, alike)
     stars = members.select("rep", "n", F.explode(F.array("lo", "hi")).alias("hub")).where(F.col("rep") != F.col("hub.rep")).where(_near("n", "hub.n", p.percent))
     pairs = scratch.write(stars.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct())
     wanted = scratch.write(members.select(F.col("rep").alias("doc_id")).distinct())
@@ -229,7 +231,7 @@ def _meetings(facts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
 
 
 #: Rows that a task makes of classes; sets and shingles of a block; sets with a shingle up to which pairs are listed.
-EXPLODED, BLOCK, BLOCK_SHINGLES, RARE = 1_000_000, 1024, 2_000_000, 16
+EXPLODED, BLOCK, BLOCK_SHINGLES, RARE = 250_000, 1024, 2_000_000, 16
 
 
 def _blocks(rows: str, shingles: str):

@@ -34,7 +34,9 @@ CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words a worker remembers before it starts anew; bounds memory, never the result.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
+#: Bytes of text encoded at once: each has several arrays, and a chunk looks up each distinct string once.
+ENCODED_BYTES = 1 << 20
 #: Letters that NFC leaves alone and that lower to one letter each, and signs that are neither letters nor digits.
 _LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _SIGNS = "!-/:-@[-`{-~"
@@ -168,7 +170,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for c in chunks(batch, "text"):
+            for c in chunks(batch, "text", ENCODED_BYTES):
                 ids, at = enc.encode(c.column("text"))
                 rows = np.arange(c.num_rows)
                 own = np.full(len(ids) + c.num_rows, end_id, "<u4")  # each text, then the end id

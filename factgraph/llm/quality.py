@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._words import Words, chunks, covered, later, mix, span_hashes, tidied, twice
+from ._words import SMALL_CHUNK_BYTES, Words, chunks, covered, later, mix, span_hashes, tidied, twice
 
 
 @dataclass(frozen=True)
@@ -99,7 +99,7 @@ def quality_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch, "text"):
+            for c in chunks(batch, "text", SMALL_CHUNK_BYTES):
                 yield _batch(measure(c.column("text"), rules), [c.column("doc_id")], ["doc_id"])
 
     return two.mapInArrow(tidied(run), "doc_id long, " + FIELDS)
@@ -110,7 +110,7 @@ def filter_quality(docs: DataFrame, text_col: str = "text", rules: Rules = Rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch, text_col):
+            for c in chunks(batch, text_col, SMALL_CHUNK_BYTES):
                 yield c.filter(pa.array(measure(c.column(text_col), rules)["kept"]))
 
     return docs.mapInArrow(tidied(run), docs.schema)

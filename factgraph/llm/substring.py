@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import Scratch, keep_ids, spread_join
-from ._words import Words, chunks, mix, rolling, tidied
+from ._words import SMALL_CHUNK_BYTES, Words, chunks, mix, rolling, tidied
 
 _NO_ID = -(2**63)
 
@@ -106,7 +106,7 @@ def anchors(docs: DataFrame, p: Params, digests: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch, "text"):
+            for c in chunks(batch, "text", SMALL_CHUNK_BYTES):
                 x = Windows(c.column("text"), p)
                 w, rows = x.words, c.num_rows
                 at = x.anchor[np.flatnonzero(np.diff(x.anchor, prepend=-1))]  # ascending
@@ -210,7 +210,7 @@ def substring_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch, "text"):
+            for c in chunks(batch, "text", SMALL_CHUNK_BYTES):
                 x = Windows(c.column("text"), p)
                 ids, tags, lists = [], x.tags(), c.column("ats")
                 fa, fb = x.fingerprints()
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch, text_col):
+            for c in chunks(batch, text_col, SMALL_CHUNK_BYTES):
                 x = Windows(c.column(text_col), p)
                 tags, ats, gone = x.tags(), c.column("_ats"), c.column("_copies")
                 texts = c.column(text_col).to_pylist()

@@ -667,3 +667,22 @@ def test_words_of_letters_and_signs_go_to_the_model_alone():
     parts = [*"aQéÖß×÷ªµİŉﬁΣ'.,<_-1½\t😀", "́", "̸", "ͅ", " ", "‍", "'s", "’", "$$", "|>", "日本", "<|endoftext|>"]
     for _ in range(30):
         equal([" ".join("".join(r.choice(parts) for _ in range(r.randint(0, 6))) for _ in range(r.randint(0, 40))) for _ in range(20)])
+
+
+def test_the_keys_of_all_tables_are_counted_without_a_sort(spark, monkeypatch):
+    """A class has half_keys**2 keys; only those of several classes reach the aggregates that sort."""
+    plans, write = [], _spark.Scratch.write
+
+    def seen(self, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df)
+
+    monkeypatch.setattr(_spark.Scratch, "write", seen)
+    r = random.Random(6)
+    words = [[r.choice("abcdefgh") + str(r.randint(0, 99)) for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:-1], "x"]) for w in words] + [" ".join([*w[:-1], f"y{i}"]) for i in range(3) for w in words[:2]]
+    ids = [*range(len(texts) - 1), 2]  # the last one shares an id with another text
+    got = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(docs(spark, texts, ids), p=neardup.Params(shingle=2)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 0, 7: 1, 8: 1, 9: 3, 10: 4, 11: 5, 12: 0, 13: 1, 14: 0, 15: 1, 16: 0}
+    of_keys = [x for x in plans if x.count("posexplode") >= 2 and "Aggregate" in x]
+    assert of_keys and not [x for x in of_keys if "SortAggregate" in x]

@@ -121,26 +121,40 @@ def overrides(members: DataFrame, extends: DataFrame, depth: int = 16, opaque: D
     Bases are searched level by level; the first level that declares one decides: one is an edge, more
     are ambiguous.  Where none does, a member is OPAQUE if its owner, or a base of it, extends something outside
     (``opaque``: owners).  (uid, target, outcome)
+
+    Levels are walked once an owner, and declarations are one row a base, name and kind: their least and greatest uid, which
+    are equal if there is just one.  So members of one name never meet one another.
     """
     scratch = Scratch(members.sparkSession)
-    base = scratch.write(extends.select(F.col("source").alias("owner"), F.col("target").alias("base")).distinct())
-    declared = members.select(F.col("owner").alias("base"), "name", "kind", F.col("uid").alias("target"))
-    front = scratch.write(members.select("uid", "name", "kind", F.col("owner").alias("base")))
-    seen, out = front.select("uid", "base"), None
-    for _ in range(depth):
-        front = front.withColumnRenamed("base", "owner").join(base, "owner").select("uid", "name", "kind", "base").distinct()
-        front = scratch.write(front.join(seen, ["uid", "base"], "left_anti"))
+    up = scratch.write(extends.select(F.col("source").alias("base"), F.col("target").alias("_next")).distinct())
+    owners = scratch.write(members.select("owner").distinct())
+    front = scratch.write(owners.select("owner", F.col("owner").alias("base")))
+    reach, above = front, None
+    for level in range(1, depth + 1):
+        front = front.join(up, "base").select("owner", F.col("_next").alias("base")).distinct()
+        front = scratch.write(front.join(reach, ["owner", "base"], "left_anti"))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front.select("uid", "base"))
-        hit = front.join(declared, ["base", "name", "kind"]).groupBy("uid").agg(F.count_distinct("target").alias("n"), F.min("target").alias("t"))
-        found = scratch.write(hit.select("uid", F.when(F.col("n") == 1, F.col("t")).alias("target"), F.when(F.col("n") == 1, "OVERRIDES").otherwise("AMBIGUOUS").alias("outcome")))
-        out = found if out is None else out.unionByName(found)
-        front = front.join(found.select("uid"), "uid", "left_anti")
-    out = out if out is not None else members.limit(0).select("uid", F.lit(None).cast("string").alias("target"), F.lit("").alias("outcome"))
+        reach = reach.unionByName(front)
+        at = front.withColumn("_level", F.lit(level))
+        above = at if above is None else above.unionByName(at)
+    if above is None:
+        out = members.limit(0).select("uid", F.lit(None).cast("string").alias("target"), F.lit("").alias("outcome"))
+    else:
+        key = ["owner", "name", "kind"]
+        declared = scratch.write(members.groupBy(*key).agg(F.min("uid").alias("_low"), F.max("uid").alias("_high")))
+        low, high = F.min(F.struct("_level", F.col("_low").isNull().alias("_none"), "_low")), F.max(F.struct(-F.col("_level"), "_high"))
+        nearest = lambda df, by: df.groupBy(*by).agg(low.alias("_a"), high.alias("_z")).select(*by, "_a._level", "_a._low", "_z._high")
+        bases = declared.select(F.col("owner").alias("base"), "name", "kind", "_low", "_high")
+        hit = scratch.write(nearest(declared.select(*key).join(above, "owner").join(bases, ["base", "name", "kind"]), key))
+        one = F.col("_low") == F.col("_high")
+        hit = nearest(members.select("uid", *key).join(hit, key), ["uid"])
+        out = hit.select("uid", F.when(one, F.col("_low")).alias("target"), F.when(one, "OVERRIDES").otherwise("AMBIGUOUS").alias("outcome"))
     if opaque is None:
         return out
-    dark = seen.join(opaque.select(F.col("owner").alias("base")).distinct(), "base", "left_semi").select("uid").distinct().join(out, "uid", "left_anti")
+    out = scratch.write(out)
+    beyond = reach.join(opaque.select(F.col("owner").alias("base")).distinct(), "base", "left_semi").select("owner").distinct()
+    dark = members.join(beyond, "owner", "left_semi").select("uid").distinct().join(out.select("uid"), "uid", "left_anti")
     return out.unionByName(dark.select("uid", F.lit(None).cast("string").alias("target"), F.lit("OPAQUE").alias("outcome")))
 
 

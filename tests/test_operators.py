@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
 
 from factgraph import registry
-from factgraph.operators import delivery, impact, knowledge, relations, structure
+from factgraph.operators import delivery, impact, knowledge, relations, resolve_code, structure
 from factgraph.operators.answer import Answer, limited, numbered
 from factgraph.sources import records, text_scan, tree
 from factgraph.streaming import journal
@@ -654,3 +655,15 @@ def test_stores_and_telemetry(spark, tmp_path):
     for _ in range(2):
         records.append_telemetry(held, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 2
+
+
+def test_overrides_of_one_name_are_not_paired(spark):
+    n = 50_000  # of each of two types: 2.5 billion pairs of members
+    row = lambda owner: spark.range(n).select(F.concat(F.lit(owner), "id").alias("uid"), F.lit(owner).alias("owner"), F.lit("f").alias("name"), F.lit("METHOD").alias("kind"))
+    extra = spark.createDataFrame([("x", "low", "g", "METHOD"), ("y", "high", "g", "METHOD"), ("z", "dark", "h", "METHOD"), ("n", "low", None, "METHOD")], "uid string, owner string, name string, kind string")
+    extends = spark.createDataFrame([("low", "mid"), ("mid", "high"), ("high", "low"), ("dark", "far")], "source string, target string")
+    opaque = spark.createDataFrame([("far",), ("high",)], "owner string")
+    began = time.time()
+    got = {(r.outcome, r.target): r.n for r in resolve_code.overrides(row("low").union(row("high")).union(extra), extends, opaque=opaque).groupBy("outcome", "target").agg(F.count("*").alias("n")).collect()}
+    assert got == {("AMBIGUOUS", None): 2 * n, ("OVERRIDES", "y"): 1, ("OVERRIDES", "x"): 1, ("OPAQUE", None): 2}
+    assert time.time() - began < 60

@@ -59,8 +59,9 @@ def deliver(rows: DataFrame, intent: str, caps: Caps, scope: list[str], order: l
     rows hold ``required``, ``tier``, ``bytes`` and ``tokens``.  Required rows come first, then tiers.  A page is the longest
     prefix that fits all caps; a token cap cannot be met by rows whose cost is unknown (null).  For the intents in
     ``ATOMIC`` a scope whose required rows do not all fit delivers nothing: all its rows are OVERFLOW.
+    Where ``order`` leaves rows equal, the cheaper comes first and unknown costs last, so outcomes are the same each time.
     """
-    by = [F.col("required").desc(), "tier", *order]
+    by = [F.col("required").desc(), "tier", *order, "bytes", F.col("tokens").asc_nulls_last()]
     w = Window.partitionBy(*scope).orderBy(*by)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = F.lit(True)

@@ -667,3 +667,12 @@ def test_overrides_of_one_name_are_not_paired(spark):
     got = {(r.outcome, r.target): r.n for r in resolve_code.overrides(row("low").union(row("high")).union(extra), extends, opaque=opaque).groupBy("outcome", "target").agg(F.count("*").alias("n")).collect()}
     assert got == {("AMBIGUOUS", None): 2 * n, ("OVERRIDES", "y"): 1, ("OVERRIDES", "x"): 1, ("OPAQUE", None): 2}
     assert time.time() - began < 60
+
+
+def test_delivery_does_not_depend_on_the_order_of_rows(spark):
+    rows = [("r", "a", False, 1, 50, 1), ("r", "a", False, 1, 400, 1), ("q", "a", True, 1, 50, None), ("q", "a", True, 1, 50, 5)]
+    for intent, want in (("RELATIONS", ["q50DELIVERED", "q50LATER", "r400LATER", "r50DELIVERED"]), ("CHANGE", ["q50OVERFLOW", "q50OVERFLOW", "r400LATER", "r50DELIVERED"])):
+        for order in (rows, rows[::-1]):
+            df = spark.createDataFrame(order, "resource_uid string, uid string, required boolean, tier int, bytes long, tokens long").coalesce(1)
+            out = delivery.deliver(df, intent, delivery.Caps(8, 300, 90), ["resource_uid"], ["uid"]).collect()
+            assert sorted(f"{r.resource_uid}{r.bytes}{r.outcome}" for r in out) == want

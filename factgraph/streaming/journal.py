@@ -79,10 +79,20 @@ def transient(events_runs: DataFrame, active_paths: DataFrame) -> DataFrame:
 
 
 def unambiguous_moves(gone: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Pairs of a vanished and a new path with equal content, where both sides have just one partner."""
-    pairs = gone.select(F.col("path").alias("source"), "digest").join(fresh.select(F.col("path").alias("destination"), "digest"), "digest")
-    one = (F.count("*").over(Window.partitionBy("source")) == 1) & (F.count("*").over(Window.partitionBy("destination")) == 1)
-    return pairs.withColumn("one", one).where("one").select("source", "destination")
+    """Pairs of a vanished and a new path with equal content, where both sides have just one partner.
+
+    Pairs are not listed: a partner is the only one if its content has one row on either side, and if no other row
+    of its path has content that the other side has too.
+    """
+    sides = gone.select("digest", F.col("path").alias("source"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(fresh.select("digest", F.col("path").alias("destination"), F.lit(0).alias("a"), F.lit(1).alias("b")), allowMissingColumns=True)
+    both = sides.where("digest IS NOT NULL").groupBy("digest").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.min("source").alias("source"), F.min("destination").alias("destination")).where("a > 0 AND b > 0")
+    pairs = both.where("a = 1 AND b = 1 AND source IS NOT NULL AND destination IS NOT NULL").select("digest", "source", "destination")
+    shared = both.select(F.col("digest").alias("_d"))
+    for side, name in ((gone, "source"), (fresh, "destination")):
+        again = side.select("digest", F.col("path").alias(name)).join(pairs.select(name, F.col("digest").alias("_own")), name).where("digest <> _own")
+        more = again.select(name, F.col("digest").alias("_d")).join(shared, "_d", "left_semi").select(name)
+        pairs = pairs.join(more, name, "left_anti")
+    return pairs.select("source", "destination")
 
 
 def refresh_decision(workspaces: DataFrame, pending: DataFrame, resources: DataFrame, observed: DataFrame) -> DataFrame:

@@ -676,3 +676,14 @@ def test_delivery_does_not_depend_on_the_order_of_rows(spark):
             df = spark.createDataFrame(order, "resource_uid string, uid string, required boolean, tier int, bytes long, tokens long").coalesce(1)
             out = delivery.deliver(df, intent, delivery.Caps(8, 300, 90), ["resource_uid"], ["uid"]).collect()
             assert sorted(f"{r.resource_uid}{r.bytes}{r.outcome}" for r in out) == want
+
+
+def test_moves_are_not_paired(spark):
+    n = 60_000  # on both sides with one content: 3.6 billion pairs
+    rows = lambda *xs: spark.createDataFrame(xs, "path long, digest long")
+    many = lambda at: spark.range(at, at + n).select(F.col("id").alias("path"), F.lit(1).cast("long").alias("digest"))
+    gone = many(0).union(rows((-1, 2), (-2, 3), (-3, 4), (-3, 5), (-4, 6), (-4, 9), (-5, None)))
+    fresh = many(n).union(rows((-11, 2), (-12, 3), (-13, 3), (-14, 4), (-15, 5), (-16, 6), (-17, 7), (-18, None)))
+    began = time.time()
+    assert sorted(map(tuple, journal.unambiguous_moves(gone, fresh).collect())) == [(-4, -16), (-1, -11)]
+    assert time.time() - began < 60

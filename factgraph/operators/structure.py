@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph import parts
 from factgraph.scratch import Scratch
 
 
@@ -37,14 +38,20 @@ def inventory(grouped: DataFrame, structure: DataFrame) -> DataFrame:
 
 def entity_groups(grouped: DataFrame, owners: DataFrame) -> DataFrame:
     """(entity, g): groups of the resources that own an entity."""
-    return owners.join(grouped.select(F.col("uid").alias("resource_uid"), "g"), "resource_uid").select("entity", "g").distinct()
+    g = grouped.select(F.col("uid").alias("resource_uid"), "g")
+    return parts.join(owners, g, ["resource_uid"], parts.tasks(owners, grouped)).select("entity", "g").distinct()
 
 
 def edges(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations between groups, both ends in scope: (kind, source, target, sg, tg)."""
+    """Relations between groups, both ends in scope: (kind, source, target, sg, tg), no two alike.
+
+    entities: distinct (entity, g).  Then relations are made distinct before the joins, where they are narrower.
+    """
+    n = parts.tasks(relations, entities)
     s = entities.select(F.col("entity").alias("source"), F.col("g").alias("sg"))
     t = entities.select(F.col("entity").alias("target"), F.col("g").alias("tg"))
-    return relations.join(s, "source").join(t, "target").select("kind", "source", "target", "sg", "tg").distinct()
+    r = relations.select("kind", "source", "target").distinct()
+    return parts.join(parts.join(r, s, ["source"], n), t, ["target"], n).select("kind", "source", "target", "sg", "tg")
 
 
 def edge_counts(e: DataFrame) -> DataFrame:

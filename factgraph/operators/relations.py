@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph import parts
 from factgraph.functions.text import names_suffix, weakest
 
 #: Order of weakness, and the cap on candidates of a gap.
@@ -75,12 +76,15 @@ def gap_context(gaps: DataFrame, resources: DataFrame, symbols: DataFrame) -> Da
     r = resources.select(F.col("uid").alias("resource_uid"), "path_key")
     s = symbols.select(F.col("uid").alias("symbol_uid"), "qualified_name", "parent_uid")
     p = symbols.select(F.col("uid").alias("parent_uid"), F.col("name").alias("parent"))
-    return gaps.join(r, "resource_uid").join(s, "symbol_uid", "left").join(p, "parent_uid", "left")
+    n = parts.tasks(gaps, resources, symbols)
+    return parts.join(parts.join(parts.join(gaps, r, ["resource_uid"], n), s, ["symbol_uid"], n, "left"), p, ["parent_uid"], n, "left")
 
 
 def with_candidates(gaps: DataFrame, candidates: DataFrame) -> DataFrame:
     """Gaps that have a candidate."""
-    return gaps.join(candidates.select(F.col("gap_uid").alias("uid")), "uid", "left_semi")
+    n = parts.tasks(gaps, candidates)
+    some = parts.deal(candidates.select(F.col("gap_uid").alias("uid")), n, "uid").distinct()
+    return parts.deal(gaps, n, "uid").join(some, "uid", "left_semi")
 
 
 def orphans(relations: DataFrame, occurrences: DataFrame) -> DataFrame:

@@ -690,7 +690,7 @@ def test_moves_are_not_paired(spark):
     assert time.time() - began < 60
 
 
-DEALT = ("A2_edge_counts",)
+DEALT = ("A2_edge_counts", "J2_gap_context", "J7_gaps_with_candidates")
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -709,6 +709,16 @@ def test_tasks_grow_with_the_input(spark, monkeypatch, name):
     assert plain(got.select(*want.columns).collect()) == plain(want.fetchall())
 
 
+def test_null_keys_of_a_left_join_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(parts, "TASK_BYTES", 1 << 13)
+    gaps = spark.range(20_000).select(F.concat(F.lit("g"), "id").alias("uid"), F.lit("r").alias("resource_uid"), F.when(F.col("id") % 100 == 0, "s").alias("symbol_uid"))
+    resources = spark.createDataFrame([("r", "a/b")], "uid string, path_key string")
+    symbols = spark.createDataFrame([("s", "m.s", "p", "s"), ("p", "p", None, "p"), (None, "no", None, "no")], "uid string, qualified_name string, parent_uid string, name string")
+    out = relations.gap_context(gaps, resources, symbols)
+    assert {(r.symbol_uid, r.qualified_name, r.parent): r["count"] for r in out.groupBy("symbol_uid", "qualified_name", "parent").count().collect()} == {(None, None, None): 19_800, ("s", "m.s", "p"): 200}
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) < 10_000
+
+
 def test_edges_of_relations_that_come_twice_are_one(spark):
     r = spark.createDataFrame([("CALLS", "a", "b"), ("CALLS", "a", "b"), (None, "a", "b"), (None, "a", "b"), ("CALLS", "a", "z")], "kind string, source string, target string")
     e = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", None)], "entity string, g string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factgraph import parts
 from factgraph.functions.text import basename, contains_ascii, direct_child, path_suffixes
 
 LIMIT = 200
@@ -68,9 +69,10 @@ def symbol_at(symbols: DataFrame, points: DataFrame, width: int = 4096) -> DataF
     """
     at = lambda x: F.floor(x / width)
     s = symbols.where("start_byte < end_byte").select("resource_uid", F.col("uid").alias("symbol_uid"), "start_byte", "end_byte", F.explode(F.sequence(at(F.col("start_byte")), at(F.col("end_byte") - 1))).alias("_at"))
-    hit = points.withColumn("_at", at(F.col("offset"))).join(s, ["resource_uid", "_at"]).where((F.col("start_byte") <= F.col("offset")) & (F.col("offset") < F.col("end_byte")))
+    n = parts.tasks(symbols, points)
+    hit = parts.join(points.withColumn("_at", at(F.col("offset"))), s, ["resource_uid", "_at"], n).where((F.col("start_byte") <= F.col("offset")) & (F.col("offset") < F.col("end_byte")))
     best = F.min_by("symbol_uid", F.struct((F.col("end_byte") - F.col("start_byte")).alias("n"), (-F.col("start_byte")).alias("s"), F.col("symbol_uid").alias("u")))
-    return hit.groupBy("point_uid").agg(best.alias("symbol_uid"))
+    return parts.deal(hit, n, "point_uid").groupBy("point_uid").agg(best.alias("symbol_uid"))
 
 
 def outline(symbols: DataFrame, resources: DataFrame, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factgraph import parts
 from factgraph.functions.text import framed_digest, path_suffixes
 from factgraph.scratch import Scratch
 
@@ -26,13 +27,15 @@ def resolve_names(uses: DataFrame, bindings: DataFrame, symbols: DataFrame) -> D
     top = symbols.where("top").groupBy("file", "name").agg(F.count("*").alias("n"), F.min("uid").alias("uid"))
     inner = symbols.groupBy("file", "qualified_name").agg(F.count("*").alias("_q_n"), F.min("uid").alias("_q"))
     member = F.col("receiver").isNotNull()
-    j = uses.withColumn("_key", F.coalesce("receiver", "name")).join(first, ["file", "_key"], "left")
+    n = parts.tasks(uses, bindings, symbols)
+    j = parts.join(uses.withColumn("_key", F.coalesce("receiver", "name")), first, ["file", "_key"], n, "left")
     use_import = F.when(member, F.col("_m").isNotNull()).otherwise(F.coalesce("_bound", F.lit(False)))
     j = j.withColumn("_use", use_import).withColumn("_b", F.when(member, F.col("_m")).otherwise(F.col("_n"))).withColumn("_want", F.when(member, F.col("name")).otherwise(F.col("_b.imported_name")))
     own = top.select("file", F.col("name").alias("_key"), F.col("n").alias("_own_n"), F.col("uid").alias("_own"))
     far = top.select(F.col("file").alias("_module"), F.col("name").alias("_want"), F.col("n").alias("_far_n"), F.col("uid").alias("_far"))
     j = j.withColumn("_module", F.col("_b.module")).withColumn("qualified_name", F.concat_ws(".", "receiver", "name"))
-    j = j.join(own, ["file", "_key"], "left").join(far, ["_module", "_want"], "left").join(inner, ["file", "qualified_name"], "left")
+    for right, keys in ((own, ["file", "_key"]), (far, ["_module", "_want"]), (inner, ["file", "qualified_name"])):
+        j = parts.join(j, right, keys, n, "left")
     none = lambda x: F.coalesce(x, F.lit(0))
     answer = lambda target, external, reason: F.struct(target.alias("target"), external.alias("external"), reason.alias("reason"))
     null = F.lit(None).cast("string")

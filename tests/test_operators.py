@@ -690,7 +690,7 @@ def test_moves_are_not_paired(spark):
     assert time.time() - began < 60
 
 
-DEALT = ("A2_edge_counts", "J2_gap_context", "J7_gaps_with_candidates", "S11_symbol_at", "G13_name_resolution")
+DEALT = ("A2_edge_counts", "J6_group_edges", "G11_structural_summary", "J2_gap_context", "J7_gaps_with_candidates", "S11_symbol_at", "G13_name_resolution")
 
 
 @pytest.mark.parametrize("name", DEALT)
